@@ -103,10 +103,10 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     if n == 0:
         return hashes
     if n < k:
-        out = np.uint64(n)
-        for h in hashes:
-            out = mix64(out * _P + h)
-        return np.array([out], dtype=np.uint64)
+        out = np.array([n], dtype=np.uint64)
+        for j in range(n):
+            out = mix64(out * _P + hashes[j : j + 1])
+        return out
     out = np.full(n - k + 1, np.uint64(k), dtype=np.uint64)
     for j in range(k):
         out = mix64(out * _P + hashes[j : n - k + 1 + j])

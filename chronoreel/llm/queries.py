@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoreel.llm import decontam, packing, sharding
+from chronoreel.llm import decontam, minhash, packing, sharding
 from chronoreel.llm._io import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op2_sharding": _on("documents", sharding.op2_sharding),
         "op3_packing": _on("documents", packing.op3_packing),
         "op7_decontamination": decontam.op7_decontamination,
+        "op10_near_duplicates": _on("documents", minhash.op10_near_duplicates),
     }
 
 
