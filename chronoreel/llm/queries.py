@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoreel.llm import decontam, minhash, packing, sharding
+from chronoreel.llm import decontam, langid, minhash, packing, sharding
 from chronoreel.llm._io import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def _on(table: str, op: Callable[[SparkSession, DataFrame], DataFrame]) -> Query
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language_id": _on("documents", langid.op1_language_id),
         "op2_sharding": _on("documents", sharding.op2_sharding),
         "op3_packing": _on("documents", packing.op3_packing),
         "op7_decontamination": decontam.op7_decontamination,
