@@ -33,7 +33,7 @@ EOS = 2
 WINDOW_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 18
 #: Words whose ids a worker remembers; beyond that it forgets all and starts again.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, context int, step_group long"
 
@@ -46,9 +46,12 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: the same merges for words of a-z alone, which need no normalising and no splitting but at spaces
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -61,24 +64,36 @@ class WordTokenizer:
 
     def _learn(self, words: list[str]) -> None:
         """Plain letters give one word each, whose last id is one of ``ends``: many share a call."""
-        plain, other = [], []
+        ascii_words, letters, other = [], [], []
         for word in words:
-            (plain if word.isalpha() else other).append(word)
-        for i in range(0, len(plain), 100):
-            part = plain[i : i + 100]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            if not word.isalpha():
+                other.append(word)
+            elif word.isascii() and word.islower():
+                ascii_words.append(word)
+            else:
+                letters.append(word)
+        other += self._learn_together(self.bare, ascii_words)
+        other += self._learn_together(self.tokenizer, letters)
+        if other:
+            self._learn_each(other)
+
+    def _learn_together(self, tokenizer, words: list[str]) -> list[str]:
+        """Learns words of letters, a hundred a call; returns those whose ends aren't clear."""
+        unclear = []
+        for i in range(0, len(words), 100):
+            part = words[i : i + 100]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part):
-                other += part
+                unclear += part
                 continue
             whole, a = ids.tobytes(), 0
             for word, z in zip(part, stops.tolist(), strict=True):
                 self.known[word] = whole[4 * a : 4 * z]
                 a = z
-        if other:
-            self._learn_each(other)
+        return unclear
 
-    def _resolve(self, missing: set[str]) -> None:
+    def _resolve(self, missing: list[str]) -> None:
         base: dict[str, tuple[str, str]] = {}
         for word in missing:
             stem, tail = word, ""
@@ -100,8 +115,7 @@ class WordTokenizer:
             self._learn_each([".", ","])
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         known = self.known
-        missing: set[str] = set().union(*split)
-        missing -= known.keys()
+        missing = [w for w in set().union(*split) if w not in known]
         if missing:
             self._resolve(missing)
         return [b"".join(map(known.__getitem__, words)) for words in split]
