@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoreel.llm import decontam, langid, minhash, packing, quality, sharding, toxicity, urlfilter
+from chronoreel.llm import decontam, fingerprint, langid, minhash, packing, quality, sharding, toxicity, urlfilter
 from chronoreel.llm._io import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_url_filter": _on("pages", urlfilter.op6_url_filter),
         "op7_decontamination": decontam.op7_decontamination,
+        "op8_fingerprint": _on("documents", fingerprint.op8_fingerprint),
         "op9_quality": quality.op9_quality,
         "op10_near_duplicates": _on("documents", minhash.op10_near_duplicates),
     }
