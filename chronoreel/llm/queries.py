@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoreel.llm import decontam, fingerprint, langid, minhash, packing, quality, sharding, toxicity, urlfilter
+from chronoreel.llm import decontam, fingerprint, langid, minhash, packing, quality, sharding, toxicity, urlfilter, warc
 from chronoreel.llm._io import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op1_language_id": _on("documents", langid.op1_language_id),
         "op2_sharding": _on("documents", sharding.op2_sharding),
         "op3_packing": _on("documents", packing.op3_packing),
+        "op4_warc": _on("pages", warc.op4_warc),
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_url_filter": _on("pages", urlfilter.op6_url_filter),
         "op7_decontamination": decontam.op7_decontamination,
