@@ -83,3 +83,11 @@ def bounded_sample(df: DataFrame, label: str, per_label: int, *keys: str) -> Dat
     for value, n in counts.items():
         chosen = chosen | ((F.col(label) == F.lit(value)) & (draw < F.lit(int(min(1.0, per_label / n) * (1 << 30)))))
     return df.where(chosen)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, key: str, text: str) -> DataFrame:
+    """Texts of about ``per_label`` labelled documents of each ``label``, with the label columns.  ``labels`` has a row
+    a key.  Labels are drawn first, so what is broadcast to find the texts is bounded by ``per_label``."""
+    drawn = bounded_sample(labels.where(F.col(label).isNotNull()), label, per_label, key)
+    texts = docs.select(F.col(key), F.col(text)).where(F.col(text).isNotNull())
+    return texts.join(F.broadcast(drawn), key)

@@ -120,18 +120,18 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 
 def _sample_features(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, draw, features, counts) of sampled documents, counted where they are."""
+    """(lang, draw, features, counts) of sampled documents, counted where they are, as 32-bit numbers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for _, _, features, bounds in _by_text(batch.column(2)):
                 found += [np.unique(features[a:z], return_counts=True) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f for f, _ in found], kind), pa.array([n for _, n in found], kind)], ["lang", "draw", "features", "counts"])
+            packed = [pa.array([x[side].astype(np.int32).tobytes() for x in found], pa.binary()) for side in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], ["lang", "draw", "features", "counts"])
 
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("draw"), F.col(text))
-    return rows.mapInArrow(work, "lang string, draw long, features array<long>, counts array<long>")
+    return rows.mapInArrow(work, "lang string, draw long, features binary, counts binary")
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
@@ -150,7 +150,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         return None
     examples: list[Example] = []
     for r in rows:
-        at, n = np.array(r.features), np.array(r.counts, dtype=float)
+        at, n = np.frombuffer(r.features, dtype=np.int32).astype(np.int64), np.frombuffer(r.counts, dtype=np.int32).astype(float)
         examples.append((at, SCALE * idf[at] * n / n.sum()))
     labels = [languages.index(r.lang) for r in rows]
     held = [i for i, r in enumerate(rows) if r.draw % 5 == 0]

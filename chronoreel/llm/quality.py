@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoreel.llm._io import Scratch, read_table
-from chronoreel.llm._linear import bounded_sample
+from chronoreel.llm._linear import labelled_sample
 from chronoreel.llm._text import SPACES, Words, buffers, chunks
 
 SAMPLE_PER_LABEL = 4000
@@ -100,16 +100,16 @@ def fit_form(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25)
     return FormModel(mean, scale, w, float(y.mean()))
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", per_label: int = SAMPLE_PER_LABEL) -> FormModel | None:
-    """From about ``per_label`` documents of each 0/1 label, weighted back to their true shares by the prior.
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", per_label: int = SAMPLE_PER_LABEL) -> FormModel | None:
+    """From about ``per_label`` documents of each 0/1 label; their shares in training are the model's prior.
     None where only one label occurs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(form_features(batch.column(0))), pa.list_(pa.float64()))], ["draw", "y", "x"])
 
-    known = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).withColumn(label, F.col(label).cast("int"))
-    chosen = bounded_sample(known, label, per_label, key).select(text, F.xxhash64(text, label), label)
+    known = labels.select(key, F.col(label).cast("int").alias(label))
+    chosen = labelled_sample(docs, known, label, per_label, key, text).select(text, F.xxhash64(text, label), label)
     rows = sorted(chosen.mapInArrow(work, "draw long, y int, x array<double>").collect(), key=lambda r: r.draw)
     y = np.array([r.y for r in rows], dtype=float)
     if len(set(y)) < 2:
@@ -184,7 +184,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     site decides; without labels of both kinds all evidence is even.  Only the named columns are read.
     """
     one = labels.groupBy(key).agg(F.max("quality").alias("quality"))
-    model = train(docs.select(key, text).join(one, key), text, "quality", key)
+    model = train(docs, one, text, "quality", key)
     cols = docs.select(F.col(key), F.col(host).cast("string").alias("host"), F.concat_ws("/", F.col(host).cast("string"), F.col(path).cast("string")).alias("path"), F.col(text).alias("__text"))
     scored = Scratch(docs.sparkSession, "evidence").save(evidence(cols, model, "__text").drop("__text"), "scored")
     return posterior(scored, model.prior if model else 0.5)

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoreel.llm._io import read_table
-from chronoreel.llm._linear import Example, Ftrl, bounded_sample, logits, softmax
+from chronoreel.llm._io import Scratch, read_table
+from chronoreel.llm._linear import Example, Ftrl, labelled_sample, logits
 from chronoreel.llm._text import NOT_ALPHA, Words, buffers, chunks, mix64
 
 #: Sampled documents that must hold a feature before it gets a weight.
@@ -71,19 +71,45 @@ def _features(column: pa.Array) -> Iterator[tuple[int, Words, np.ndarray]]:
         yield i, words, word_features(words)
 
 
-def _sample(docs: DataFrame, text: str, labels: tuple[str, ...]) -> list:
-    """Rows (draw, features, labels) of sampled documents; features are distinct and counted where they are."""
+def _distinct(docs: DataFrame, text: str, found, name: str, kind: str) -> DataFrame:
+    """``docs`` with ``found(distinct feature hashes of a text)`` in the place of the text."""
+    others = [c for c in docs.columns if c != text]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            out = []
             for _, words, features in _features(batch.column(0)):
                 for a, z in zip(words.first[:-1], words.first[1:], strict=True):
-                    found.append(np.unique(features[a:z]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int64())), batch.column(2)], ["draw", "features", "labels"])
+                    u = np.unique(features[a:z])
+                    out.append(found(u[u != 0]))
+            held = pa.list_(pa.int64()) if kind == "array<long>" else pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(out, held), *batch.columns[1:]], [name, *others])
 
-    rows = docs.select(F.col(text), F.xxhash64(text).alias("draw"), F.array(*(F.col(c).cast("int") for c in labels)).alias("labels"))
-    return rows.mapInArrow(work, "draw long, features array<long>, labels array<int>").collect()
+    schema = T.StructType([T.StructField(name, T._parse_datatype_string(kind)), *(docs.schema[c] for c in others)])
+    return docs.select(text, *others).mapInArrow(work, schema)
+
+
+def _vocabulary(sample: DataFrame, text: str) -> np.ndarray:
+    """Sorted hashes of features that at least LEAST_DOCUMENTS documents of the sample hold."""
+    held = _distinct(sample.select(text), text, lambda u: u.view(np.int64), "features", "array<long>")
+    counts = held.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where(F.col("n") >= LEAST_DOCUMENTS).select("feature").toArrow()
+    return np.sort(found.column("feature").to_numpy().view(np.uint64))
+
+
+def _sample(sample: DataFrame, text: str, labels: tuple[str, ...], vocabulary: np.ndarray) -> list:
+    """Rows (draw, at, labels): the places in the vocabulary of each sampled document's features, as 32-bit numbers."""
+    shared = sample.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def places(u: np.ndarray) -> bytes:
+        known = shared.value
+        if not len(known):
+            return b""
+        at = np.minimum(np.searchsorted(known, u), len(known) - 1)
+        return at[known[at] == u].astype(np.int32).tobytes()
+
+    rows = sample.select(F.col(text), F.xxhash64(text).alias("draw"), F.array(*(F.col(c).cast("int") for c in labels)).alias("labels"))
+    return _distinct(rows, text, places, "at", "binary").collect()
 
 
 def _fit(xs: list[Example], ys: list[int], features: int) -> np.ndarray:
@@ -102,24 +128,19 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return at
 
 
-def train(labelled: DataFrame, categories: tuple[str, ...], text: str = "text", key: str = "doc_id", per_label: int = SAMPLE_PER_LABEL) -> Chain | None:
+def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], text: str = "text", key: str = "doc_id", per_label: int = SAMPLE_PER_LABEL) -> Chain | None:
     """A chain over 0/1 label columns in the given order, from about ``per_label`` documents with and as many
     without the last label.  None if there is no labelled text or the last label has one value only."""
-    known = labelled.where(F.col(text).isNotNull())
     for c in categories:
-        known = known.where(F.col(c).isNotNull())
-    rows = sorted(_sample(bounded_sample(known, categories[-1], per_label, key), text, categories), key=lambda r: (r.draw, r.labels))
+        labels = labels.where(F.col(c).isNotNull())
+    sample = Scratch(docs.sparkSession, "toxicity").save(labelled_sample(docs, labels, categories[-1], per_label, key, text), "sample")
+    features = _vocabulary(sample, text)
+    rows = sorted(_sample(sample, text, categories, features), key=lambda r: (r.draw, r.labels))
     if len({r.labels[-1] for r in rows}) < 2:
         return None
     labels = np.array([r.labels for r in rows])
-    held = [np.array(r.features, dtype=np.int64).view(np.uint64) for r in rows]
-    features, times = np.unique(np.concatenate(held), return_counts=True)
-    features = features[(times >= LEAST_DOCUMENTS) & (features != 0)]
-    words = []
-    for hashes in held:
-        at = np.searchsorted(features, hashes)
-        at = at[(at < len(features)) & (features[np.minimum(at, len(features) - 1)] == hashes)] if len(features) else at[:0]
-        words.append((at, np.ones(len(at))))
+    words = [np.frombuffer(r.at, dtype=np.int32) for r in rows]
+    words = [(at.astype(np.int64), np.ones(len(at))) for at in words]
     n = len(features)
     fold = np.array([r.draw % FOLDS for r in rows])
     k = len(categories)
@@ -183,15 +204,14 @@ def score(docs: DataFrame, chain: Chain | None, categories: tuple[str, ...], tex
 CATEGORIES = ("junk", "toxic")
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with their labels.  A document labelled more than once takes the larger of each label."""
-    one = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 0).cast("int")).alias("junk"), F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(one, "doc_id")
+def category_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, junk, toxic).  A document labelled more than once takes the larger of each."""
+    return labels.groupBy("doc_id").agg(F.max((F.col("quality") == 0).cast("int")).alias("junk"), F.max("toxic").alias("toxic"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None) -> DataFrame:
     """``docs`` with p_junk, p_toxic and toxic; trained on ``training`` (default: ``docs``) and ``labels``."""
-    chain = train(labelled_documents(docs if training is None else training, labels), CATEGORIES)
+    chain = train(docs if training is None else training, category_labels(labels), CATEGORIES)
     return score(docs, chain, CATEGORIES)
 
 
