@@ -187,6 +187,19 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", p
     return docs.mapInArrow(work, schema)
 
 
+#: A text whose best language is less probable than this is in no learned language.
+LEAST_SCORE = 0.35
+
+
+def keep_known(docs: DataFrame, model: LanguageModel | None, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` whose texts have letters and a language with probability ``least`` or more; without a model nothing
+    can be told and all rows stay.  Columns stay as they are."""
+    if model is None:
+        return docs
+    judged = identify(docs, model, text, "__lang_pred", "__lang_score")
+    return judged.where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__lang_score") >= least)).select(*docs.columns)
+
+
 def held_out(key) -> F.Column:
     """The fold that training never sees: crc32 of the key as text, modulo 4, is 2."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % 4 == 2

@@ -123,8 +123,7 @@ def _links(threshold: float):
 def _elements(docs: DataFrame, key: str, text: str, wanted: DataFrame, k: int) -> DataFrame:
     """(id, elements) of the wanted documents, from their whole texts."""
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    kept = texts.join(wanted, "id", "left_semi")
+    kept = texts.join(_bounded(wanted), "id", "left_semi")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,3 +201,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 def op10_near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """Contract columns for ``documents``: 3-word shingles, similarity 0.85."""
     return near_duplicates(documents, k=3, threshold=0.85)
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one with the smallest key.
+
+    Rows without words are no one's duplicates and stay, as do all rows that are linked with nothing.  Rows that
+    repeat a key are one document and leave one row.  A null key stands for its text, after all other keys.
+    """
+    scratch = Scratch(docs.sparkSession, "dedup")
+    named = "__row_key"
+    unnamed = F.xxhash64(F.col(text)).bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 61))
+    rows = docs.withColumn(named, F.coalesce(F.col(key).cast("long"), unnamed))
+    groups = scratch.save(near_duplicates(rows, named, text, k, threshold), "groups")
+    gone = scratch.save(groups.where("not kept").select(named).distinct(), "gone")
+    often = scratch.save(groups.where("kept").groupBy(named).count().where("count > 1").select(named), "often")
+    left = rows.join(_bounded(gone), named, "left_anti")
+    if not often.isEmpty():
+        once = left.join(_bounded(often), named, "left_semi").dropDuplicates([named])
+        left = left.join(_bounded(often), named, "left_anti").unionByName(once)
+    return left.select(*docs.columns)
+
+
+def _bounded(ids: DataFrame) -> DataFrame:
+    """Ids to be broadcast if there are few enough of them, else joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

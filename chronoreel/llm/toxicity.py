@@ -215,6 +215,12 @@ def classify(docs: DataFrame, labels: DataFrame, training: DataFrame | None = No
     return score(docs, chain, CATEGORIES)
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` that the chain does not call toxic; columns stay as they are."""
+    chain = train(docs, category_labels(labels), CATEGORIES)
+    return score(docs, chain, CATEGORIES, prefix="__p_", flag="__toxic").where("not __toxic").select(*docs.columns)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's category probabilities and verdict."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
