@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronoreel.plans import retrieval, scenes, text
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+_ALL: dict[str, tuple[Query, str | None]] = {**retrieval.QUERIES, **scenes.QUERIES, **text.QUERIES}
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
