@@ -56,7 +56,7 @@ def video_summary(chunks: DataFrame, created: str = "created_ms", path: str = "f
     c = F.col("collection")
     n = lambda i: F.count_if(c == i).alias
     priority = F.when(c == 1, 0).when(c == 0, 1).when(c == 3, 2)
-    named = F.min_by(path, F.when(F.coalesce(F.col(path), F.lit("")) != "", F.struct(priority.alias("p"), F.col("chunk_id").alias("c"))))
+    named = F.min_by(path, F.when(priority.isNotNull() & (F.coalesce(F.col(path), F.lit("")) != ""), F.struct(priority.alias("p"), F.col("chunk_id").alias("c"))))
     g = chunks.groupBy("video_id").agg(
         n(0)("n_visual"), n(1)("n_text"), n(3)("n_qa"), F.max(created).alias("last_indexed"), F.bool_or((c == 1) & (F.col("chunk_type") == "SceneSummary")).alias("described"), named.alias("path")
     )
