@@ -1 +1 @@
-
+"""Readers, sources and tables derived from test data."""
