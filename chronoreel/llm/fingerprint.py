@@ -27,8 +27,9 @@ _QUANTILES = 64
 
 def canonical(text: Column) -> Column:
     """Case folded (by upper then lower case), normal form C, white space folded and trimmed; null is empty."""
-    folded = F.lower(F.upper(F.coalesce(text, F.lit(""))))
-    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), folded, F.lit(False))
+    nfc = lambda t: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(False))
+    # composed in between as well, where Spark would drop a bare upper case below a lower case
+    composed = nfc(F.lower(nfc(F.upper(F.coalesce(text, F.lit(""))))))
     return F.trim(F.regexp_replace(composed, rf"{_SPACE}{{2,}}|(?! ){_SPACE}", " "))
 
 
