@@ -3,10 +3,15 @@ confirmation on full shingle sets, and components by alternating large-star and
 
 Documents with one and the same shingle set form a class, and only the class's smallest
 document takes part further on.  Class members that share a band meet in a bucket; buckets
-with the same members are met once.  A large bucket is dealt to blocks, and every pair of
-blocks is compared in a task of its own, so no task holds more than two blocks.  A task
-compares signatures, confirms on full sets and returns links of a spanning forest: at most
-one row a member, never all pairs.
+with the same members are met once.  A task compares the signatures of a bucket's members,
+confirms on full sets and returns links of a spanning forest: at most one row a member,
+never all pairs.
+
+A bucket of more than BLOCK members is first linked as a star to its smallest member.  What
+that joins is one component and need not be compared again: if it is the whole bucket, the
+bucket is done.  Otherwise members outside the largest component are compared, in blocks,
+with each other and with that component, every pair of blocks in a task of its own, so no
+link is lost and no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from chronoreel.llm._text import SPACES, Words, buffers, chunks, shingles
 #: 32 bands of 6 minima: a pair at similarity 0.85 shares none with probability 3e-7, at 0.8 6e-5.
 BANDS, ROWS = 32, 6
 MINIMA = BANDS * ROWS
-#: Members of a bucket that one task holds, times two.
+#: Members of one block; a task holds two at most.
 BLOCK = 256
 #: Standard deviations below the threshold at which an estimate from signatures rules a pair out.
 SLACK = 5.0
@@ -88,7 +93,8 @@ def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _links(threshold: float):
-    """Links within a group of members (block pair of a bucket): exact, forming a forest."""
+    """Links within a group of members: exact, forming a forest over what ``part`` already joins.  Members of different
+    sides are compared if the group is crossing, all otherwise."""
     floor = threshold - SLACK * (threshold * (1 - threshold) / MINIMA) ** 0.5
     percent = round(threshold * 100)
 
@@ -100,26 +106,75 @@ def _links(threshold: float):
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("elements").to_pylist()]
         sigs = np.stack([np.frombuffer(x, dtype="<u4") for x in table.column("sig").to_pylist()])
         sizes = np.array([len(x) for x in sets])
-        root = np.arange(n)
+        number: dict = {}
+        root = np.array([number.setdefault(p, len(number)) for p in table.column("part").to_pylist()])
         out: list[tuple[int, int]] = []
         for i in range(1, n):
-            like = (sigs[:i] == sigs[i]).mean(axis=1)
-            fits = (np.minimum(sizes[:i], sizes[i]) * 100 >= percent * np.maximum(sizes[:i], sizes[i])) & (like >= floor)
+            apart = root[:i] != root[i]
             if crossing:
-                fits &= sides[:i] != sides[i]
-            found = np.flatnonzero(fits)
-            for j in found[np.argsort(-like[found], kind="stable")].tolist():
+                apart &= sides[:i] != sides[i]
+            at = np.flatnonzero(apart & (np.minimum(sizes[:i], sizes[i]) * 100 >= percent * np.maximum(sizes[:i], sizes[i])))
+            like = (sigs[at] == sigs[i]).mean(axis=1)
+            at, like = at[like >= floor], like[like >= floor]
+            for j in at[np.argsort(-like, kind="stable")].tolist():
                 if root[i] == root[j]:
                     continue
                 shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * shared >= percent * (sizes[i] + sizes[j] - shared):
                     out.append((ids[i], ids[j]))
                     root[root == root[i]] = root[j]
-        return pa.table({"a": pa.array([x for x, _ in out], table.schema.field("id").type), "b": pa.array([x for _, x in out], table.schema.field("id").type)})
+        kind = table.schema.field("id").type
+        return pa.table({"a": pa.array([x for x, _ in out], kind), "b": pa.array([x for _, x in out], kind)})
 
     return work
 
 
+GROUP = ("bucket", "step", "x", "y")
+
+
+def _compare(rows: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+    """Links found in every group of ``rows`` (GROUP, id, side, crossing, part)."""
+    kind = rows.schema["id"].dataType
+    edge = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    return rows.join(full, "id").groupBy(*GROUP).applyInArrow(_links(threshold), edge)
+
+
+def _block(of: str) -> F.Column:
+    """A member's block among as many as ``of`` members fill."""
+    return F.pmod(F.xxhash64("id", F.lit(SEED)), _blocks(of)).cast("int")
+
+
+def _blocks(of: str) -> F.Column:
+    return F.greatest(F.ceil(F.col(of) / BLOCK), F.lit(1)).cast("int")
+
+
+def _each(n: F.Column) -> F.Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def _star_rows(large: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Each block of a large bucket together with the bucket's leader."""
+    members = large.join(leaders.drop("members"), "bucket").where(F.col("id") != F.col("leader"))
+    members = members.select("bucket", F.lit(1).alias("step"), F.lit(0).alias("x"), _block("members").alias("y"), "id", F.lit(1).alias("side"))
+    heads = leaders.select("bucket", F.lit(1).alias("step"), F.lit(0).alias("x"), _each(_blocks("members")).alias("y"), F.col("leader").alias("id"), F.lit(0).alias("side"))
+    return members.unionByName(heads).select(*GROUP, "id", "side", F.lit(True).alias("crossing"), F.col("id").alias("part"))
+
+
+def _rest_rows(parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Groups in which members outside a bucket's largest part meet each other and that part.  ``parts`` has bucket,
+    id and part."""
+    sizes = parts.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+    split = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("members"))
+    split = scratch.save(split.where("inside < members").withColumn("outside", F.col("members") - F.col("inside")).drop("members"), "split")
+    rows = scratch.save(parts.join(split, "bucket").withColumn("is_main", F.col("part") == F.col("main")), "parts")
+    few, many = rows.where("not is_main").withColumn("own", _block("outside")), rows.where("is_main").withColumn("own", _block("inside"))
+    among = few.withColumn("o", _each(_blocks("outside")))
+    among = among.select("bucket", F.lit(2).alias("step"), F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), "id", F.col("own").alias("side"), (F.col("own") != F.col("o")).alias("crossing"), "part")
+    to_main = few.select("bucket", F.lit(3).alias("step"), F.col("own").alias("x"), _each(_blocks("inside")).alias("y"), "id", F.lit(0).alias("side"), F.lit(True).alias("crossing"), "part")
+    of_main = many.select("bucket", F.lit(3).alias("step"), _each(_blocks("outside")).alias("x"), F.col("own").alias("y"), "id", F.lit(1).alias("side"), F.lit(True).alias("crossing"), "part")
+    return among.unionByName(to_main).unionByName(of_main)
+
+
 def _elements(docs: DataFrame, key: str, text: str, wanted: DataFrame, k: int) -> DataFrame:
     """(id, elements) of the wanted documents, from their whole texts."""
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
@@ -176,20 +231,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     in_bands, once = _buckets(classes)
     once = scratch.save(once, "buckets")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = scratch.save(in_bands.join(once, "bucket").select("bucket", "id", blocks.alias("blocks")), "members")
+    placed = scratch.save(in_bands.join(once, "bucket").select("bucket", "id", "members"), "members")
     wanted = scratch.save(placed.select("id").distinct(), "wanted")
-    elements = _elements(docs, key, text, wanted, k).groupBy("id").agg(F.first("elements").alias("elements"))
-    full = elements.join(classes.select("id", "sig"), "id")
-    own = F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = placed.withColumn("side", own).withColumn("other", other)
-    met = met.select("bucket", "id", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
-    met = met.withColumn("crossing", F.col("x") != F.col("y"))
-    kind = signed.schema["id"].dataType
-    edge = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    links = met.join(full, "id").groupBy("bucket", "x", "y").applyInArrow(_links(threshold), edge)
-    found = components(scratch, links)
+    full = _elements(docs, key, text, wanted, k).groupBy("id").agg(F.first("elements").alias("elements")).join(classes.select("id", "sig"), "id")
+    once_met = placed.where(F.col("members") <= BLOCK)
+    rows = once_met.select("bucket", F.lit(0).alias("step"), F.lit(0).alias("x"), F.lit(0).alias("y"), "id", F.lit(0).alias("side"), F.lit(False).alias("crossing"), F.col("id").alias("part"))
+    large = scratch.save(placed.where(F.col("members") > BLOCK), "large")
+    stars = None
+    if not large.isEmpty():
+        leaders = scratch.save(large.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("members").alias("members")), "leaders")
+        stars = scratch.save(_compare(_star_rows(large, leaders), full, threshold), "stars")
+        joined = components(scratch, stars)
+        parts = large.join(joined, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
+        rows = rows.unionByName(_rest_rows(parts, scratch))
+    links = _compare(rows, full, threshold)
+    found = components(scratch, links if stars is None else links.unionByName(stars))
 
     named = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     named = scratch.save(named, "named")
