@@ -22,11 +22,11 @@ def sample_frames(frames: DataFrame, every: str = SAMPLE, late: str = KEEP) -> D
     return windows.select("video_id", F.col("window.start").alias("window_start"), "f.ts", "f.event_id", "f.signal")
 
 
-def live_scenes(frames: DataFrame, threshold: float) -> DataFrame:
+def live_scenes(frames: DataFrame, threshold: float, idle_ms: int | None = None) -> DataFrame:
     """(video_id, scene_id, start_ms, end_ms): scenes as they close.  State a video: the open scene and its last frame.
 
     Frames of a micro-batch are taken in order; across batches they must come in order, as a player's do.  A scene
-    closes when a frame differs from the one before by more than ``threshold``, or after the idle time-out.
+    closes when a frame differs from the one before by more than ``threshold``, or after ``idle_ms`` without frames.
     ``frames`` has video_id, ts_ms, event_id and signal.
     """
 
@@ -50,11 +50,12 @@ def live_scenes(frames: DataFrame, threshold: float) -> DataFrame:
             held = (scene, start, ts, signal)
         if held is not None:
             state.update(held)
-            state.setTimeoutDuration(1_800_000)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["video_id", "scene_id", "start_ms", "end_ms"])
 
     return frames.groupBy("video_id").applyInPandasWithState(
-        step, "video_id long, scene_id long, start_ms long, end_ms long", "scene_id long, start_ms long, last_ms long, signal double", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "video_id long, scene_id long, start_ms long, end_ms long", "scene_id long, start_ms long, last_ms long, signal double", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     )
 
 
