@@ -14,7 +14,7 @@ from chronoreel.functions.questions import evidence_weight
 
 RRF_K = 60
 OVERLAP = 0.7
-#: Queries of one block: what a pass over the chunks broadcasts.
+#: Queries of one block on average: what the driver holds and a pass over the chunks broadcasts.
 QUERY_BLOCK = 2048
 
 
@@ -55,11 +55,13 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, min_score: float
     spark = chunks.sparkSession
     kinds = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField(key, chunks.schema[key].dataType), T.StructField("score", T.DoubleType())])
     wanted = ["query_id", "query", *(["query_video"] if same_video else [])]
-    table = queries.select(*wanted).where(F.size("query") > 0).orderBy("query_id").toArrow() if k > 0 else None
+    asked = queries.select(*wanted).where(F.size("query") > 0)
     out = spark.createDataFrame([], kinds)
-    for i in range(0, table.num_rows if table else 0, QUERY_BLOCK):
-        block = table.slice(i, QUERY_BLOCK)
-        out = out.unionByName(_block_topk(chunks, spark.sparkContext.broadcast(block), k, min_score, same_video, vector, key, kinds))
+    blocks = -(-asked.count() // QUERY_BLOCK) if k > 0 else 0
+    for i in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()
+        if block.num_rows:
+            out = out.unionByName(_block_topk(chunks, spark.sparkContext.broadcast(block), k, min_score, same_video, vector, key, kinds))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
