@@ -65,6 +65,10 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.unique(shingles(words.hash[words.first[n] : words.first[n + 1]], k))
 
 
+def _digest(elements: bytes) -> bytes | None:
+    return hashlib.blake2b(elements, digest_size=16).digest() if elements else None
+
+
 def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """(id, n_shingles, digest, sig): the digest names the set; sig is null for the empty set."""
 
@@ -73,7 +77,7 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
             counts, digests, sigs = [], [], []
             for elements in _sets(batch.column(1), k):
                 counts.append(len(elements))
-                digests.append(hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else None)
+                digests.append(_digest(elements.tobytes()))
                 sigs.append(signature(elements).tobytes() if len(elements) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["id", "n_shingles", "digest", "sig"])
 
@@ -176,15 +180,16 @@ def _rest_rows(parts: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _elements(docs: DataFrame, key: str, text: str, wanted: DataFrame, k: int) -> DataFrame:
-    """(id, elements) of the wanted documents, from their whole texts."""
+    """(id, digest, elements) of the wanted documents, from their whole texts."""
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kept = texts.join(_bounded(wanted), "id", "left_semi")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _sets(batch.column(1), k)], pa.binary())], ["id", "elements"])
+            sets = [x.tobytes() for x in _sets(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["id", "digest", "elements"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("elements", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("digest", T.BinaryType()), T.StructField("elements", T.BinaryType())])
     return kept.mapInArrow(work, schema)
 
 
@@ -219,7 +224,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     Words are runs of non-space, A-Z lower-cased; a document's set holds its distinct ``k``-word shingles, or all
     its words as one when it has fewer.  Documents whose sets' Jaccard similarity is ``threshold`` or more are
     linked; ``component_id`` is the smallest key reachable and ``kept`` marks it.  Null, empty and blank texts are
-    linked with nothing.  Rows that repeat a key are one document.  A null key gets the component of its copies,
+    linked with nothing.  Rows that repeat a key are one document, linked as any of their texts is.  A null key gets the component of its copies,
     if any, else null, and is kept only then.  Only the two named columns are read.
     """
     spark: SparkSession = docs.sparkSession
@@ -233,18 +238,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     once = scratch.save(once, "buckets")
     placed = scratch.save(in_bands.join(once, "bucket").select("bucket", "id", "members"), "members")
     wanted = scratch.save(placed.select("id").distinct(), "wanted")
-    full = _elements(docs, key, text, wanted, k).groupBy("id").agg(F.first("elements").alias("elements")).join(classes.select("id", "sig"), "id")
+
+    def full(ids: DataFrame) -> DataFrame:
+        sets = _elements(docs, key, text, ids, k).groupBy("id", "digest").agg(F.first("elements").alias("elements"))
+        return sets.join(classes, ["id", "digest"]).drop("digest")
+
     once_met = placed.where(F.col("members") <= BLOCK)
     rows = once_met.select("bucket", F.lit(0).alias("step"), F.lit(0).alias("x"), F.lit(0).alias("y"), "id", F.lit(0).alias("side"), F.lit(False).alias("crossing"), F.col("id").alias("part"))
     large = scratch.save(placed.where(F.col("members") > BLOCK), "large")
     stars = None
     if not large.isEmpty():
         leaders = scratch.save(large.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("members").alias("members")), "leaders")
-        stars = scratch.save(_compare(_star_rows(large, leaders), full, threshold), "stars")
+        inside = scratch.save(large.select("id").distinct(), "inside")
+        stars = scratch.save(_compare(_star_rows(large, leaders), full(inside), threshold), "stars")
         joined = components(scratch, stars)
         parts = large.join(joined, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
         rows = rows.unionByName(_rest_rows(parts, scratch))
-    links = _compare(rows, full, threshold)
+    links = _compare(rows, full(wanted), threshold)
     found = components(scratch, links if stars is None else links.unionByName(stars))
 
     named = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
