@@ -279,5 +279,4 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(found["items"]).cast("long").alias("n_items"),
         F.sha2(F.array_join(found["items"], ","), 256).alias("items_sha256"),
         (found["n_hit"] > 0).alias("contaminated"),
-        found["longest_match"].alias("longest_match"),
     )

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest_llm import components_of, shingles
+from conftest_llm import components_of, prose, shingles
 
 from chronoreel.llm import minhash
 
@@ -60,3 +60,11 @@ def test_query_on_table(spark, sf_dir):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     got = {r.doc_id: r.component_id for r in minhash.op10_near_duplicates(spark, docs).collect()}
     assert got == components_of(rows, 3, 85)
+
+
+def test_one_key_with_two_texts(spark):
+    """A document given twice with unlike texts joins the groups of both."""
+    a, b = prose(50, 80), prose(51, 80)
+    rows = [(5, a), (5, b), (7, a + " more"), (9, "less " + b), (3, prose(52, 80))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, threshold=0.85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 5), (5, 5), (7, 5), (9, 5)]
