@@ -156,11 +156,15 @@ def _each(n: F.Column) -> F.Column:
     return F.explode(F.sequence(F.lit(0), n - 1))
 
 
-def _star_rows(large: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Each block of a large bucket together with the bucket's leader."""
-    members = large.join(leaders.drop("members"), "bucket").where(F.col("id") != F.col("leader"))
-    members = members.select("bucket", F.lit(1).alias("step"), F.lit(0).alias("x"), _block("members").alias("y"), "id", F.lit(1).alias("side"))
-    heads = leaders.select("bucket", F.lit(1).alias("step"), F.lit(0).alias("x"), _each(_blocks("members")).alias("y"), F.col("leader").alias("id"), F.lit(0).alias("side"))
+def _star_rows(large: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each leader with blocks of its members: a large bucket's leader is its smallest member, and buckets of one
+    leader are met together."""
+    leaders = scratch.save(large.groupBy("bucket").agg(F.min("id").alias("leader")), "leaders")
+    pairs = scratch.save(large.join(leaders, "bucket").where(F.col("id") != F.col("leader")).select("leader", "id").distinct(), "stars")
+    sizes = scratch.save(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    star = [F.xxhash64("leader").alias("bucket"), F.lit(1).alias("step"), F.lit(0).alias("x")]
+    members = pairs.join(sizes, "leader").select(*star, _block("n").alias("y"), "id", F.lit(1).alias("side"))
+    heads = sizes.select(*star, _each(_blocks("n")).alias("y"), F.col("leader").alias("id"), F.lit(0).alias("side"))
     return members.unionByName(heads).select(*GROUP, "id", "side", F.lit(True).alias("crossing"), F.col("id").alias("part"))
 
 
@@ -248,9 +252,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     large = scratch.save(placed.where(F.col("members") > BLOCK), "large")
     stars = None
     if not large.isEmpty():
-        leaders = scratch.save(large.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("members").alias("members")), "leaders")
         inside = scratch.save(large.select("id").distinct(), "inside")
-        stars = scratch.save(_compare(_star_rows(large, leaders), full(inside), threshold), "stars")
+        stars = scratch.save(_compare(_star_rows(large, scratch), full(inside), threshold), "stars")
         joined = components(scratch, stars)
         parts = large.join(joined, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
         rows = rows.unionByName(_rest_rows(parts, scratch))
