@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +21,18 @@ def session(app: str = "chronoreel", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a context, unless PYTHONPATH already leads there."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    listed = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in listed or getattr(context, "_chronoreel_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="chronoreel-")) / "chronoreel.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted((root / "chronoreel").rglob("*.py")):
+            z.write(path, path.relative_to(root))
+    context.addPyFile(str(archive))
+    context._chronoreel_shipped = True
