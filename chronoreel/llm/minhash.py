@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     def full(ids: DataFrame) -> DataFrame:
         sets = _elements(docs, key, text, ids, k).groupBy("id", "digest").agg(F.first("elements").alias("elements"))
-        return sets.join(classes, ["id", "digest"]).drop("digest")
+        return sets.join(classes.join(_bounded(ids), "id", "left_semi"), ["id", "digest"]).drop("digest")
 
     once_met = placed.where(F.col("members") <= BLOCK)
     rows = once_met.select("bucket", F.lit(0).alias("step"), F.lit(0).alias("x"), F.lit(0).alias("y"), "id", F.lit(0).alias("side"), F.lit(False).alias("crossing"), F.col("id").alias("part"))
