@@ -87,7 +87,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def chunks(offsets: np.ndarray, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, max_bytes: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of at most max_bytes each, and at least one row: bounds the scratch arrays."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -97,6 +97,11 @@ def chunks(offsets: np.ndarray, max_bytes: int = 1 << 20) -> Iterator[tuple[int,
         i = j
 
 
+def tidy() -> None:
+    """Gives freed Arrow memory back at a task's end: workers live on and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+
+
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-word shingles of one text; fewer words give one shingle of all."""
     n = len(hashes)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoreel.llm._linear import Example, Ftrl, bounded_sample, fit_temperature, logits, softmax
-from chronoreel.llm._text import chunks
+from chronoreel.llm._text import chunks, tidy
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
@@ -72,10 +72,11 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def _by_text(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, features, bounds) in chunks of bounded size."""
-    texts = column.to_pylist()
-    at = np.concatenate([[0], np.cumsum([len(t or "") for t in texts])])
-    for i, j in chunks(at, 1 << 18):
-        yield i, j, *ngrams(texts[i:j])
+    for first in range(0, len(column), 256):
+        texts = column.slice(first, 256).to_pylist()
+        at = np.concatenate([[0], np.cumsum([len(t or "") for t in texts])])
+        for i, j in chunks(at):
+            yield first + i, first + j, *ngrams(texts[i:j])
 
 
 @dataclass(frozen=True)
@@ -183,6 +184,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", p
                     for k in np.flatnonzero(np.diff(bounds)).tolist():
                         labels[i + k] = model.languages[int(p[k].argmax())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(best)], [*names, pred, score])
+        tidy()
 
     return docs.mapInArrow(work, schema)
 

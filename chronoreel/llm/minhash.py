@@ -2,12 +2,13 @@
 confirmation on full shingle sets, and components by alternating large-star and small-star.
 
 Documents with one and the same shingle set form a class, and only the class's smallest
-document takes part further on.  Class members that share a band meet in a bucket; buckets
-with the same members are met once.  A task compares the signatures of a bucket's members,
-confirms on full sets and returns links of a spanning forest: at most one row a member,
-never all pairs.
+document takes part further on.  Members that share a band meet in a bucket, and buckets that
+share members form a cluster.  A cluster of up to BLOCK members is compared as one group: the
+signatures first, then the full sets.  A task returns links of a spanning forest: at most one
+row a member, never all pairs.
 
-A bucket of more than BLOCK members is first linked as a star to its smallest member.  What
+In larger clusters every bucket is a group of its own; buckets with the same members are met
+once.  A bucket of more than BLOCK members is first linked as a star to its smallest member.  What
 that joins is one component and need not be compared again: if it is the whole bucket, the
 bucket is done.  Otherwise members outside the largest component are compared, in blocks,
 with each other and with that component, every pair of blocks in a task of its own, so no
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoreel.llm._io import Scratch
-from chronoreel.llm._text import SPACES, Words, buffers, chunks, shingles
+from chronoreel.llm._text import SPACES, Words, buffers, chunks, shingles, tidy
 
 #: 32 bands of 6 minima: a pair at similarity 0.85 shares none with probability 3e-7, at 0.8 6e-5.
 BANDS, ROWS = 32, 6
@@ -80,6 +81,7 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
                 digests.append(_digest(elements.tobytes()))
                 sigs.append(signature(elements).tobytes() if len(elements) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["id", "n_shingles", "digest", "sig"])
+        tidy()
 
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType), *T._parse_datatype_string("n_shingles long, digest binary, sig binary")])
     return docs.select(F.col(key).alias("id"), F.col(text)).mapInArrow(work, schema)
@@ -156,6 +158,15 @@ def _each(n: F.Column) -> F.Column:
     return F.explode(F.sequence(F.lit(0), n - 1))
 
 
+def _clusters(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, cluster, within): members that buckets join, directly or through others, and how many a cluster has."""
+    leaders = scratch.save(placed.groupBy("bucket").agg(F.min("id").alias("leader")), "bucket-leaders")
+    met = components(scratch, placed.join(leaders, "bucket").select(F.col("id").alias("a"), F.col("leader").alias("b")))
+    met = scratch.save(met.unionByName(met.select(F.col("component").alias("id"), "component").distinct()), "met")
+    sizes = scratch.save(met.groupBy("component").agg(F.count(F.lit(1)).alias("within")), "cluster-sizes")
+    return met.join(sizes, "component").select("id", F.col("component").alias("cluster"), "within")
+
+
 def _star_rows(large: DataFrame, scratch: Scratch) -> DataFrame:
     """Each leader with blocks of its members: a large bucket's leader is its smallest member, and buckets of one
     leader are met together."""
@@ -192,6 +203,7 @@ def _elements(docs: DataFrame, key: str, text: str, wanted: DataFrame, k: int) -
         for batch in batches:
             sets = [x.tobytes() for x in _sets(batch.column(1), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["id", "digest", "elements"])
+        tidy()
 
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("digest", T.BinaryType()), T.StructField("elements", T.BinaryType())])
     return kept.mapInArrow(work, schema)
@@ -247,9 +259,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         sets = _elements(docs, key, text, ids, k).groupBy("id", "digest").agg(F.first("elements").alias("elements"))
         return sets.join(classes.join(_bounded(ids), "id", "left_semi"), ["id", "digest"]).drop("digest")
 
-    once_met = placed.where(F.col("members") <= BLOCK)
-    rows = once_met.select("bucket", F.lit(0).alias("step"), F.lit(0).alias("x"), F.lit(0).alias("y"), "id", F.lit(0).alias("side"), F.lit(False).alias("crossing"), F.col("id").alias("part"))
-    large = scratch.save(placed.where(F.col("members") > BLOCK), "large")
+    clusters = scratch.save(_clusters(placed, scratch), "clusters")
+    alone = [F.lit(0).alias("step"), F.lit(0).alias("x"), F.lit(0).alias("y"), "id", F.lit(0).alias("side"), F.lit(False).alias("crossing"), F.col("id").alias("part")]
+    rows = clusters.where(F.col("within") <= BLOCK).select(F.xxhash64("cluster").alias("bucket"), *alone)
+    wide = scratch.save(placed.join(clusters.where(F.col("within") > BLOCK).select("id"), "id", "left_semi"), "wide")
+    rows = rows.unionByName(wide.where(F.col("members") <= BLOCK).select("bucket", *alone))
+    large = scratch.save(wide.where(F.col("members") > BLOCK), "large")
     stars = None
     if not large.isEmpty():
         inside = scratch.save(large.select("id").distinct(), "inside")

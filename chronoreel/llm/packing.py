@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoreel.llm._text import tidy
+
 CONTEXTS = (512, 1024, 2048, 4096)
 EOS = 2
 #: Tokens that a task holds at once; the longest document comes on top.
 WINDOW_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 18
 #: Words whose ids a worker remembers; beyond that it forgets all and starts again.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, context int, step_group long"
 
@@ -264,6 +266,7 @@ def pack(
                         yield from flush(False)
         if fragments:
             yield from flush(True)
+        tidy()
 
     return df.select(F.col(key), F.col(text)).mapInArrow(work, schema)
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from chronoreel.llm._io import Scratch, read_table
 from chronoreel.llm._linear import Example, Ftrl, labelled_sample, logits
-from chronoreel.llm._text import NOT_ALPHA, Words, buffers, chunks, mix64
+from chronoreel.llm._text import NOT_ALPHA, Words, buffers, chunks, mix64, tidy
 
 #: Sampled documents that must hold a feature before it gets a weight.
 LEAST_DOCUMENTS = 5
@@ -196,6 +196,7 @@ def score(docs: DataFrame, chain: Chain | None, categories: tuple[str, ...], tex
                     p[i : i + words.n] = chain.probabilities(base)
                 hit = p[:, -1] >= chain.thresholds[-1]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, c]) for c in range(len(categories))), pa.array(hit)], [*names, *(f"{prefix}{c}" for c in categories), flag])
+        tidy()
 
     return docs.mapInArrow(work, schema)
 
