@@ -33,7 +33,7 @@ from chronoreel.llm._text import SPACES, Words, buffers, chunks, shingles, tidy
 BANDS, ROWS = 32, 6
 MINIMA = BANDS * ROWS
 #: Members of one block; a task holds two at most.
-BLOCK = 256
+BLOCK = 1024
 #: Standard deviations below the threshold at which an estimate from signatures rules a pair out.
 SLACK = 5.0
 #: Rows of document ids that may be broadcast (16 MB); beyond, ids and texts are joined by a shuffle.

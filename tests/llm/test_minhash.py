@@ -36,7 +36,7 @@ def test_chains_and_large_groups(spark):
         text[(i * 7) % 100] = word()
         text[(i * 7 + 1) % 100] = word()
     base = [word() for _ in range(120)]
-    for i in range(700):
+    for i in range(1300):
         copy = list(base)
         for at in r.sample(range(120), r.randint(0, 4)):
             copy[at] = word()
