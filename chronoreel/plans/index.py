@@ -117,6 +117,15 @@ def history_last4(spark, sf_dir):
 HISTORY_SQL = f"WITH {X.MESSAGES} SELECT conversation_id, seq, role, left(content, 100) AS content FROM messages WHERE role <> 'system' QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY seq DESC) <= 4"
 
 
+def history_last4_whole(spark, sf_dir):
+    """The last four messages with their whole content; ``history_last4`` shows 100 characters of each."""
+    rows = X.messages(spark, sf_dir).where("role <> 'system'")
+    return I.last_per_key(rows, "conversation_id", "seq", 4).select("conversation_id", "seq", "role", "content")
+
+
+HISTORY_WHOLE_SQL = f"WITH {X.MESSAGES} SELECT conversation_id, seq, role, content FROM messages WHERE role <> 'system' QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY seq DESC) <= 4"
+
+
 def history_seed(spark, sf_dir):
     """Each conversation's history without system messages, as one ordered text."""
     rows = X.messages(spark, sf_dir).where("role <> 'system'")
@@ -275,6 +284,7 @@ QUERIES = {
     "invalidate_video": (invalidate_video, f"WITH {_INDEXED} SELECT chunk_id, video_id, collection FROM indexed WHERE video_id <> 3 AND NOT (video_id = 4 AND collection = 0)"),
     "cascade_delete": (cascade_delete, CASCADE_SQL),
     "history_last4": (history_last4, HISTORY_SQL),
+    "history_last4_whole": (history_last4_whole, HISTORY_WHOLE_SQL),
     "history_seed": (history_seed, SEED_SQL),
     "anti_append": (anti_append, ANTI_SQL),
     "search_box": (search_box, SEARCH_SQL),
