@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,32 +64,41 @@ def cluster(descriptions: DataFrame, threshold: float = MATCH) -> DataFrame:
     """Online leader clustering within each video, in the order of (ts_ms, desc_id): a description joins the entity whose
     first description is most similar, if the cosine reaches ``threshold``, else opens ``<entity_type>_<n>``.
 
-    Order decides, so a video's descriptions are one group: scenes of one video, as a rule a few thousand rows.
+    Order decides, so one task reads a video's descriptions, sorted by Spark and as Arrow batches; it holds a batch and the
+    first descriptions of the current video's entities.  Null times and ids come last.
     """
     schema = "video_id long, desc_id long, ts_ms long, entity_id string, opened boolean"
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "desc_id"], kind="stable")
-        leaders, names, found, fresh = np.zeros((8, len(pdf["embedding"].iloc[0]))), [], [], []
-        for kind, vector in zip(pdf["entity_type"], pdf["embedding"], strict=True):
-            v = np.asarray(vector, dtype=np.float64)
-            length = np.sqrt(v @ v)
-            v = v / length if length > 0 else v
-            n = len(names)
-            scores = leaders[:n] @ v
-            best = int(scores.argmax()) if n else -1
-            new = n == 0 or scores[best] < threshold
-            if new:
-                if n == len(leaders):
-                    leaders = np.vstack([leaders, np.zeros_like(leaders)])
-                leaders[n] = v
-                names.append(f"{kind}_{n + 1}")
-                best = n
-            found.append(names[best])
-            fresh.append(new)
-        return pd.DataFrame({"video_id": pdf["video_id"], "desc_id": pdf["desc_id"], "ts_ms": pdf["ts_ms"], "entity_id": found, "opened": fresh})
-
-    return descriptions.groupBy("video_id").applyInPandas(assign, schema)
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started, current = False, None
+        leaders, names = np.zeros((0, 0)), []
+        for batch in batches:
+            found, fresh = [], []
+            for video, kind, vector in zip(batch.column("video_id").to_pylist(), batch.column("entity_type").to_pylist(), batch.column("embedding"), strict=True):
+                v = np.asarray(vector.values, dtype=np.float64)
+                if not started or video != current:
+                    started, current = True, video
+                    leaders, names = np.zeros((8, len(v))), []
+                length = np.sqrt(v @ v)
+                v = v / length if length > 0 else v
+                n = len(names)
+                scores = leaders[:n] @ v
+                best = int(scores.argmax()) if n else -1
+                new = n == 0 or scores[best] < threshold
+                if new:
+                    if n == len(leaders):
+                        leaders = np.vstack([leaders, np.zeros_like(leaders)])
+                    leaders[n] = v
+                    names.append(f"{kind}_{n + 1}")
+                    best = n
+                found.append(names[best])
+                fresh.append(bool(new))
+            ids = [batch.column(c) for c in ("video_id", "desc_id", "ts_ms")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(found, pa.string()), pa.array(fresh, pa.bool_())], ["video_id", "desc_id", "ts_ms", "entity_id", "opened"])
+
+    ids = [F.col(c).cast("long").alias(c) for c in ("video_id", "desc_id", "ts_ms")]
+    rows = descriptions.select(*ids, "entity_type", "embedding").repartition("video_id")
+    return rows.sortWithinPartitions("video_id", F.col("ts_ms").asc_nulls_last(), F.col("desc_id").asc_nulls_last()).mapInArrow(assign, schema)
 
 
 def appearances(assigned: DataFrame) -> DataFrame:

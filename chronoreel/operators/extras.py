@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,22 +74,61 @@ def half_of_video(question: Column, duration_ms: Column) -> tuple[Column, Column
 
 def semantic_segments(segments: DataFrame, silence_ms: int = 800, least_ms: int = 15_000, most_ms: int = 30_000) -> DataFrame:
     """(video_id, start_ms, end_ms, n, text): speech merged to pieces of 15 to 30 s: cut at a silence or a full stop once
-    a piece is long enough, and in any case before it grows too long."""
-    item = F.struct("start_ms", "seg_idx", "end_ms", "text")
-    listed = segments.groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
-    piece = "struct<start_ms:bigint,end_ms:bigint,n:int,text:string>"
-    empty = F.array().cast(f"array<{piece}>")
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        long_enough = last["end_ms"] - last["start_ms"] >= least_ms
-        pause = (x["start_ms"] - last["end_ms"] >= silence_ms) | last["text"].rlike(r"[.。!?！？]\s*$")
-        fresh = (F.size(done) == 0) | (long_enough & pause) | (x["end_ms"] - last["start_ms"] > most_ms)
-        opened = F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), F.lit(1).alias("n"), x["text"].alias("text"))
-        grown = F.struct(last["start_ms"].alias("start_ms"), F.greatest(last["end_ms"], x["end_ms"]).alias("end_ms"), (last["n"] + 1).alias("n"), F.concat_ws(" ", last["text"], x["text"]).alias("text"))
-        return F.when(F.coalesce(fresh, F.lit(True)), F.concat(done, F.array(opened.cast(piece)))).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown.cast(piece))))
-
-    return listed.select("video_id", F.inline(F.aggregate("s", empty, step)))
+    a piece is long enough, and in any case before it grows too long.
+
+    One task reads a video's segments, sorted by Spark and as Arrow batches; it holds a batch and the open piece.
+    """
+    schema = f"video_id {segments.schema['video_id'].dataType.simpleString()}, start_ms long, end_ms long, n int, text string"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video = start = end = texts = None
+        n, ended = 0, _ENDS_NOT
+
+        def piece() -> tuple:
+            return video, start, end, n, " ".join(texts) if texts else None
+
+        def rows(done: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+            kinds = (like.schema.field("video_id").type, pa.int64(), pa.int64(), pa.int32(), pa.string())
+            columns = zip(*done, strict=True) if done else [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["video_id", "start_ms", "end_ms", "n", "text"])
+
+        for batch in batches:
+            done = []
+            for v, s, e, text in zip(*(batch.column(c).to_pylist() for c in ("video_id", "start_ms", "end_ms", "text")), strict=True):
+                grows = False
+                if n and v == video and None not in (start, end, e) and e - start <= most_ms:
+                    stop = (ended[1] if texts else None, s is None or s - end >= silence_ms)
+                    grows = end - start < least_ms or stop == (False, False)
+                if grows:
+                    end, n = max(end, e), n + 1
+                    ended = _ends(text, ended)
+                    if text is not None or not texts:
+                        texts.append(text or "")
+                    continue
+                if n:
+                    done.append(piece())
+                video, start, end, n = v, s, e, 1
+                texts, ended = [] if text is None else [text], _ends(text, _ENDS_NOT)
+            yield rows(done, batch)
+        if n:
+            yield rows([piece()], batch)
+
+    listed = segments.select("video_id", F.col("start_ms").cast("long").alias("start_ms"), "seg_idx", F.col("end_ms").cast("long").alias("end_ms"), "text")
+    return listed.repartition("video_id").sortWithinPartitions("video_id", "start_ms", "seg_idx", "end_ms", "text").mapInArrow(work, schema)
+
+
+#: White space of Java's \\s; line ends besides it that its $ may stand before; full stops.
+_BLANK, _LINE_ENDS, _STOPS = " \t\n\x0b\f\r", "\x85\u2028\u2029", ".。!?！？"
+_ENDS_NOT = (False, False)
+
+
+def _ends(text: str | None, before: tuple[bool, bool]) -> tuple[bool, bool]:
+    """Whether a piece that ended so ``before`` ends with a full stop and white space after ``text`` is added; and then
+    perhaps one more line end (Java's ``[.。!?！？]\\s*$``)."""
+    if text is None:
+        return before
+    bare, open_line = text.rstrip(_BLANK), (text[:-1] if text[-1:] and text[-1] in _LINE_ENDS else text).rstrip(_BLANK)
+    return (bare[-1] in _STOPS if bare else before[0]), (open_line[-1] in _STOPS if open_line else before[0])
 
 
 def assemble_calls(deltas: DataFrame) -> DataFrame:
