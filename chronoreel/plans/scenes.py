@@ -113,8 +113,25 @@ def _visual(spark, sf_dir):
     return grid.select("video_id", "scene_id", n.alias("item_id")).join(items, "item_id", "left").select("video_id", "scene_id", F.col("text").alias("description"))
 
 
+def _visual_all(spark, sf_dir):
+    """As ``_visual``, over as many numbers as the items have."""
+    items = X.table(spark, sf_dir, "benchmark")
+    grid = X.seg_scenes(spark, sf_dir).crossJoin(F.broadcast(items.agg((F.max("item_id") + 1).alias("numbers"))))
+    n = F.pmod(F.col("video_id") * 7 + F.col("scene_id"), F.col("numbers"))
+    return grid.select("video_id", "scene_id", n.alias("item_id")).join(items, "item_id", "left").select("video_id", "scene_id", F.col("text").alias("description"))
+
+
 def av_gate(spark, sf_dir):
-    rows = align.gate_scenes(X.seg_scenes(spark, sf_dir), X.segments(spark, sf_dir), _visual(spark, sf_dir))
+    return _gated(spark, sf_dir, _visual(spark, sf_dir))
+
+
+def av_gate_all(spark, sf_dir):
+    """The gate with descriptions from all items; ``av_gate`` has the first 40."""
+    return _gated(spark, sf_dir, _visual_all(spark, sf_dir))
+
+
+def _gated(spark, sf_dir, visual):
+    rows = align.gate_scenes(X.seg_scenes(spark, sf_dir), X.segments(spark, sf_dir), visual)
     return rows.select("video_id", "scene_id", F.round("key_overlap", 6).alias("key_overlap"), F.round("relevance", 9).alias("relevance"), "relation", F.round("confidence", 9).alias("confidence"))
 
 
@@ -138,6 +155,12 @@ SELECT video_id, scene_id, round(key_overlap, 6) AS key_overlap, round(relevance
     WHEN relevance >= 0.12 THEN 0.35 ELSE 0.5 + 0.3 * (0.12 - relevance) / 0.12 END), 9) AS confidence FROM r"""
 
 
+GATE_ALL_SQL = GATE_SQL.replace(
+    "LEFT JOIN benchmark b ON b.item_id = (g.video_id * 7 + g.scene_id) % 40",
+    "CROSS JOIN (SELECT max(item_id) + 1 AS numbers FROM benchmark) LEFT JOIN benchmark b ON b.item_id = (g.video_id * 7 + g.scene_id) % numbers",
+).replace("SELECT g.*, list", "SELECT g.video_id, g.scene_id, g.coverage, g.spanned, g.span, list")
+
+
 def transcript_range(spark, sf_dir):
     rows = align.transcript_range(X.segments(spark, sf_dir), 4_000, 12_000)
     return rows.select("video_id", "seg_idx", "start_ms", "end_ms")
@@ -216,6 +239,7 @@ QUERIES = {
     "segment_scene_overlap": (segment_scene_overlap, f"WITH {_SPEECH_SQL} SELECT video_id, scene_id, seg_idx, start_ms, length(text) AS chars, overlap FROM speech"),
     "coverage_span": (coverage_span, COVERAGE_SQL),
     "av_gate": (av_gate, GATE_SQL),
+    "av_gate_all": (av_gate_all, GATE_ALL_SQL),
     "transcript_range": (transcript_range, f"WITH {X.SEGMENTS} SELECT video_id, seg_idx, start_ms, end_ms FROM segments WHERE end_ms >= 4000 AND start_ms <= 12000"),
     "transcript_text": (transcript_text, TRANSCRIPT_SQL),
     "fusion_reconcile": (fusion_reconcile, FUSION_SQL),

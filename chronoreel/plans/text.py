@@ -35,6 +35,21 @@ SELECT doc_id, round(CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect
   array_to_string(list_sort(list_intersect(a, b))[1:12], ',') AS shared FROM k"""
 
 
+def keyword_overlap_all(spark, sf_dir):
+    """Every document against the benchmark item of its number, over as many numbers as the items have; ``keyword_overlap`` has the first 40."""
+    docs, items = X.table(spark, sf_dir, "documents"), X.table(spark, sf_dir, "benchmark")
+    numbers = F.broadcast(items.agg((F.max("item_id") + 1).alias("numbers")))
+    both = docs.select("doc_id", F.col("text").alias("t")).crossJoin(numbers).withColumn("item_id", F.pmod("doc_id", "numbers")).join(items, "item_id", "left")
+    a, b = TX.keywords(F.col("t")), TX.keywords(F.col("text"))
+    return both.select("doc_id", F.round(TX.keyword_overlap(a, b), 6).alias("overlap"), F.array_join(TX.shared_keywords(a, b), ",").alias("shared"))
+
+
+OVERLAP_ALL_SQL = f"""WITH d AS (SELECT doc_id, text, doc_id % numbers AS item_id FROM documents, (SELECT max(item_id) + 1 AS numbers FROM benchmark)),
+k AS (SELECT doc_id, list_distinct({keywords_sql("d.text")}) AS a, list_distinct({keywords_sql("b.text")}) AS b FROM d LEFT JOIN benchmark b USING (item_id))
+SELECT doc_id, round(CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)) ELSE 0 END, 6) AS overlap,
+  array_to_string(list_sort(list_intersect(a, b))[1:12], ',') AS shared FROM k"""
+
+
 def time_labels(spark, sf_dir):
     ms = (X.ts_ms(F.col("ts")) % 10_000_000).alias("ms")
     rows = X.table(spark, sf_dir, "events").select("event_id", ms)
@@ -226,6 +241,7 @@ ELSE CASE WHEN seg_idx % 3 >= 2 THEN 'ready' ELSE 'build_summary' END END AS act
 QUERIES = {
     "keywords": (keywords, KEYWORDS_SQL),
     "keyword_overlap": (keyword_overlap, OVERLAP_SQL),
+    "keyword_overlap_all": (keyword_overlap_all, OVERLAP_ALL_SQL),
     "time_labels": (time_labels, LABELS_SQL),
     "chunk_ids": (chunk_ids, IDS_SQL),
     "extract_timestamps": (extract_timestamps, STAMPS_SQL),
