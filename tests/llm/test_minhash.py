@@ -68,3 +68,37 @@ def test_one_key_with_two_texts(spark):
     rows = [(5, a), (5, b), (7, a + " more"), (9, "less " + b), (3, prose(52, 80))]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, threshold=0.85).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 5), (5, 5), (7, 5), (9, 5)]
+
+
+@pytest.mark.parametrize("block", [16, 64])
+def test_buckets_larger_than_a_block(spark, monkeypatch, block):
+    """With small blocks the star and rest passes run, with members outside the largest part."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    base = [word() for _ in range(120)]
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        for at in r.sample(range(120), r.randint(0, 8)):
+            copy[at] = word()
+        rows.append((5000 - i, " ".join(copy)))
+    sizes = {"star": [], "rest": [], "outside": 0}
+    star, rest = minhash._star_rows, minhash._rest_rows
+
+    def stars(large, scratch):
+        sizes["star"].append(large.groupBy("bucket").count().agg({"count": "max"}).first()[0])
+        return star(large, scratch)
+
+    def rests(parts, scratch):
+        counts = parts.groupBy("bucket", "part").count().groupBy("bucket").agg({"count": "max", "part": "count"}).collect()
+        sizes["rest"].append(len(counts))
+        sizes["outside"] = sum(x["count(part)"] > 1 for x in counts)
+        return rest(parts, scratch)
+
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "_star_rows", stars)
+    monkeypatch.setattr(minhash, "_rest_rows", rests)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(docs, k=3, threshold=0.85).collect()}
+    assert sizes["star"] and sizes["star"][0] > block and sizes["outside"] > 0, sizes
+    assert got == components_of(rows, 3, 85)
