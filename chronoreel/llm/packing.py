@@ -281,9 +281,14 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _loaded[path]
 
 
-def op3_packing(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """Contract columns for ``documents``, with the public word-level BPE."""
+def public_pieces(documents: DataFrame) -> DataFrame:
+    """Pieces of ``documents`` with their ids and the ids' checksum, by the public word-level BPE."""
     import public_tokenizers
 
     pieces = pack(documents, public_tokenizers.path("word_bpe_49k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step_group")
+    return pieces.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step_group")
+
+
+def op3_packing(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """Contract columns for ``documents``, with the public word-level BPE."""
+    return public_pieces(documents).drop("ids")

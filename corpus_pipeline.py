@@ -33,8 +33,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of everything kept: one row a piece."""
-    return packing.op3_packing(spark, docs)
+    """Training sequences of everything kept: one row a piece, with its token ids."""
+    return packing.public_pieces(docs)
 
 
 STAGES = [

@@ -1,3 +1,5 @@
+import zlib
+
 import corpus_pipeline
 from chronoreel.llm import queries
 
@@ -35,3 +37,13 @@ def test_messy_stages(spark, messy, empty, sf_dir):
 
 def test_names():
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_last_stage_has_ids(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert pieces and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in pieces)
+    totals = {}
+    for r in pieces:
+        totals[r.doc_id] = totals.get(r.doc_id, 0) + len(r.ids) // 4
+    assert totals == {r.doc_id: r.doc_tokens for r in pieces}
