@@ -7,6 +7,7 @@ so a re-run task gives the same values.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), _P, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _multipliers(n: int) -> np.ndarray:
+    """An unrelated 64-bit number for each place in a word.  Sums of bytes times these are universal hashes; powers of
+    one number are not: words of Thue-Morse order would cancel."""
+    return mix64((np.arange(n, dtype=np.uint64) + np.uint64(1)) * _P)
 
 
 class Words:
@@ -53,15 +54,30 @@ class Words:
         if len(self.start):
             self.length = np.diff(first, append=len(at))
             within = np.arange(len(at)) - np.repeat(first, self.length)
-            terms = (text[at].astype(np.uint64) + np.uint64(1)) * _powers(int(self.length.max()))[within]
+            terms = (text[at].astype(np.uint64) + np.uint64(1)) * _multipliers(int(self.length.max()))[within]
             self.hash = mix64(np.add.reduceat(terms, first) + self.length.astype(np.uint64))
         else:
             self.length = np.zeros(0, dtype=np.int64)
             self.hash = np.zeros(0, dtype=np.uint64)
         self.first = np.searchsorted(self.start, edges)
         self.text = text
+        self.inside = inside
         self.n = n
 
+    def array(self) -> pa.Array:
+        """The words themselves, lower-cased."""
+        ends = np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(self.length), [None, pa.py_buffer(ends), pa.py_buffer(self.text[self.inside])])
+
+    def bytes_of(self, i: int, j: int) -> list[bytes]:
+        """Words i to j themselves, lower-cased."""
+        if i >= j:
+            return []
+        origin = int(self.start[i])
+        data = self.text[origin : int(self.start[j - 1] + self.length[j - 1])].tobytes()
+        at = (self.start[i:j] - origin).tolist()
+        return [data[a : a + n] for a, n in zip(at, self.length[i:j].tolist(), strict=True)]
+
 
 def separators(chars: bytes) -> np.ndarray:
     table = np.zeros(256, dtype=bool)
@@ -97,9 +113,14 @@ def chunks(offsets: np.ndarray, max_bytes: int = 1 << 18) -> Iterator[tuple[int,
         i = j
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def tidy() -> None:
-    """Gives freed Arrow memory back at a task's end: workers live on and share their executor's memory."""
+    """Gives freed memory back at a task's end: workers live on and share their executor's memory."""
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:

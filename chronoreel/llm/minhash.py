@@ -1,24 +1,25 @@
 """Near duplicates: many universal hash minima with banding, signature checks, exact
 confirmation on full shingle sets, and components by alternating large-star and small-star.
 
-Documents with one and the same shingle set form a class, and only the class's smallest
+Documents with one and the same text form a class, and only the class's smallest
 document takes part further on.  Members that share a band meet in a bucket, and buckets that
-share members form a cluster.  A cluster of up to BLOCK members is compared as one group: the
-signatures first, then the full sets.  A task returns links of a spanning forest: at most one
-row a member, never all pairs.
+share members form a cluster.  A cluster within a block's bounds is compared as one group: the
+signatures first, then the full sets, whose shingles are the words themselves, not hashes of them.
+A task returns links of a spanning forest: at most one row a member, never all pairs.
 
 In larger clusters every bucket is a group of its own; buckets with the same members are met
-once.  A bucket of more than BLOCK members is first linked as a star to its smallest member.  What
+once.  A bucket beyond a block's bounds is first linked as a star to its smallest member.  What
 that joins is one component and need not be compared again: if it is the whole bucket, the
 bucket is done.  Otherwise members outside the largest component are compared, in blocks,
 with each other and with that component, every pair of blocks in a task of its own, so no
-link is lost and no task holds more than two blocks.
+link is lost and no task holds more than two blocks.  A block is bounded in members and in
+shingles, so long documents make small blocks.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoreel.llm._io import Scratch
-from chronoreel.llm._text import SPACES, Words, buffers, chunks, shingles, tidy
+from chronoreel.llm._text import SPACES, Words, buffers, chunks, mix64, shingles, tidy
 
 #: 32 bands of 6 minima: a pair at similarity 0.85 shares none with probability 3e-7, at 0.8 6e-5.
 BANDS, ROWS = 32, 6
 MINIMA = BANDS * ROWS
-#: Members of one block; a task holds two at most.
-BLOCK = 1024
+#: Members of one block, and their shingles (about 8 MB of text and as much of sets), or one longer document; a task
+#: holds two blocks at most.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Standard deviations below the threshold at which an estimate from signatures rules a pair out.
 SLACK = 5.0
 #: Rows of document ids that may be broadcast (16 MB); beyond, ids and texts are joined by a shuffle.
@@ -57,6 +59,15 @@ def signature(elements: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype("<u4")
 
 
+def band_keys(minima: np.ndarray) -> np.ndarray:
+    """A 64-bit bucket key for each band of each row of minima."""
+    bands = minima.reshape(len(minima), BANDS, ROWS)
+    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), bands.shape[:2])
+    for r in range(ROWS):
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, r])
+    return out.view(np.int64)
+
+
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     data, offsets = buffers(column)
@@ -66,51 +77,86 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.unique(shingles(words.hash[words.first[n] : words.first[n + 1]], k))
 
 
-def _digest(elements: bytes) -> bytes | None:
-    return hashlib.blake2b(elements, digest_size=16).digest() if elements else None
+def exact_sets(column: pa.Array, k: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of each text, as numbers that are equal just where the words are."""
+    data, offsets = buffers(column)
+    parts, counts = [], [np.zeros(1, np.int64)]
+    for i, j in chunks(offsets):
+        words = Words(data, offsets[i : j + 1], SPACES)
+        parts.append(words.array())
+        counts.append(np.diff(words.first))
+    first = np.cumsum(np.concatenate(counts))
+    named = pa.concat_arrays(parts or [pa.array([], pa.large_binary())]).dictionary_encode()
+    at = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    width = bits = max(1, len(named.dictionary).bit_length())
+    code = at
+    for j in range(1, k):
+        if width + bits > 63:
+            seen, code = np.unique(code, return_inverse=True)
+            width = max(1, len(seen).bit_length())
+        code = (code[: max(0, len(at) - j)] << bits) | at[j:]
+        width += bits
+    short: dict[bytes, int] = {}
+    out = []
+    for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if z - a >= k:
+            out.append(np.unique(code[a : z - k + 1]))
+        else:
+            out.append(np.array([-1 - short.setdefault(at[a:z].tobytes(), len(short))] if z > a else [], dtype=np.int64))
+    return out
+
+
+def _digest(text) -> F.Column:
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
 def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(id, n_shingles, digest, sig): the digest names the set; sig is null for the empty set."""
+    """(id, digest, n_shingles, bands, sig): ``digest`` names the text; ``bands`` are its buckets and ``sig`` the lower
+    halves of its minima, null for the empty set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, sigs = [], [], []
-            for elements in _sets(batch.column(1), k):
-                counts.append(len(elements))
-                digests.append(_digest(elements.tobytes()))
-                sigs.append(signature(elements).tobytes() if len(elements) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["id", "n_shingles", "digest", "sig"])
+            counts, minima = np.zeros(batch.num_rows, np.int64), []
+            for i, elements in enumerate(_sets(batch.column(2), k)):
+                counts[i] = len(elements)
+                if len(elements):
+                    minima.append(signature(elements))
+            at = np.where(counts > 0, np.cumsum(counts > 0) - 1, -1).tolist()
+            minima = np.stack(minima) if minima else np.zeros((0, MINIMA), "<u4")
+            bands, low = list(band_keys(minima)), minima.astype("<u2")
+            columns = [pa.array(counts), pa.array([bands[i] if i >= 0 else None for i in at], pa.list_(pa.int64())), pa.array([low[i].tobytes() if i >= 0 else None for i in at], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "digest", "n_shingles", "bands", "sig"])
         tidy()
 
-    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), *T._parse_datatype_string("n_shingles long, digest binary, sig binary")])
-    return docs.select(F.col(key).alias("id"), F.col(text)).mapInArrow(work, schema)
+    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), *T._parse_datatype_string("digest binary, n_shingles long, bands array<long>, sig binary")])
+    return docs.select(F.col(key).alias("id"), _digest(F.col(text)).alias("digest"), F.col(text)).mapInArrow(work, schema)
 
 
-def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, bucket) of all bands, and (bucket, members) of buckets of two or more, each set of members once."""
-    width = ROWS * 4
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))))
-    in_bands = classes.select("id", F.explode(keys).alias("bucket"))
+def _buckets(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, id, members) of buckets of two or more, each set of members once."""
+    in_bands = classes.select("id", F.explode("bands").alias("bucket"))
     same = F.sum(F.xxhash64("id").cast("decimal(20,0)"))
     sizes = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), same.alias("who")).where("members > 1")
-    once = sizes.groupBy("members", "who").agg(F.min("bucket").alias("bucket"))
-    return in_bands, once.select("bucket", "members")
+    once = scratch.save(sizes.groupBy("members", "who").agg(F.min("bucket").alias("bucket")), "buckets")
+    placed = scratch.save(in_bands.join(once, "bucket").select("bucket", "id", "members"), "members")
+    scratch.drop(once)
+    return placed
 
 
-def _links(threshold: float):
+def _links(k: int, threshold: float):
     """Links within a group of members: exact, forming a forest over what ``part`` already joins.  Members of different
     sides are compared if the group is crossing, all otherwise."""
     floor = threshold - SLACK * (threshold * (1 - threshold) / MINIMA) ** 0.5
-    percent = round(threshold * 100)
+    least = Fraction(str(threshold))
+    few, many = least.numerator, least.denominator
 
     def work(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_pylist()
         n = len(ids)
         sides = np.asarray(table.column("side").to_numpy())
         crossing = table.column("crossing")[0].as_py()
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("elements").to_pylist()]
-        sigs = np.stack([np.frombuffer(x, dtype="<u4") for x in table.column("sig").to_pylist()])
+        sets = exact_sets(table.column("text").combine_chunks(), k)
+        sigs = np.stack([np.frombuffer(x, dtype="<u2") for x in table.column("sig").to_pylist()])
         sizes = np.array([len(x) for x in sets])
         number: dict = {}
         root = np.array([number.setdefault(p, len(number)) for p in table.column("part").to_pylist()])
@@ -119,17 +165,18 @@ def _links(threshold: float):
             apart = root[:i] != root[i]
             if crossing:
                 apart &= sides[:i] != sides[i]
-            at = np.flatnonzero(apart & (np.minimum(sizes[:i], sizes[i]) * 100 >= percent * np.maximum(sizes[:i], sizes[i])))
+            at = np.flatnonzero(apart & (np.minimum(sizes[:i], sizes[i]) * many >= few * np.maximum(sizes[:i], sizes[i])))
             like = (sigs[at] == sigs[i]).mean(axis=1)
             at, like = at[like >= floor], like[like >= floor]
             for j in at[np.argsort(-like, kind="stable")].tolist():
                 if root[i] == root[j]:
                     continue
                 shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * shared >= percent * (sizes[i] + sizes[j] - shared):
+                if many * shared >= few * (sizes[i] + sizes[j] - shared):
                     out.append((ids[i], ids[j]))
                     root[root == root[i]] = root[j]
         kind = table.schema.field("id").type
+        tidy()
         return pa.table({"a": pa.array([x for x, _ in out], kind), "b": pa.array([x for _, x in out], kind)})
 
     return work
@@ -138,81 +185,98 @@ def _links(threshold: float):
 GROUP = ("bucket", "step", "x", "y")
 
 
-def _compare(rows: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+def _compare(rows: DataFrame, full: DataFrame, k: int, threshold: float) -> DataFrame:
     """Links found in every group of ``rows`` (GROUP, id, side, crossing, part)."""
     kind = rows.schema["id"].dataType
     edge = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    return rows.join(full, "id").groupBy(*GROUP).applyInArrow(_links(threshold), edge)
+    return rows.join(full, "id").groupBy(*GROUP).applyInArrow(_links(k, threshold), edge)
 
 
-def _block(of: str) -> F.Column:
-    """A member's block among as many as ``of`` members fill."""
-    return F.pmod(F.xxhash64("id", F.lit(SEED)), _blocks(of)).cast("int")
+def _block(members: str, weight: str) -> F.Column:
+    """A member's block among as many as its fellows fill."""
+    return F.pmod(F.xxhash64("id", F.lit(SEED)), _blocks(members, weight)).cast("int")
 
 
-def _blocks(of: str) -> F.Column:
-    return F.greatest(F.ceil(F.col(of) / BLOCK), F.lit(1)).cast("int")
+def _blocks(members: str, weight: str) -> F.Column:
+    return F.greatest(F.ceil(F.col(members) / BLOCK), F.ceil(F.col(weight) / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
 
 def _each(n: F.Column) -> F.Column:
     return F.explode(F.sequence(F.lit(0), n - 1))
 
 
-def _clusters(placed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, cluster, within): members that buckets join, directly or through others, and how many a cluster has."""
+def _fits(members: str, weight: str) -> F.Column:
+    return (F.col(members) <= BLOCK) & (F.col(weight) <= BLOCK_SHINGLES)
+
+
+def _totals(rows: DataFrame, by: str, members: str, weight: str) -> DataFrame:
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias(members), F.sum("n").alias(weight))
+
+
+def _clusters(placed: DataFrame, weights: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, n, cluster, within, weight): members that buckets join, directly or through others, how many a cluster has
+    and their shingles.  A member names its buckets' leaders (BANDS at most) at once, so that edges between leaders,
+    of which there are few, take the place of one edge a bucket and member."""
     leaders = scratch.save(placed.groupBy("bucket").agg(F.min("id").alias("leader")), "bucket-leaders")
-    met = components(scratch, placed.join(leaders, "bucket").select(F.col("id").alias("a"), F.col("leader").alias("b")))
-    met = scratch.save(met.unionByName(met.select(F.col("component").alias("id"), "component").distinct()), "met")
-    sizes = scratch.save(met.groupBy("component").agg(F.count(F.lit(1)).alias("within")), "cluster-sizes")
-    return met.join(sizes, "component").select("id", F.col("component").alias("cluster"), "within")
+    known = placed.join(leaders, "bucket").groupBy("id").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
+    known = scratch.save(known, "leaders-of")
+    least = F.col("leaders")[0]
+    edges = known.select(F.col("id").alias("a"), least.alias("b")).unionByName(known.select(F.explode(F.slice("leaders", 2, BANDS)).alias("a"), least.alias("b")).distinct())
+    met = components(scratch, edges)
+    met = met.unionByName(met.select(F.col("component").alias("id"), "component").distinct()).join(weights, "id")
+    met = scratch.save(met, "met")
+    sizes = scratch.save(_totals(met, "component", "within", "weight"), "cluster-sizes")
+    scratch.drop(leaders, known)
+    return met.join(sizes, "component").select("id", "n", F.col("component").alias("cluster"), "within", "weight")
 
 
 def _star_rows(large: DataFrame, scratch: Scratch) -> DataFrame:
     """Each leader with blocks of its members: a large bucket's leader is its smallest member, and buckets of one
     leader are met together."""
     leaders = scratch.save(large.groupBy("bucket").agg(F.min("id").alias("leader")), "leaders")
-    pairs = scratch.save(large.join(leaders, "bucket").where(F.col("id") != F.col("leader")).select("leader", "id").distinct(), "stars")
-    sizes = scratch.save(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    pairs = scratch.save(large.join(leaders, "bucket").where(F.col("id") != F.col("leader")).select("leader", "id", "n").distinct(), "stars")
+    sizes = scratch.save(_totals(pairs, "leader", "members", "weight"), "sizes")
     star = [F.xxhash64("leader").alias("bucket"), F.lit(1).alias("step"), F.lit(0).alias("x")]
-    members = pairs.join(sizes, "leader").select(*star, _block("n").alias("y"), "id", F.lit(1).alias("side"))
-    heads = sizes.select(*star, _each(_blocks("n")).alias("y"), F.col("leader").alias("id"), F.lit(0).alias("side"))
+    members = pairs.join(sizes, "leader").select(*star, _block("members", "weight").alias("y"), "id", F.lit(1).alias("side"))
+    heads = sizes.select(*star, _each(_blocks("members", "weight")).alias("y"), F.col("leader").alias("id"), F.lit(0).alias("side"))
     return members.unionByName(heads).select(*GROUP, "id", "side", F.lit(True).alias("crossing"), F.col("id").alias("part"))
 
 
 def _rest_rows(parts: DataFrame, scratch: Scratch) -> DataFrame:
     """Groups in which members outside a bucket's largest part meet each other and that part.  ``parts`` has bucket,
-    id and part."""
-    sizes = parts.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
-    split = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("members"))
-    split = scratch.save(split.where("inside < members").withColumn("outside", F.col("members") - F.col("inside")).drop("members"), "split")
+    id, n and part."""
+    sizes = parts.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
+    largest = F.max_by(F.struct("part", "members", "weight"), F.struct("members", "part")).alias("main")
+    split = sizes.groupBy("bucket").agg(largest, F.sum("members").alias("members"), F.sum("weight").alias("weight"))
+    inside = [F.col("main.members").alias("inside"), F.col("main.weight").alias("inside_w")]
+    outside = [(F.col("members") - F.col("main.members")).alias("outside"), (F.col("weight") - F.col("main.weight")).alias("outside_w")]
+    split = scratch.save(split.where("main.members < members").select("bucket", F.col("main.part").alias("main"), *inside, *outside), "split")
     rows = scratch.save(parts.join(split, "bucket").withColumn("is_main", F.col("part") == F.col("main")), "parts")
-    few, many = rows.where("not is_main").withColumn("own", _block("outside")), rows.where("is_main").withColumn("own", _block("inside"))
-    among = few.withColumn("o", _each(_blocks("outside")))
+    out_blocks, in_blocks = _blocks("outside", "outside_w"), _blocks("inside", "inside_w")
+    few, many = rows.where("not is_main").withColumn("own", _block("outside", "outside_w")), rows.where("is_main").withColumn("own", _block("inside", "inside_w"))
+    among = few.withColumn("o", _each(out_blocks))
     among = among.select("bucket", F.lit(2).alias("step"), F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), "id", F.col("own").alias("side"), (F.col("own") != F.col("o")).alias("crossing"), "part")
-    to_main = few.select("bucket", F.lit(3).alias("step"), F.col("own").alias("x"), _each(_blocks("inside")).alias("y"), "id", F.lit(0).alias("side"), F.lit(True).alias("crossing"), "part")
-    of_main = many.select("bucket", F.lit(3).alias("step"), _each(_blocks("outside")).alias("x"), F.col("own").alias("y"), "id", F.lit(1).alias("side"), F.lit(True).alias("crossing"), "part")
+    to_main = few.select("bucket", F.lit(3).alias("step"), F.col("own").alias("x"), _each(in_blocks).alias("y"), "id", F.lit(0).alias("side"), F.lit(True).alias("crossing"), "part")
+    of_main = many.select("bucket", F.lit(3).alias("step"), _each(out_blocks).alias("x"), F.col("own").alias("y"), "id", F.lit(1).alias("side"), F.lit(True).alias("crossing"), "part")
     return among.unionByName(to_main).unionByName(of_main)
 
 
-def _elements(docs: DataFrame, key: str, text: str, wanted: DataFrame, k: int) -> DataFrame:
-    """(id, digest, elements) of the wanted documents, from their whole texts."""
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    kept = texts.join(_bounded(wanted), "id", "left_semi")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [x.tobytes() for x in _sets(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["id", "digest", "elements"])
-        tidy()
-
-    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("digest", T.BinaryType()), T.StructField("elements", T.BinaryType())])
-    return kept.mapInArrow(work, schema)
+def _full(docs: DataFrame, key: str, text: str, signed: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text, sig) of the wanted documents.  A key given with unlike texts has a row for each class it leads."""
+    few = _bounded(wanted)
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(few, "id", "left_semi")
+    texts = texts.withColumn("own", _digest(F.col("text")))
+    leading = classes.join(few, "id", "left_semi").select("id", "digest")
+    sigs = signed.join(few, "id", "left_semi").select("id", "digest", "sig").join(leading, ["id", "digest"]).groupBy("id", "digest").agg(F.first("sig").alias("sig"))
+    # not an equality, so that rows are dealt by id alone
+    return texts.join(sigs, (texts["id"] == sigs["id"]) & F.array_contains(F.array("own"), F.col("digest"))).select(texts["id"], "text", "sig")
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """(id, component) of all linked ids: the smallest id reachable.  Alternating large-star and small-star
     on written tables; each star is a grouped minimum and a join, so no neighbourhood is ever collected."""
     edges = scratch.save(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct(), "edges")
+    before = _summary(edges)
     while True:
         # large-star: every larger neighbour of a node joins the smallest one
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -223,9 +287,9 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         low = scratch.save(large.groupBy("v").agg(F.min("u").alias("m")), "low")
         small = large.join(low, "v").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b"))
         after = scratch.save(small.where("a < b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges")
-        done = _summary(after) == _summary(edges)
+        summary = _summary(after)
         scratch.drop(least, large, low, edges)
-        edges = after
+        edges, done, before = after, summary == before, summary
         if done:
             return edges.select(F.col("v").alias("id"), F.col("u").alias("component"))
 
@@ -241,39 +305,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     its words as one when it has fewer.  Documents whose sets' Jaccard similarity is ``threshold`` or more are
     linked; ``component_id`` is the smallest key reachable and ``kept`` marks it.  Null, empty and blank texts are
     linked with nothing.  Rows that repeat a key are one document, linked as any of their texts is.  A null key gets the component of its copies,
-    if any, else null, and is kept only then.  Only the two named columns are read.
+    if any, else null, and is kept only then.  Keys may have any type with an order.  Only the two named columns are read.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     signed = scratch.save(signatures(docs, key, text, k), "signatures")
-    first = F.min(F.struct("id", "sig"))
-    classes = signed.where("digest is not null and id is not null").groupBy("digest").agg(first.alias("m"))
-    classes = scratch.save(classes.select("digest", F.col("m.id").alias("id"), F.col("m.sig").alias("sig")), "classes")
-
-    in_bands, once = _buckets(classes)
-    once = scratch.save(once, "buckets")
-    placed = scratch.save(in_bands.join(once, "bucket").select("bucket", "id", "members"), "members")
-    wanted = scratch.save(placed.select("id").distinct(), "wanted")
-
-    def full(ids: DataFrame) -> DataFrame:
-        sets = _elements(docs, key, text, ids, k).groupBy("id", "digest").agg(F.first("elements").alias("elements"))
-        return sets.join(classes.join(_bounded(ids), "id", "left_semi"), ["id", "digest"]).drop("digest")
-
-    clusters = scratch.save(_clusters(placed, scratch), "clusters")
+    first = F.min(F.struct("id", "n_shingles", "bands")).alias("m")
+    banded = signed.where("n_shingles > 0 and id is not null").groupBy("digest").agg(first)
+    banded = scratch.save(banded.select("digest", "m.*"), "banded")
+    classes = scratch.save(banded.select("digest", "id", F.col("n_shingles").alias("n")), "classes")
+    weights = classes.groupBy("id").agg(F.sum("n").alias("n"))
+
+    placed = _buckets(banded, scratch)
+    scratch.drop(banded)
+    clusters = scratch.save(_clusters(placed, weights, scratch), "clusters")
     alone = [F.lit(0).alias("step"), F.lit(0).alias("x"), F.lit(0).alias("y"), "id", F.lit(0).alias("side"), F.lit(False).alias("crossing"), F.col("id").alias("part")]
-    rows = clusters.where(F.col("within") <= BLOCK).select(F.xxhash64("cluster").alias("bucket"), *alone)
-    wide = scratch.save(placed.join(clusters.where(F.col("within") > BLOCK).select("id"), "id", "left_semi"), "wide")
-    rows = rows.unionByName(wide.where(F.col("members") <= BLOCK).select("bucket", *alone))
-    large = scratch.save(wide.where(F.col("members") > BLOCK), "large")
-    stars = None
-    if not large.isEmpty():
-        inside = scratch.save(large.select("id").distinct(), "inside")
-        stars = scratch.save(_compare(_star_rows(large, scratch), full(inside), threshold), "stars")
-        joined = components(scratch, stars)
-        parts = large.join(joined, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
-        rows = rows.unionByName(_rest_rows(parts, scratch))
-    links = _compare(rows, full(wanted), threshold)
+    rows = clusters.where(_fits("within", "weight")).select(F.xxhash64("cluster").alias("bucket"), *alone)
+    wide = scratch.save(placed.join(clusters.where(~_fits("within", "weight")).select("id", "n"), "id"), "wide")
+    stars, found_in = None, [placed, wide, clusters]
+    if not wide.isEmpty():
+        sums = scratch.save(wide.groupBy("bucket").agg(F.sum("n").alias("weight")), "weights")
+        wide = wide.join(sums, "bucket")
+        rows = rows.unionByName(wide.where(_fits("members", "weight")).select("bucket", *alone))
+        large = scratch.save(wide.where(~_fits("members", "weight")), "large")
+        found_in += [sums, large]
+        if not large.isEmpty():
+            inside = scratch.save(large.select("id").distinct(), "inside")
+            stars = scratch.save(_compare(_star_rows(large, scratch), _full(docs, key, text, signed, classes, inside), k, threshold), "star-links")
+            joined = components(scratch, stars)
+            parts = large.join(joined, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("part"))
+            rows = rows.unionByName(_rest_rows(parts, scratch))
+    links = _compare(rows, _full(docs, key, text, signed, classes, clusters.select("id")), k, threshold)
     found = components(scratch, links if stars is None else links.unionByName(stars))
+    scratch.drop(*found_in)
 
     named = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     named = scratch.save(named, "named")
@@ -290,21 +354,27 @@ def op10_near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one with the smallest key.
 
-    Rows without words are no one's duplicates and stay, as do all rows that are linked with nothing.  Rows that
-    repeat a key are one document and leave one row.  A null key stands for its text, after all other keys.
+    Rows without words are no one's duplicates and all stay, as do rows that are linked with nothing.  Unlike texts under
+    one key are documents of their own.  Rows that agree in key and words' text are one document and leave one row: the
+    one whose columns as JSON come first.  Null keys come after all others; among rows of one key the text with the
+    smallest SHA-256 comes first.  Keys may have any type with an order.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
-    named = "__row_key"
-    unnamed = F.xxhash64(F.col(text)).bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 61))
-    rows = docs.withColumn(named, F.coalesce(F.col(key).cast("long"), unnamed))
-    groups = scratch.save(near_duplicates(rows, named, text, k, threshold), "groups")
-    gone = scratch.save(groups.where("not kept").select(named).distinct(), "gone")
-    often = scratch.save(groups.where("kept").groupBy(named).count().where("count > 1").select(named), "often")
-    left = rows.join(_bounded(gone), named, "left_anti")
-    if not often.isEmpty():
-        once = left.join(_bounded(often), named, "left_semi").dropDuplicates([named])
-        left = left.join(_bounded(often), named, "left_anti").unionByName(once)
-    return left.select(*docs.columns)
+    several = docs.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1))
+    if several.isEmpty():
+        gone = scratch.save(near_duplicates(docs, key, text, k, threshold).where("not kept").select(key), "gone")
+        return docs.join(_bounded(gone), key, "left_anti").select(*docs.columns)
+    name = "__row_name"
+    unnamed, plain = F.col(key).isNull(), F.coalesce(F.col(key).cast("string"), F.lit(""))
+    rows = docs.withColumn(name, F.concat_ws(":", unnamed.cast("string"), plain, F.coalesce(F.sha2(F.col(text), 256), F.lit("null"))))
+    groups = scratch.save(near_duplicates(rows, name, text, k, threshold).where("n_shingles > 0"), "groups")
+    named = groups.join(rows.select(name, unnamed.alias("last"), F.col(key).alias("k")), name).groupBy("component_id")
+    first = scratch.save(named.agg(F.min(F.struct("last", "k", name)).alias("m")).select(f"m.{name}"), "first")
+    gone = scratch.save(groups.select(name).distinct().join(first, name, "left_anti"), "gone")
+    often = scratch.save(groups.groupBy(name).count().where("count > 1").select(name).join(first, name, "left_semi"), "often")
+    left = rows.join(_bounded(gone), name, "left_anti")
+    once = left.join(_bounded(often), name, "left_semi").groupBy(name).agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("m"))
+    return left.join(_bounded(often), name, "left_anti").select(*docs.columns).unionByName(once.select(*(F.col("m")[c].alias(c) for c in docs.columns)))
 
 
 def _bounded(ids: DataFrame) -> DataFrame:

@@ -102,3 +102,83 @@ def test_buckets_larger_than_a_block(spark, monkeypatch, block):
     got = {x.doc_id: x.component_id for x in minhash.near_duplicates(docs, k=3, threshold=0.85).collect()}
     assert sizes["star"] and sizes["star"][0] > block and sizes["outside"] > 0, sizes
     assert got == components_of(rows, 3, 85)
+
+
+def test_unlike_words_are_not_linked(spark, monkeypatch):
+    """Sets are of words, not of their hashes: with a hash that makes these words equal nothing is linked."""
+    from test_decontam import thue_morse
+
+    from chronoreel.llm import _text
+
+    one, other = thue_morse(11)
+    docs = spark.createDataFrame([(1, one), (2, other), (3, f"{one} {one}"), (4, one + "\n")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.op10_near_duplicates(spark, docs).collect())
+    assert got == [(1, 1, True), (2, 2, True), (3, 3, True), (4, 1, False)]
+    monkeypatch.setattr(_text, "_multipliers", lambda n: _text._P ** _text.np.arange(n, dtype=_text.np.uint64))
+    sets = minhash.exact_sets(_text.pa.array([one, other, f"{one} {other} x y", "", None, f"{one} {other} x"]), 3)
+    assert [len(x) for x in sets] == [1, 1, 2, 0, 0, 1] and sets[0] != sets[1] and len(set(sets[2]) & set(sets[5])) == 1
+
+
+@pytest.mark.parametrize("k", [1, 3, 5, 9])
+def test_exact_sets(k):
+    """Numbered shingles have the same sizes and intersections as the shingles themselves."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(k)
+    texts = [" ".join(r.choices("abcd", k=r.randint(0, 30))) for _ in range(40)]
+    got, want = minhash.exact_sets(pa.array(texts), k), [shingles(t, k) for t in texts]
+    for i in range(40):
+        for j in range(40):
+            assert len(np.intersect1d(got[i], got[j])) == len(set(want[i]) & set(want[j]))
+
+
+def brute_survivors(rows, k, percent):
+    """Indexes of the rows that stay, by the rule that ``deduplicate`` states."""
+    import hashlib
+
+    order = lambda r: (r[0] is None, r[0] if r[0] is not None else 0, hashlib.sha256((r[1] or "").encode()).hexdigest())
+    distinct = sorted({(r[0], r[1]) for r in rows if shingles(r[1], k)}, key=order)
+    groups = components_of([(i, t) for i, (_, t) in enumerate(distinct)], k, percent)
+    first = {}
+    for i, root in groups.items():
+        first.setdefault(root, distinct[i])
+    stay = sorted(first.values(), key=order)
+    return stay, [r for r in rows if not shingles(r[1], k)]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_deduplicate_with_repeated_keys(spark, kind):
+    """Unlike texts under one key both stay; survivors are those of brute force, whatever the keys' type."""
+    named = (lambda k: k) if kind == "long" else (lambda k: None if k is None else f"k{k:03d}")
+    a, b, c = prose(60, 80), prose(61, 80), prose(62, 70)
+    rows = [(1, a), (1, b), (2, a + " more"), (2, c), (None, c), (None, prose(63, 50)), (3, None), (3, ""), (None, None), (4, "  "), (5, b), (5, b), (6, prose(64, 30)), (6, prose(64, 30)), (11, prose(65, 40)), (9, prose(65, 40))]
+    rows = [(named(k), t) for k, t in rows]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], f"doc_id {kind}, text string, n int").repartition(3)
+    got = [(r.doc_id, r.text) for r in minhash.deduplicate(docs).collect()]
+    stay, wordless = brute_survivors(rows, 5, 80)
+    assert sorted(map(repr, got)) == sorted(map(repr, stay + wordless))
+
+
+def test_blocks_are_bounded_in_shingles(spark, monkeypatch):
+    """Long documents make blocks of few members; links are the same."""
+    r = random.Random(8)
+    base, rows = prose(70, 2000).split(), []
+    for i in range(60):
+        copy = list(base)
+        for at in r.sample(range(2000), r.randint(0, 120)):
+            copy[at] = f"w{r.random()}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 10_000)
+    most = []
+    compare = minhash._compare
+
+    def watched(groups, full, *rest):
+        groups = groups.cache()
+        most.extend(x["count"] for x in groups.groupBy(*minhash.GROUP).count().collect())
+        return compare(groups, full, *rest)
+
+    monkeypatch.setattr(minhash, "_compare", watched)
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(docs, k=3, threshold=0.85).collect()}
+    assert got == components_of(rows, 3, 85) and 1 < max(most) < 40
