@@ -93,12 +93,14 @@ class SuffixAutomaton:
 
 
 class ItemIndex:
-    """The automaton of a block of items, and which items' windows each state stands for."""
+    """The automaton of a block of items, and which items' windows each state stands for.  Words are numbered by their
+    bytes; their hashes only rule out words that no item has."""
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
-        self.vocabulary = np.unique(np.concatenate([h for _, h in items])) if items else np.zeros(0, np.uint64)
-        numbered = [(name, np.searchsorted(self.vocabulary, h).tolist()) for name, h in items if len(h)]
+        self.number = {w: i for i, w in enumerate(sorted({w for _, words in items for w in words}))}
+        self.hashes = np.unique(word_hashes(list(self.number)))
+        numbered = [(name, [self.number[w] for w in words]) for name, words in items if words]
         self.shortest = min([window, *(len(w) for _, w in numbered)], default=window)
         self.automaton = auto = SuffixAutomaton()
         for _, words in numbered:
@@ -125,20 +127,21 @@ class ItemIndex:
             state = link[state]
         return state
 
-    def scan(self, hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[str], int]:
-        """Hit word spans (merged, half open), items and the longest match in one document."""
+    def scan(self, words: Words, first: int, end: int) -> tuple[list[tuple[int, int]], set[str], int]:
+        """Hit word spans (merged, half open), items and the longest match in words ``first`` to ``end``, a document."""
         found: set[str] = set()
         spans: list[tuple[int, int]] = []
         longest = 0
-        if len(hashes) < self.shortest or not len(self.vocabulary):
+        if end - first < self.shortest or not len(self.hashes):
             return spans, found, longest
-        at = np.searchsorted(self.vocabulary, hashes)
-        at[at == len(self.vocabulary)] = 0
-        known = self.vocabulary[at] == hashes
-        edges = np.flatnonzero(np.diff(known, prepend=False, append=False))
+        hashes = words.hash[first:end]
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        edges = np.flatnonzero(np.diff(self.hashes[at] == hashes, prepend=False, append=False))
         runs = [(a, z) for a, z in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if z - a >= self.shortest]
         for a, z in runs:
-            for i, (state, length) in enumerate(self.automaton.walk(at[a:z].tolist()), a + 1):
+            numbers = [self.number.get(w, -1) for w in words.bytes_of(first + a, first + z)]
+            for i, (state, length) in enumerate(self.automaton.walk(numbers), a + 1):
                 longest = max(longest, length)
                 reach = 0
                 if length >= self.window:
@@ -160,26 +163,34 @@ class ItemIndex:
         return spans, found, longest
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The hashes that ``Words`` gives to these words."""
+    data = np.frombuffer(b" ".join(words), dtype=np.uint8)
+    return Words(data, np.array([0, len(data)]), NOT_ALNUM).hash
+
+
 def item_words(items: DataFrame, key: str, text: str) -> DataFrame:
-    """Items as (key as string, word hashes)."""
+    """Items as (key as string, lower-cased words)."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(1))
-            words = [Words(data, offsets[i : i + 2], NOT_ALNUM).hash.view(np.int64) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, type=pa.list_(pa.int64()))], ["item", "words"])
+            parts = (Words(data, offsets[i : i + 2], NOT_ALNUM) for i in range(batch.num_rows))
+            words = [w.bytes_of(0, len(w.start)) for w in parts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, type=pa.list_(pa.binary()))], ["item", "words"])
 
-    return items.select(F.col(key).cast("string").alias("item"), F.col(text)).mapInArrow(hashed, "item string, words array<long>")
+    return items.select(F.col(key).cast("string").alias("item"), F.col(text)).mapInArrow(split, "item string, words array<binary>")
 
 
 def item_blocks(spark: SparkSession, items: DataFrame, key: str, text: str, window: int, block_words: int) -> Iterator[ItemIndex]:
-    """Automata of all items, each of about ``block_words`` words or of one longer item."""
-    words = Scratch(spark, "benchmark").save(item_words(items, key, text).where("item is not null and size(words) > 0"), "words")
+    """Automata of all items, each of about ``block_words`` words or of one longer item.  Repeated rows are one; rows of
+    one id with unlike texts are dealt by both."""
+    words = Scratch(spark, "benchmark").save(item_words(items, key, text).where("item is not null and size(words) > 0").distinct(), "words")
     total = words.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     for b in range(blocks):
-        part = words.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()
-        yield ItemIndex([(r.item, np.array(r.words, dtype=np.int64).view(np.uint64)) for r in part], window)
+        part = words.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b).collect()
+        yield ItemIndex([(r.item, [bytes(w) for w in r.words]) for r in part], window)
 
 
 def scan(
@@ -190,9 +201,11 @@ def scan(
 
     Words are runs of 0-9, A-Z lower-cased, a-z and non-ASCII characters.  A window is ``window`` words of an item in
     a row, or all words of a shorter item; items without words, or with a null id, never occur.  Null texts have no
-    words.  All other columns pass through untouched, whatever their names; no items or documents is no error.
+    words.  All other columns pass through untouched; one named like ``found`` is replaced.  No items or documents is no
+    error.
     """
     spark = docs.sparkSession
+    docs = docs.drop(found) if found != text else docs
     names = docs.columns
     scratch = Scratch(spark, "decontam")
     out = docs
@@ -216,7 +229,7 @@ def _pass(df: DataFrame, index, text: str, names: list[str], found: str) -> Data
                 words = Words(data, offsets[i : j + 1], NOT_ALNUM)
                 for k in range(i, j):
                     a, z = words.first[k - i], words.first[k - i + 1]
-                    spans, items, longest = index.value.scan(words.hash[a:z])
+                    spans, items, longest = index.value.scan(words, int(a), int(z))
                     if old := before[k]:
                         spans = _merge(spans + [tuple(x) for x in old["spans"]])
                         items, longest = items | set(old["items"]), max(longest, old["longest_match"])

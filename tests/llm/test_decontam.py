@@ -53,14 +53,17 @@ def test_random_automaton():
 
     import numpy as np
 
+    from chronoreel.llm._text import NOT_ALNUM, Words
+
     r = random.Random(3)
     for _ in range(60):
         n = r.randint(1, 4)
         items = [(str(i), [r.randint(1, 3) for _ in range(r.randint(1, 8))]) for i in range(r.randint(1, 4))]
         text = [r.randint(1, 4) for _ in range(60)]
-        index = decontam.ItemIndex([(k, np.array(w, dtype=np.uint64)) for k, w in items], n)
-        spans, found, _ = index.scan(np.array(text, dtype=np.uint64))
         word = lambda x: f"w{x}"
+        index = decontam.ItemIndex([(k, [word(x).encode() for x in w]) for k, w in items], n)
+        data = np.frombuffer(" ".join(map(word, text)).encode(), dtype=np.uint8)
+        spans, found, _ = index.scan(Words(data, np.array([0, len(data)]), NOT_ALNUM), 0, len(text))
         _, hit, want = contamination(" ".join(map(word, text)), [(k, " ".join(map(word, w))) for k, w in items], n)
         assert ({i for a, z in spans for i in range(a, z)}, found) == (hit, want)
 
@@ -83,3 +86,38 @@ def test_long_item(spark):
     items = spark.createDataFrame([("a", text)], "item_id string, text string")
     got = {r.doc_id: r.found.n_hit for r in decontam.scan(docs, items).collect()}
     assert got == {1: 5000, 2: 0}
+
+
+def thue_morse(n):
+    """Two words of 2^n characters that sums over powers of an odd number, modulo 2^64, do not tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("colliding", [False, True])
+def test_unlike_words_do_not_match(spark, monkeypatch, colliding):
+    """Words are compared by their bytes, whatever their hashes are."""
+    if colliding:
+        from chronoreel.llm import _text
+
+        monkeypatch.setattr(_text, "_multipliers", lambda n: _text._P ** _text.np.arange(n, dtype=_text.np.uint64))
+    one, other = thue_morse(11)
+    assert one != other
+    items = spark.createDataFrame([(1, one), (2, "some " + other)], "item_id long, text string")
+    index = decontam.ItemIndex([("1", [one.encode()])], 10)
+    from chronoreel.llm._text import NOT_ALNUM, Words, buffers, pa
+
+    for text, hit in ((one, {"1"}), (other, set())):
+        data, offsets = buffers(pa.array([text]))
+        assert index.scan(Words(data, offsets, NOT_ALNUM), 0, 1)[1] == hit
+    if colliding:  # in this process only, not in workers
+        return
+    docs = spark.createDataFrame([(1, one), (2, other), (3, "some " + one), (4, "some " + other)], "doc_id long, text string")
+    got = {r.doc_id: r.found["items"] for r in decontam.scan(docs, items).collect()}
+    assert got == {1: ["1"], 2: [], 3: ["1"], 4: ["2"]}
+
+
+def test_column_named_like_the_result(spark, items):
+    docs = spark.createDataFrame([(1, "two words", 5)], "doc_id long, text string, found int")
+    out = decontam.scan(docs, items[1])
+    assert out.columns == ["doc_id", "text", "found"] and out.first().found["items"] == ["3"]
