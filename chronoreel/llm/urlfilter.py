@@ -1,10 +1,10 @@
 """URL judgement: allow and block rules, and beyond them a character language-model ratio.
 
 URLs that a rule decides are the labelled corpus.  Counts of all their character n-grams give
-smoothed variable-order Markov models of accepted and rejected URLs: a character is predicted
-from the longest context in which it was seen, and each context's estimate is smoothed
-toward the shorter one's.  A URL's score is the mean log-likelihood difference per
-character, calibrated on labelled URLs that were left out of the counts.
+smoothed variable-order Markov models of accepted and rejected URLs: the counts after each context
+are smoothed toward the shorter context's estimate, down to equal chances of all known characters
+and one for any other, so the chances of what may follow add up to one.  A URL's score is the mean log-likelihood
+difference per character, calibrated on labelled URLs that were left out of the counts.
 """
 
 from __future__ import annotations
@@ -33,8 +33,6 @@ RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("
 ORDER = 5
 #: Weight of the shorter context's estimate, in characters.
 SMOOTHING = 2.0
-#: Characters that the shortest model thinks possible.
-ALPHABET = 96
 #: One labelled URL in so many calibrates instead of being counted.
 HELD_BACK = 5
 #: n-grams that may be broadcast (about 40 MB); beyond, they are joined by a shuffle.
@@ -72,8 +70,10 @@ def _characters(urls: DataFrame, *keep: str) -> DataFrame:
 
 
 def train_grams(labelled: DataFrame) -> DataFrame:
-    """(gram, ratio): the log ratio of both models' probabilities of a gram's last character after the others,
-    for every gram of 1 to ORDER characters seen in either corpus.  ``labelled`` has url and accepted (boolean)."""
+    """(gram, ratio, backoff) for every string of up to ORDER characters seen in either corpus.  ``ratio`` is the log
+    ratio of both models' probabilities of its last character after the others; null for the empty string.  ``backoff``
+    is that of the weights which the string, as a context, gives to the shorter one; 0 if nothing follows it.
+    ``labelled`` has url and accepted (boolean)."""
     whole = _characters(labelled, "accepted")
     shorter = F.explode(F.sequence(F.lit(1), F.col("size"))).alias("n")
     whole = whole.groupBy("gram", "size").agg(F.count_if("accepted").alias("good"), F.count_if(~F.col("accepted")).alias("bad"))
@@ -81,13 +81,14 @@ def train_grams(labelled: DataFrame) -> DataFrame:
     grams = grams.groupBy(F.expr("right(long, n)").alias("gram"), F.col("n")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     scratch = Scratch(labelled.sparkSession, "url-model")
     grams = scratch.save(grams.select("gram", "n", "good", "bad", F.expr("left(gram, n - 1)").alias("context"), F.expr("right(gram, n - 1)").alias("tail")), "grams")
-    contexts = grams.groupBy("context").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
+    contexts = scratch.save(grams.groupBy("context").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad")), "contexts")
     grams = scratch.save(grams.join(contexts, "context"), "with-contexts")
+    even = 1 / (grams.where("n = 1").count() + 1)
     known = None
     for n in range(1, ORDER + 1):
         level = grams.where(F.col("n") == n)
         if known is None:
-            level = level.select("gram", "good", "bad", "all_good", "all_bad", F.lit(1 / ALPHABET).alias("q_good"), F.lit(1 / ALPHABET).alias("q_bad"))
+            level = level.select("gram", "good", "bad", "all_good", "all_bad", F.lit(even).alias("q_good"), F.lit(even).alias("q_bad"))
         else:
             below = known.select(F.col("gram").alias("tail"), F.col("p_good").alias("q_good"), F.col("p_bad").alias("q_bad"))
             level = level.join(below, "tail").select("gram", "good", "bad", "all_good", "all_bad", "q_good", "q_bad")
@@ -95,22 +96,43 @@ def train_grams(labelled: DataFrame) -> DataFrame:
         known = scratch.save(level.select("gram", smooth("good").alias("p_good"), smooth("bad").alias("p_bad")), f"order-{n}")
         part = known.select("gram", F.log(F.col("p_good") / F.col("p_bad")).alias("ratio"))
         model = part if n == 1 else model.unionByName(part)
+    weight = F.log((F.col("all_bad") + SMOOTHING) / (F.col("all_good") + SMOOTHING))
+    backoff = contexts.select(F.col("context").alias("gram"), weight.alias("backoff"))
+    model = model.join(backoff, "gram", "full").select("gram", "ratio", F.coalesce("backoff", F.lit(0.0)).alias("backoff"))
     return scratch.save(model, "model")
 
 
-def score(urls: DataFrame, model: DataFrame, key: str, *keep: str) -> DataFrame:
-    """(key, *keep, llr): the mean log ratio over a URL's characters, each by the longest gram the model has;
-    0 for URLs without characters.  ``key`` tells rows apart."""
-    small = model.count() <= BROADCAST_GRAMS
-    rows = _characters(urls, key, *keep)
-    found = F.lit(None).cast("double")
-    for n in range(ORDER, 0, -1):
-        level = model.where(F.length("gram") == n).select(F.col("gram").alias(f"g{n}"), F.col("ratio").alias(f"r{n}"))
+def _judged(grams: DataFrame, model: DataFrame, small: bool) -> DataFrame:
+    """``grams`` (gram, size) with value: the log ratio of its last character's probabilities, by the longest ending
+    that was seen, times the weights of the longer contexts that were seen without that character."""
+    none = model.where(F.length("gram") == 0).first()
+    found, behind = F.lit(none.backoff if none else 0.0), F.lit(0.0)
+    rows = grams
+    for n in range(1, ORDER + 1):
+        level = model.where(F.length("gram") == n)
+        level = level.select(F.col("gram").alias(f"g{n}"), F.col("ratio").alias(f"r{n}"), F.col("backoff").alias(f"b{n}"))
+        ends = level.select(f"g{n}", f"r{n}")
         rows = rows.withColumn(f"g{n}", F.when(F.col("size") >= n, F.expr(f"right(gram, {n})")))
-        rows = rows.join(F.broadcast(level) if small else level, f"g{n}", "left")
-        found = F.coalesce(found, F.col(f"r{n}"))
-    means = rows.groupBy(key, *keep).agg(F.avg(F.coalesce(found, F.lit(0.0))).alias("llr"))
-    empty = urls.where(F.coalesce(F.length("url"), F.lit(0)) == 0).select(key, *keep, F.lit(0.0).alias("llr"))
+        rows = rows.join(F.broadcast(ends) if small else ends, f"g{n}", "left")
+        if n > 1:
+            before = F.when(F.col("size") >= n, F.expr(f"substring(gram, size - {n - 1}, {n - 1})"))
+            contexts = model.where(F.length("gram") == n - 1).select(F.col("gram").alias(f"c{n}"), F.col("backoff").alias(f"b{n}"))
+            rows = rows.withColumn(f"c{n}", before).join(F.broadcast(contexts) if small else contexts, f"c{n}", "left")
+            behind = F.coalesce(F.col(f"b{n}"), F.lit(0.0))
+        found = F.coalesce(F.col(f"r{n}"), found + behind)
+    return rows.select("gram", found.alias("value"))
+
+
+def score(urls: DataFrame, model: DataFrame, key: str) -> DataFrame:
+    """(key, llr): the mean log ratio over a URL's characters; 0 for URLs without characters.  ``key`` tells rows apart.
+
+    Each distinct string of ORDER characters is judged once; the characters, one row each, carry the key alone."""
+    scratch = Scratch(urls.sparkSession, "url-scores")
+    rows = _characters(urls, key)
+    values = scratch.save(_judged(rows.select("gram", "size").distinct(), model, model.count() <= BROADCAST_GRAMS), "values")
+    values = F.broadcast(values) if values.count() <= BROADCAST_GRAMS else values
+    means = rows.select(key, "gram").join(values, "gram").groupBy(key).agg(F.avg("value").alias("llr"))
+    empty = urls.where(F.coalesce(F.length("url"), F.lit(0)) == 0).select(key, F.lit(0.0).alias("llr"))
     return means.unionByName(empty)
 
 
@@ -152,7 +174,8 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple
     labelled = rows.where("action is not null and url is not null").withColumn("accepted", F.col("action") == "allow")
     apart = F.pmod(F.xxhash64("url"), F.lit(HELD_BACK)) == 0
     model = train_grams(labelled.where(~apart).select("url", "accepted"))
-    scored = scratch.save(score(rows, model, "__row", "__key", "url", "host", "path", "rule", "action"), "scored")
+    scores = score(rows.select("__row", "url"), model, "__row")
+    scored = scratch.save(rows.join(scores, "__row"), "scored")
     line = calibrate(scored.where(F.col("action").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(HELD_BACK)) == 0)).withColumn("accepted", F.col("action") == "allow"))
     p = line.probability(F.col("llr"))
     verdict = F.coalesce("action", F.when(p >= 0.5, F.lit("allow")).otherwise(F.lit("block")))

@@ -32,42 +32,47 @@ def test_rules(spark, url, host, path, rule, action):
     assert tuple(df.select("h", "p", name, verdict).first()) == (host, path, rule, action)
 
 
-def brute_ratio(labelled, url):
-    good, bad = Counter(), Counter()
-    for text, accepted in labelled:
-        for i in range(len(text)):
-            for n in range(1, min(U.ORDER, i + 1) + 1):
-                (good if accepted else bad)[text[i - n + 1 : i + 1]] += 1
-    totals = [Counter(), Counter()]
-    for side, counts in enumerate((good, bad)):
-        for gram, n in counts.items():
-            totals[side][gram[:-1]] += n
-
-    def p(side, gram):
-        if not gram:
-            return 1 / U.ALPHABET
-        counts = (good, bad)[side]
-        return (counts[gram] + U.SMOOTHING * p(side, gram[1:])) / (totals[side][gram[:-1]] + U.SMOOTHING)
-
-    out = []
-    for i in range(len(url)):
-        for n in range(min(U.ORDER, i + 1), 0, -1):
-            gram = url[i - n + 1 : i + 1]
-            if good[gram] + bad[gram]:
-                out.append(math.log(p(0, gram) / p(1, gram)))
-                break
-        else:
-            out.append(0.0)
-    return sum(out) / len(out) if out else 0.0
-
-
-def test_model_against_brute_force(spark):
-    labelled = [("http://a.net/en/1", True), ("http://abc.net/en/22", True), ("http://spam.com/de", False), ("http://spam.net/xx", False), ("h", False)]
-    urls = ["http://a.net/en/9", "http://spam.org/", "~~~", "h", "", None, "http://a.net/en/9"]
-    model = U.train_grams(spark.createDataFrame(labelled, "url string, accepted boolean"))
+class Brute:
+    """Both models by their definition: P(c | context) for every context and character."""
+
+    def __init__(self, labelled):
+        self.counts = ({}, {})
+        for text, accepted in labelled:
+            for i, c in enumerate(text):
+                for n in range(min(U.ORDER, i + 1)):
+                    after = self.counts[not accepted].setdefault(text[i - n : i], Counter())
+                    after[c] += 1
+        self.alphabet = sorted({c for side in self.counts for c in side.get("", ())})
+
+    def p(self, side, context, c):
+        shorter = self.p(side, context[1:], c) if context else 1 / (len(self.alphabet) + 1)
+        after = self.counts[side].get(context, Counter())
+        return (after[c] + U.SMOOTHING * shorter) / (sum(after.values()) + U.SMOOTHING)
+
+    def ratio(self, url):
+        logs = [math.log(self.p(0, url[max(0, i - U.ORDER + 1) : i], c) / self.p(1, url[max(0, i - U.ORDER + 1) : i], c)) for i, c in enumerate(url)]
+        return sum(logs) / len(logs) if logs else 0.0
+
+
+LABELLED = [("http://a.net/en/1", True), ("http://abc.net/en/22", True), ("http://spam.com/de", False), ("http://spam.net/xx", False), ("h", False), *[("http://b.org/q", False)] * 50]
+
+
+@pytest.mark.parametrize("bound", [U.BROADCAST_GRAMS, 0])
+def test_model_against_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(U, "BROADCAST_GRAMS", bound)
+    urls = ["http://a.net/en/9", "http://spam.org/", "http://b.org/z", "~~~", "a~h", "h", "", None, "http://a.net/en/9"]
+    brute = Brute(LABELLED)
+    model = U.train_grams(spark.createDataFrame(LABELLED, "url string, accepted boolean"))
     rows = spark.createDataFrame(list(enumerate(urls)), "n int, url string")
     got = {r.n: r.llr for r in U.score(rows, model, "n").collect()}
-    assert got == pytest.approx({n: brute_ratio(labelled, u or "") for n, u in enumerate(urls)})
+    assert got == pytest.approx({n: brute.ratio(u or "") for n, u in enumerate(urls)})
+
+
+def test_brute_force_is_normalised():
+    brute = Brute(LABELLED)
+    for side in (0, 1):
+        for context in ("", "h", "rg/q", "never"):
+            assert sum(brute.p(side, context, c) for c in [*brute.alphabet, "\0"]) == pytest.approx(1)
 
 
 def test_messy(spark):
