@@ -44,23 +44,29 @@ def fingerprints(docs: DataFrame, text: str = "text", canon: str = "canon", name
     return docs.withColumn(canon, canonical(F.col(text))).withColumn(name, digest(F.col(canon)))
 
 
-def mixed_buckets(docs: DataFrame, buckets: DataFrame, text: str = "text") -> DataFrame:
+def mixed_buckets(docs: DataFrame, made: DataFrame, buckets: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Fingerprints in ``buckets`` under which unequal canonical texts met: bytes are compared by the least and
-    the greatest text of a bucket, taken in every task before the shuffle, so copies never travel."""
+    the greatest text of a bucket, taken in every task before the shuffle, so copies never travel.  Only texts whose key
+    has a fingerprint that repeats (``made`` has key and fingerprint) are folded for it."""
     small = buckets.select("fingerprint")
     small = F.broadcast(small) if small.count() <= BROADCAST_BUCKETS else small
-    members = fingerprints(docs.select(text), text).select("fingerprint", "canon").join(small, "fingerprint", "left_semi")
+    keys = made.join(small, "fingerprint", "left_semi").select(key).distinct()
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_BUCKETS else keys
+    again = docs.where(F.col(key).isNotNull()).join(keys, key, "left_semi").unionByName(docs.where(F.col(key).isNull()))
+    members = fingerprints(again.select(text), text).select("fingerprint", "canon").join(small, "fingerprint", "left_semi")
     ends = members.groupBy("fingerprint").agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
     return ends.where("least <> most").select("fingerprint")
 
 
 def _ranges(docs: DataFrame, key: str) -> tuple[Column, int]:
-    """A range number that rises with the key and holds about RANGE_ROWS rows, from 64 quantiles of all keys."""
+    """A range number that rises with the key and holds about RANGE_ROWS rows, from 64 quantiles of all keys.  Null keys
+    have ranges below all others, by the hash ``__h``."""
     spark = docs.sparkSession
     at = [i / _QUANTILES for i in range(1, _QUANTILES)]
     r = docs.agg(F.count(key).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"), F.percentile_approx(key, at).alias("q")).first()
+    unnamed = (F.lit(-513) - F.shiftright("__h", 54)).cast("int")
     if not r.n:
-        return F.lit(-1), 0
+        return unnamed, 0
     ranges = min(MOST_RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), r.n // RANGE_ROWS))
     within = -(-ranges // _QUANTILES)
     edges = sorted({r.low, *r.q, r.high + 1})
@@ -69,11 +75,11 @@ def _ranges(docs: DataFrame, key: str) -> tuple[Column, int]:
     low, high = F.get(e, i - 1), F.get(e, i)
     inside = F.floor((F.col(key) - low).cast("double") / (high - low).cast("double") * within)
     number = (i - 1) * within + F.least(inside, F.lit(within - 1)).cast("int")
-    return F.coalesce(number, F.lit(-1)).cast("int"), ranges
+    return F.coalesce(number.cast("int"), unnamed), ranges
 
 
-def with_next(docs: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
-    """``docs``' key, text and carried columns, and next_text and next_<carried>: those of the next row by falling
+def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs``' key, text and fingerprint, and next_text and next_fingerprint: those of the next row by falling
     key, after the last those of the first.  Rows of one key follow each other by their texts' hash; null keys come
     last.  ``key`` is an integer.
 
@@ -83,19 +89,21 @@ def with_next(docs: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "next")
     number, _ = _ranges(docs.select(key), key)
     order = F.struct(F.coalesce(F.col(key), F.lit(-(1 << 62))).alias("k"), (-F.col("__h").cast("decimal(20,0)")).alias("h"))
-    rows = docs.withColumn("__range", number).withColumn("__h", F.xxhash64(F.col(text)))
+    rows = docs.withColumn("__h", F.xxhash64(F.col(text))).withColumn("__range", number)
     heads = rows.groupBy("__range").agg(F.max(order).alias("first"), F.count(F.lit(1)).alias("n"))
     up = Window.orderBy(F.col("__range"))
     last = F.max_by("first", "__range").over(Window.partitionBy())
     heads = scratch.save(heads.select("__range", "first", F.coalesce(F.lag("first").over(up), last).alias("next")), "heads")
     wanted = F.broadcast(heads.select(F.col("__range").alias("__to"), F.col("next").alias("__order")))
-    opening = rows.withColumn("__order", order).join(wanted, "__order").select("__to", F.col(text).alias("__t"), *(F.col(c).alias(f"__{c}") for c in carried))
-    opening = scratch.save(opening.dropDuplicates(["__to"]), "openings")
+    # the few opening rows are found before they are folded
+    opening = scratch.save(rows.withColumn("__order", order).join(wanted, "__order").select("__to", F.col(text).alias("__t")).dropDuplicates(["__to"]), "openings")
+    opening = fingerprints(opening, "__t", "__c", "__f").drop("__c")
     down = Window.partitionBy("__range").orderBy(F.col(key).desc_nulls_last(), F.col("__h"))
-    seen = rows.select(key, text, *carried, "__range", F.lead(F.lit(1)).over(down).isNull().alias("__end"), *(F.lead(c).over(down).alias(f"next_{c}") for c in carried), F.lead(text).over(down).alias("next_text"))
+    marked = fingerprints(rows, text).select(key, text, "fingerprint", "__range", "__h")
+    seen = marked.select(key, text, "fingerprint", "__range", F.lead(F.lit(1)).over(down).isNull().alias("__end"), F.lead("fingerprint").over(down).alias("next_fingerprint"), F.lead(text).over(down).alias("next_text"))
     out = seen.join(opening, seen["__range"] == opening["__to"], "left")
-    pick = lambda a, b: F.when(F.col("__end"), F.col(a)).otherwise(F.col(b))
-    return out.select(key, text, *carried, pick("__t", "next_text").alias("next_text"), *(pick(f"__{c}", f"next_{c}").alias(f"next_{c}") for c in carried))
+    pick = lambda a, b: F.when(F.col("__end"), F.col(a)).otherwise(F.col(b)).alias(b)
+    return out.select(key, text, "fingerprint", pick("__t", "next_text"), pick("__f", "next_fingerprint"))
 
 
 def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,8 +117,7 @@ def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """
     scratch = Scratch(docs.sparkSession, "fingerprint")
     texts = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    marked = fingerprints(texts).select(key, "text", "fingerprint")
-    rows = with_next(marked, key, "text", "fingerprint")
+    rows = with_next(texts, key, "text")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.left("text", n - half), F.left("next_text", half)))
@@ -128,7 +135,7 @@ def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     made = scratch.save(made, "edits")
     buckets = made.groupBy("fingerprint").agg(F.min(key).alias("group_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     buckets = scratch.save(buckets, "buckets")
-    mixed = scratch.save(mixed_buckets(texts, buckets), "mixed")
+    mixed = scratch.save(mixed_buckets(texts, made.select(key, "fingerprint"), buckets, key), "mixed")
     if not mixed.isEmpty():
         return _told_apart(texts, made, mixed, key)
     out = made.join(buckets, "fingerprint", "left")
