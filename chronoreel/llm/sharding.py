@@ -33,9 +33,10 @@ class SlotMap:
     shard_of: tuple[int, ...]
 
     def rows(self, spark: SparkSession) -> DataFrame:
-        """The map as a table (version, vslot, shard) to store beside the data."""
+        """The map as a table (map_version, n_shards, vslot, shard) to store beside the data."""
         return spark.range(len(self.shard_of)).select(
             F.lit(self.version).alias("map_version"),
+            F.lit(self.n_shards).alias("n_shards"),
             F.col("id").cast("int").alias("vslot"),
             _pick(self.shard_of, F.col("id")).cast("int").alias("shard"),
         )
@@ -46,8 +47,30 @@ def _pick(values, at) -> F.Column:
     return F.get(F.split(F.lit(",".join(map(str, values))), ","), at.cast("int"))
 
 
-def virtual_slot(key, slots: int = VIRTUAL_SLOTS) -> F.Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def load_map(spark: SparkSession, store: str) -> SlotMap | None:
+    """The latest version in the folder ``store``, None if there is none yet.  A version is a table of its own, as
+    many rows as slots, and is never changed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    whole = [n for n in names if n.startswith("version-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{n}/_SUCCESS"))]
+    if not whole:
+        return None
+    rows = spark.read.parquet(f"{store}/{max(whole)}").orderBy("vslot").collect()
+    return SlotMap(rows[0].map_version, rows[0].n_shards, tuple(r.shard for r in rows))
+
+
+def store_map(spark: SparkSession, store: str, slot_map: SlotMap) -> DataFrame:
+    """Writes a version beside the earlier ones and returns its rows; an existing version is an error."""
+    path = f"{store}/version-{slot_map.version:06d}"
+    slot_map.rows(spark).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def virtual_slot(*record, slots: int = VIRTUAL_SLOTS) -> F.Column:
+    return F.pmod(F.xxhash64(*record), F.lit(slots)).cast("int")
 
 
 def record_size(text) -> F.Column:
@@ -56,7 +79,7 @@ def record_size(text) -> F.Column:
 
 def slot_sizes(df: DataFrame, key: str, text: str, slots: int = VIRTUAL_SLOTS) -> DataFrame:
     """Rows and bytes per virtual slot: at most ``slots`` rows, summed before the shuffle."""
-    return df.groupBy(virtual_slot(F.col(key), slots).alias("vslot")).agg(
+    return df.groupBy(virtual_slot(F.col(key), F.col(text), slots=slots).alias("vslot")).agg(
         F.sum(record_size(F.col(text))).alias("bytes"), F.count(F.lit(1)).alias("rows")
     )
 
@@ -103,32 +126,52 @@ def collect_sizes(df: DataFrame, key: str, text: str, slots: int = VIRTUAL_SLOTS
     return {r.vslot: r.bytes for r in found}, {r.vslot: r.rows for r in found}
 
 
+def current_map(spark: SparkSession, sizes: dict[int, int], n_shards: int, slots: int, store: str, tolerance: float) -> tuple[SlotMap, DataFrame]:
+    """The map to use and its stored rows: the latest version in ``store``, edited and stored as the next one where
+    shards were added or a shard is more than ``tolerance`` above the mean; the first version where there is none."""
+    old = load_map(spark, store)
+    if old is None:
+        new = build_map(sizes, n_shards, slots)
+        return new, store_map(spark, store, new)
+    if len(old.shard_of) != slots:
+        raise ValueError("the number of slots is fixed")
+    loads = [0] * old.n_shards
+    for slot, shard in enumerate(old.shard_of):
+        loads[shard] += sizes.get(slot, 0)
+    if n_shards != old.n_shards or max(loads) > (1 + tolerance) * sum(loads) / n_shards:
+        new = rebalance(old, sizes, n_shards)
+        if new.shard_of != old.shard_of or n_shards != old.n_shards:
+            return new, store_map(spark, store, new)
+    return old, spark.read.parquet(f"{store}/version-{old.version:06d}")
+
+
 def assign(
-    df: DataFrame, n_shards: int = 40, key: str = "doc_id", text: str = "text", slots: int = VIRTUAL_SLOTS, slot_map: SlotMap | None = None
+    df: DataFrame, n_shards: int = 40, key: str = "doc_id", text: str = "text", slots: int = VIRTUAL_SLOTS, store: str | None = None, tolerance: float = 0.01
 ) -> DataFrame:
     """``df``'s rows as (key, size, text_crc32, vslot, map_version, shard, slot): the shard by the slot map
-    (built here unless given) and the row's place in its shard, gapless from 0.
+    in the folder ``store`` and the row's place in its shard, gapless from 0.
 
     Law: bytes.  Sizes of shards are near equal, as near as one slot's bytes; one record larger than a
-    shard's share stays whole.  Places follow (virtual slot, key, text hash, size); rows that agree in all
-    of these are interchangeable.  Null keys share one slot, a null text counts no bytes, an empty table
-    gives no rows.  Only the named columns are read, so others may have any name.  The map is broadcast:
-    ``slots`` rows, whatever the input.  The map is written to the shared folder, one table a version.
+    shard's share stays whole.  The map is read from ``store``, and a next version is written where shards were added or
+    sizes have moved by more than ``tolerance``; without a folder the map is a first version in the shared folder.
+    Places follow (virtual slot, key, text hash, size); rows that agree in all of these are interchangeable.  A record is
+    a key with its text, so null or repeated keys are spread over slots as their texts are; equal rows share a slot.
+    A null text counts no bytes, an empty table gives no rows.  Only the named columns are read, so others may have
+    any name.  The map is broadcast: ``slots`` rows, whatever the input.
     """
     spark = df.sparkSession
     sizes, counts = collect_sizes(df, key, text, slots)
-    slot_map = slot_map or build_map(sizes, n_shards, slots)
+    slot_map, stored = current_map(spark, sizes, n_shards, slots, store or Scratch(spark, "slot-map").root, tolerance)
     first, filled = [0] * slots, [0] * slot_map.n_shards
     for vslot, shard in enumerate(slot_map.shard_of):
         first[vslot] = filled[shard]
         filled[shard] += counts.get(vslot, 0)
-    table = slot_map.rows(spark).withColumn("first", _pick(first, F.col("vslot")).cast("long"))
-    stored = Scratch(spark, "slot-map").save(table, f"version-{slot_map.version}")
+    stored = stored.drop("n_shards").withColumn("first", _pick(first, F.col("vslot")).cast("long"))
     rows = df.select(
         F.col(key).alias(key),
         record_size(F.col(text)).alias("size"),
         crc32_long(F.col(text)).alias("text_crc32"),
-        virtual_slot(F.col(key), slots).alias("vslot"),
+        virtual_slot(F.col(key), F.col(text), slots=slots).alias("vslot"),
     )
     place = F.row_number().over(Window.partitionBy("vslot").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size"))
     return (

@@ -41,3 +41,40 @@ def test_rebalance_moves_little():
 
 def test_empty(spark, empty):
     assert sharding.assign(empty).collect() == []
+
+
+def test_map_versions(spark, tmp_path):
+    """The stored map is loaded, edited when shards are added or sizes move, and left alone else."""
+    store = f"file://{tmp_path}/map"
+    rows = [(i, "x" * (i % 50)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def run(n, of=docs):
+        out = sharding.assign(of, n, slots=512, store=store).collect()
+        sizes = {}
+        for r in out:
+            sizes[r.vslot] = sizes.get(r.vslot, 0) + r.size
+        stored = sharding.load_map(spark, store)
+        assert {r.map_version for r in out} == {stored.version}
+        assert all(stored.shard_of[r.vslot] == r.shard for r in out)
+        for shard in range(n):
+            assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
+        return stored, sizes
+
+    one, sizes = run(4)
+    assert one == sharding.build_map(sizes, 4, 512) and one.version == 1
+    assert run(4)[0] == one
+    two, _ = run(5)
+    assert two == sharding.rebalance(one, sizes, 5)
+    moved = [s for s in range(512) if one.shard_of[s] != two.shard_of[s]]
+    assert two.version == 2 and moved and {two.shard_of[s] for s in moved} == {4}
+    more = docs.unionByName(spark.createDataFrame([(i, "y" * 400) for i in range(3000, 3100)], docs.schema))
+    three, sizes = run(5, more)
+    assert three.version == 3
+    loads = [sum(sizes.get(s, 0) for s in range(512) if three.shard_of[s] == k) for k in range(5)]
+    assert max(loads) < 1.03 * sum(loads) / 5
+
+
+def test_null_and_repeated_keys_are_spread(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"text {i}") for i in range(400)], "doc_id long, text string")
+    assert max(r["count"] for r in sharding.assign(docs, 4).groupBy("vslot").count().collect()) < 10
