@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine) a
-    temporary folder is set for the session."""
+    """The folder in spark.checkpoint.dir.  Where that is unset, on one machine, a temporary folder is set for the
+    session; on a cluster executors would not share it, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="chronoreel-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

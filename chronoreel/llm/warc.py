@@ -16,6 +16,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -33,6 +34,9 @@ DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PIECE = 1 << 20
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
+_UNSAFE_ID = re.compile(r"[\x00-\x20\x7f%<>]")
+#: The id of a record whose key is null; any other starts with the first name.
+_ID, _NULL_ID = "<urn:x-page:", "<urn:x-no-page:>"
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -44,17 +48,26 @@ def record_bytes(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
     revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:x-page:{_escape(page_id)}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_id(page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + _escape(url))
     if revisit:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:x-page:{_escape(refers_to)}>"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_id(refers_to)}"]
     head += [f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _escape(value) -> str:
-    return "" if value is None else _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", str(value))
+def _escape(value: str, unsafe: re.Pattern = _UNSAFE) -> str:
+    return unsafe.sub(lambda m: f"%{ord(m[0]):02X}", value)
+
+
+def _id(key) -> str:
+    """A record's id: the key, percent-encoded so that ``_key`` reads it back as it was."""
+    return _NULL_ID if key is None else f"{_ID}{_escape(str(key), _UNSAFE_ID)}>"
+
+
+def _key(uri: str) -> str | None:
+    return None if uri == _NULL_ID else unquote(uri[len(_ID) : -1])
 
 
 def headers(record: bytes) -> tuple[dict[str, str], int]:
@@ -75,6 +88,8 @@ class _File:
 
     def close(self) -> None:
         self.stream.close()
+        if self.fs.get_file_info(self.path).type != pafs.FileType.NotFound:
+            self.fs.delete_file(self.path)
         self.fs.move(self.part, self.path)
 
 
@@ -115,9 +130,10 @@ def records(path: str) -> Iterator[bytes]:
 
 def mark_revisits(pages: DataFrame, scratch: Scratch, key: str, payload: str, min_bytes: int = 0) -> DataFrame:
     """``pages`` with ``refers_to``: the largest key among rows with an equal payload of at least ``min_bytes``
-    bytes, null for that row itself.  Only payloads that occur again take part in the join."""
+    bytes, null for that row itself.  Payloads are told apart by length and SHA-256.  Digests that occur once are left out
+    of what is joined; where the others are too many to broadcast, the join deals the rows by digest."""
     body = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.withColumn("__sha", F.sha1(body)).withColumn("__bytes", F.octet_length(body))
+    rows = pages.withColumn("__sha", F.sha2(body, 256)).withColumn("__bytes", F.octet_length(body))
     equal = rows.where(F.col("__bytes") >= min_bytes).groupBy(F.col("__sha").alias("s"), F.col("__bytes").alias("b"))
     again = scratch.save(equal.agg(F.max(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
     out = rows.join(again, (F.col("__sha") == F.col("s")) & (F.col("__bytes") == F.col("b")), "left")
@@ -190,8 +206,8 @@ def read_records(archives: DataFrame, key: str, key_type: T.DataType, payload: b
     whole = isinstance(key_type, T.IntegralType)
 
     def named(uri: str | None):
-        value = None if uri is None else uri[len("<urn:x-page:") : -1]
-        return None if not value else int(value) if whole else value
+        value = None if uri is None else _key(uri)
+        return int(value) if whole and value is not None else value
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

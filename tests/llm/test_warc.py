@@ -66,3 +66,11 @@ def test_table(spark, sf_dir):
     for r in pages.collect():
         body = (r.html or "").encode()
         assert (got[r.page_id].payload_bytes, got[r.page_id].payload_digest) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
+
+
+def test_string_keys(spark):
+    """Keys with spaces, percent signs, brackets, nothing at all and null come back as they were."""
+    rows = [("a b", None, "1"), ("a%20b", None, "2"), ("", None, "3"), (None, None, "4"), ("<é>%", "u", "5"), ("z", "u", "1")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {(r.page_id, r.payload, r.refers_to) for r in warc.round_trip(pages, with_payload=True).collect()}
+    assert got == {(k, "" if k == "a b" else h, "z" if k == "a b" else None) for k, _, h in rows}
