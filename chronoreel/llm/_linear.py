@@ -53,6 +53,27 @@ class Ftrl:
         return self._weights(np.arange(len(self.z)))
 
 
+def fit_binary(xs: list[Example], ys: list[int], features: int, alpha: float, l1: float, l2: float, epochs: int, beta: float = 1.0, seed: int = 7) -> np.ndarray:
+    """Weights (features + 1, the last one the bias) of a two-class model by the same rule."""
+    z, n = np.zeros(features + 1), np.zeros(features + 1)
+    xs = [(np.append(at, features), np.append(values, 1.0)) for at, values in xs]
+
+    def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2), 0.0)
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for i in order.permutation(len(xs)).tolist():
+            at, values = xs[i]
+            seen, before = n[at], z[at]
+            w = weights(before, seen)
+            g = (1 / (1 + np.exp(-min(max(float(values @ w), -40.0), 40.0))) - ys[i]) * values
+            after = seen + g * g
+            z[at] = before + g - (np.sqrt(after) - np.sqrt(seen)) / alpha * w
+            n[at] = after
+    return weights(z, n)
+
+
 def logits(weights: np.ndarray, x: Example) -> np.ndarray:
     return x[1] @ weights[x[0]] + weights[-1]
 

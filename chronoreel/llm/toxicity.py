@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoreel.llm._io import Scratch, read_table
-from chronoreel.llm._linear import Example, Ftrl, labelled_sample, logits
+from chronoreel.llm._linear import Example, fit_binary, labelled_sample
 from chronoreel.llm._text import NOT_ALPHA, Words, buffers, chunks, mix64, tidy
 
 #: Sampled documents that must hold a feature before it gets a weight.
@@ -44,10 +44,14 @@ def word_features(words: Words) -> np.ndarray:
     return out
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
 @dataclass(frozen=True)
 class Chain:
     """Categories in order, the features with a weight (sorted hashes), their weights, the weights of
-    earlier categories' logits, and the biases."""
+    earlier categories' probabilities, and the biases."""
 
     categories: tuple[str, ...]
     features: np.ndarray
@@ -58,10 +62,10 @@ class Chain:
 
     def probabilities(self, base: np.ndarray) -> np.ndarray:
         """From the sums of word weights (texts x categories): each category in turn."""
-        logit = np.zeros_like(base)
+        p = np.zeros_like(base)
         for k in range(base.shape[1]):
-            logit[:, k] = base[:, k] + self.bias[k] + np.clip(logit[:, :k], -8, 8) @ self.earlier[k, :k]
-        return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
+            p[:, k] = _sigmoid(base[:, k] + self.bias[k] + p[:, :k] @ self.earlier[k, :k])
+        return p
 
 
 def _features(column: pa.Array) -> Iterator[tuple[int, Words, np.ndarray]]:
@@ -112,9 +116,25 @@ def _sample(sample: DataFrame, text: str, labels: tuple[str, ...], vocabulary: n
     return _distinct(rows, text, places, "at", "binary").collect()
 
 
-def _fit(xs: list[Example], ys: list[int], features: int) -> np.ndarray:
-    w = Ftrl(features, 2, alpha=0.3, l1=1.0, l2=0.5).fit(xs, ys, EPOCHS).weights()
-    return w[:, 1] - w[:, 0]
+def _fits(spark: SparkSession, words: list[np.ndarray], earlier: np.ndarray, ys: np.ndarray, fold: np.ndarray, features: int) -> list[np.ndarray]:
+    """Weights of a category's models: one that leaves out each fold, and one of all documents; a task each.  The sample
+    is broadcast, and its size is bounded by ``per_label``."""
+    shared = spark.sparkContext.broadcast((words, earlier, ys, fold))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f in batch.column(0).to_pylist():
+                words, earlier, ys, fold = shared.value
+                width = earlier.shape[1]
+                own = np.arange(features, features + width)
+                inside = np.flatnonzero(fold != f)
+                xs: list[Example] = [(np.append(words[i], own).astype(np.int64), np.append(np.ones(len(words[i])), earlier[i])) for i in inside]
+                w = fit_binary(xs, ys[inside].tolist(), features + width, alpha=0.6, l1=1.0, l2=0.25, epochs=EPOCHS)
+                yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([w.tobytes()], pa.binary())], ["fold", "w"])
+
+    rows = spark.range(FOLDS + 1).repartition(FOLDS + 1, "id").mapInArrow(work, "fold long, w binary").collect()
+    shared.unpersist()
+    return [np.frombuffer(r.w) for r in sorted(rows, key=lambda r: r.fold)]
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -130,7 +150,8 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], text: str = "text", key: str = "doc_id", per_label: int = SAMPLE_PER_LABEL) -> Chain | None:
     """A chain over 0/1 label columns in the given order, from about ``per_label`` documents with and as many
-    without the last label.  None if there is no labelled text or the last label has one value only."""
+    without the last label.  Documents that lack one of the labels are left out.  None if there is no labelled text or
+    the last label has one value only."""
     for c in categories:
         labels = labels.where(F.col(c).isNotNull())
     sample = Scratch(docs.sparkSession, "toxicity").save(labelled_sample(docs, labels, categories[-1], per_label, key, text), "sample")
@@ -140,7 +161,6 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], text:
         return None
     labels = np.array([r.labels for r in rows])
     words = [np.frombuffer(r.at, dtype=np.int32) for r in rows]
-    words = [(at.astype(np.int64), np.ones(len(at))) for at in words]
     n = len(features)
     fold = np.array([r.draw % FOLDS for r in rows])
     k = len(categories)
@@ -148,18 +168,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], text:
     earlier = np.zeros((len(rows), 0))
     thresholds = []
     for c in range(k):
-        xs = [(np.append(a, n + np.arange(c)), np.append(v, e)) for (a, v), e in zip(words, earlier, strict=True)]
-        ys = labels[:, c].tolist()
-        unseen = np.zeros(len(rows))
-        for f in range(FOLDS):
-            inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            if len(inside) and len(outside):
-                w = _fit([xs[i] for i in inside], [ys[i] for i in inside], n + c)[:, None]
-                unseen[outside] = [logits(w, xs[i])[0] for i in outside]
-        w = _fit(xs, ys, n + c)
+        models = _fits(docs.sparkSession, words, earlier, labels[:, c], fold, n)
+        unseen = np.array([models[f][at].sum() + e @ models[f][n:-1] + models[f][-1] for at, e, f in zip(words, earlier, fold.tolist(), strict=True)])
+        w = models[FOLDS]
         weights[:, c], before[c, :c], bias[c] = w[:n], w[n:-1], w[-1]
-        thresholds.append(_threshold(1 / (1 + np.exp(-np.clip(unseen, -40, 40))), labels[:, c]))
-        earlier = np.column_stack([earlier, np.clip(unseen, -8, 8)])
+        thresholds.append(_threshold(_sigmoid(unseen), labels[:, c]))
+        earlier = np.column_stack([earlier, _sigmoid(unseen)])
     used = np.any(weights != 0, axis=1)
     return Chain(categories, features[used], weights[used], before, bias, tuple(thresholds))
 
@@ -168,8 +182,10 @@ def score(docs: DataFrame, chain: Chain | None, categories: tuple[str, ...], tex
     """``docs`` with a probability for each category and ``flag``: the last one's reaches its threshold.
 
     Texts that are null or without words have no word weights and get the chain's prior; without a chain all
-    probabilities are 0 and nothing is flagged.  Equal texts get equal results; other columns pass through.
+    probabilities are 0 and nothing is flagged.  Equal texts get equal results; other columns pass through, and those
+    named like the results are replaced.
     """
+    docs = docs.drop(*(c for c in (flag, *(f"{prefix}{c}" for c in categories)) if c != text))
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     extra = [T.StructField(f"{prefix}{c}", T.DoubleType()) for c in categories]
