@@ -135,16 +135,16 @@ def _sample_features(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.mapInArrow(work, "lang string, draw long, features binary, counts binary")
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
     """A model of ``docs``' languages from texts and non-null labels alone; None if no text has a letter.
 
     Document frequencies are those of all labelled documents.  The regression sees about ``per_language``
-    documents of each language, chosen by a hash of key and text; a fifth of them only sets the temperature.
+    documents of each language at most, chosen by a hash of the text, copies once; a fifth of them only sets the temperature.
     """
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, text, lang)
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, lang)
     counts, total = document_frequencies(known, text)
     idf = np.log((1 + total) / (1 + counts)) + 0.1
-    rows = _sample_features(bounded_sample(known, lang, per_language, key, text), text, lang).collect()
+    rows = _sample_features(bounded_sample(known, lang, per_language, text).dropDuplicates([text, lang]), text, lang).collect()
     rows = sorted((r for r in rows if r.features), key=lambda r: (r.draw, r.lang))
     languages = tuple(sorted({r.lang for r in rows}))
     if not languages:
@@ -167,8 +167,10 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", p
     """``docs`` with the predicted language and its calibrated probability (0 to 1).
 
     A text that is null or has no letter is ``und`` with score 0, as is every text if there is no model.  Equal
-    texts get equal results; ties go to the first language in order.  Other columns pass through.
+    texts get equal results; ties go to the first language in order.  Other columns pass through; those named like the
+    two results are replaced.
     """
+    docs = docs.drop(*(c for c in (pred, score) if c != text))
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
