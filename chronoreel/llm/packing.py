@@ -16,7 +16,6 @@ simply run again.  In a window
 
 from __future__ import annotations
 
-import bisect
 import heapq
 from collections.abc import Iterator
 
@@ -27,15 +26,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoreel.llm._text import tidy
+from chronoreel.llm._text import buffers, tidy
 
 CONTEXTS = (512, 1024, 2048, 4096)
 EOS = 2
 #: Tokens that a task holds at once; the longest document comes on top.
 WINDOW_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 18
-#: Words whose ids a worker remembers; beyond that it forgets all and starts again.
-CACHED_WORDS = 500_000
+#: Words and their bytes with ids that a worker remembers within a task; beyond either it forgets all and starts again.
+CACHED_WORDS, CACHED_BYTES = 500_000, 32 << 20
+#: What a remembered word costs besides its characters and ids.
+_ENTRY_BYTES = 180
+#: Longer words are not remembered.
+LONGEST_CACHED = 64
+#: Texts and characters that are encoded together, one text at least.
+TEXTS, CHARACTERS = 64, 1 << 19
+#: ASCII marks that the tokenizer keeps together after letters; an apostrophe may open a contraction, "<" a special token.
+_MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, context int, step_group long"
 
@@ -43,7 +50,8 @@ PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long
 class WordTokenizer:
     """Ids of whole texts, with each distinct white-space-separated word encoded once.
 
-    The tokenizer never joins across spaces and line feeds, so a text's ids are its words' ids in turn.
+    The tokenizer never joins across spaces and line feeds, so a text's ids are its words' ids in turn.  Nor does it
+    join letters and the marks behind them, so a word's ids are those of its letters and of its marks.
     Texts with its special tokens' opening are encoded word by word without lower-casing or stripping.
     """
 
@@ -57,28 +65,16 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
-        self._learn_each([".", ","])
+        self.held = 0
 
     def _learn_each(self, words: list[str]) -> None:
         for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Plain letters give one word each, whose last id is one of ``ends``: many share a call."""
-        ascii_words, letters, other = [], [], []
-        for word in words:
-            if not word.isalpha():
-                other.append(word)
-            elif word.isascii() and word.islower():
-                ascii_words.append(word)
-            else:
-                letters.append(word)
-        other += self._learn_together(self.bare, ascii_words)
-        other += self._learn_together(self.tokenizer, letters)
-        if other:
-            self._learn_each(other)
-
     def _learn_together(self, tokenizer, words: list[str]) -> list[str]:
         """Learns words of letters, a hundred a call; returns those whose ends aren't clear."""
         unclear = []
@@ -90,37 +86,79 @@ class WordTokenizer:
                 unclear += part
                 continue
             whole, a = ids.tobytes(), 0
-            for word, z in zip(part, stops.tolist(), strict=True):
-                self.known[word] = whole[4 * a : 4 * z]
+            for word, z in zip(part, (4 * stops).tolist(), strict=True):
+                self.known[word] = whole[a:z]
                 a = z
         return unclear
 
     def _resolve(self, missing: list[str]) -> None:
-        base: dict[str, tuple[str, str]] = {}
-        for word in missing:
-            stem, tail = word, ""
-            if word.isascii() and "<|" not in word:
-                stem = word.lower()
-                if stem[-1:] in (".", ",") and stem[:-1].isalpha():
-                    stem, tail = stem[:-1], stem[-1]
-            base[word] = (stem, tail)
+        """Plain letters give one word each, whose last id is one of ``ends``: many share a call."""
         known = self.known
-        self._learn([s for s in {s for s, _ in base.values()} if s not in known])
-        for word, (stem, tail) in base.items():
-            if word != stem:
-                known[word] = known[stem] + known[tail] if tail else known[stem]
+        letters = {w for w in missing if w.isalpha()}
+        marked, other = [], set()
+        for word in missing:
+            if word not in letters:
+                stem = word.rstrip(_MARKS)
+                if stem.isalpha():
+                    marked.append((word, stem, word[len(stem) :]))
+                else:
+                    other.add(word)
+        letters.update(s for _, s, _ in marked if s not in known)
+        other.update(t for _, _, t in marked if t not in known)
+        plain = [w for w in letters if w.isascii() and w.islower()]
+        other.update(self._learn_together(self.bare, plain))
+        other.update(self._learn_together(self.tokenizer, list(letters.difference(plain))))
+        if other:
+            self._learn_each(list(other))
+        for word, stem, tail in marked:
+            known[word] = known[stem] + known[tail]
+        self.held += sum(map(len, missing)) + sum(map(len, map(known.__getitem__, missing))) + _ENTRY_BYTES * len(missing)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-            self._learn_each([".", ","])
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        if self.held > CACHED_BYTES or len(self.known) > CACHED_WORDS:
+            self.forget()
+        split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") if t else [] for t in texts]
         known = self.known
         missing = [w for w in set().union(*split) if w not in known]
         if missing:
             self._resolve(missing)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for word in missing:
+            if len(word) > LONGEST_CACHED:
+                del known[word]
+        return out
+
+
+class _Pool:
+    """Fragments (document, start) by length.  The lengths that occur are bits of one number, so the largest below a
+    bound is found without a search among fragments."""
+
+    def __init__(self):
+        self.of: dict[int, list[tuple[int, int]]] = {}
+        self.lengths = self.tokens = 0
+
+    def add(self, length: int, doc: int, start: int) -> None:
+        self.of.setdefault(length, []).append((doc, start))
+        self.lengths |= 1 << length
+        self.tokens += length
+
+    def largest(self, most: int) -> int:
+        """The largest length up to ``most``; 0 if there is none."""
+        return max((self.lengths & ((1 << (most + 1)) - 1)).bit_length() - 1, 0)
+
+    def smallest(self) -> int:
+        return (self.lengths & -self.lengths).bit_length() - 1
+
+    def take(self, length: int) -> tuple[int, int]:
+        doc, start = self.of[length].pop()
+        if not self.of[length]:
+            self.lengths ^= 1 << length
+        self.tokens -= length
+        return doc, start
+
+    def rest(self) -> list[tuple[int, int, int]]:
+        return [(d, s, n) for n in sorted(self.of) for d, s in self.of[n]]
 
 
 class _Pieces:
@@ -132,45 +170,40 @@ class _Pieces:
     def plan(self, fragments: list[tuple[int, int, int]], last: bool) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
         """Sequences of exactly a context's length, and what is left over: fewer tokens than the
         longest context; none if last."""
-        longest, done, pool = self.contexts[-1], [], []
+        longest, done, pool = self.contexts[-1], [], _Pool()
         for doc, start, length in fragments:
             while length >= longest:
                 done.append([(doc, start, longest)])
                 start, length = start + longest, length - longest
             if length:
-                pool.append((length, doc, start))
-        pool.sort()
+                pool.add(length, doc, start)
         open_ended: list[tuple[int, int, int]] = []
         for tier in range(len(self.contexts) - 1, -1, -1):
             size, below = self.contexts[tier], self.contexts[tier - 1] if tier else 0
-            while pool and pool[-1][0] > below:
-                length, doc, start = pool.pop()
-                if tier == 0 and sum(x[0] for x in pool) + length < size:
-                    pool.append((length, doc, start))
+            while (length := pool.largest(size)) > below:
+                if tier == 0 and pool.tokens < size:
                     break
-                sequence, gap = [(doc, start, length)], size - length
-                while gap and pool:
-                    at = bisect.bisect_right(pool, (gap, float("inf"), 0)) - 1
-                    if at < 0:
-                        n, d, s = pool.pop(0)
+                sequence, gap = [(*pool.take(length), length)], size - length
+                while gap and pool.lengths:
+                    n = pool.largest(gap)
+                    if not n:
+                        n = pool.smallest()
+                        d, s = pool.take(n)
                         sequence.append((d, s, gap))
-                        bisect.insort(pool, (n - gap, d, s + gap))
+                        pool.add(n - gap, d, s + gap)
                         gap = 0
-                    else:
-                        n, d, s = pool[at]
-                        if n > below and tier:
-                            at = bisect.bisect_right(pool, (below, float("inf"), 0)) - 1
-                            if at < 0:
-                                break
-                            n, d, s = pool[at]
-                        pool.pop(at)
-                        sequence.append((d, s, n))
-                        gap -= n
+                        break
+                    if n > below and tier:
+                        n = pool.largest(below)
+                        if not n:
+                            break
+                    sequence.append((*pool.take(n), n))
+                    gap -= n
                 if gap:
                     open_ended += sequence
                 else:
                     done.append(sequence)
-        return self._end_to_end(open_ended + [(d, s, n) for n, d, s in pool], done, last)
+        return self._end_to_end(open_ended + pool.rest(), done, last)
 
     def _end_to_end(self, rest, done, last):
         """Cut what is laid end to end into longest contexts; if last, the remainder at powers of two."""
@@ -254,8 +287,7 @@ def pack(
         for batch in batches:
             if arrow is None:
                 arrow = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
+            for part in _parts(batch):
                 for value, encoded in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist()), strict=True):
                     keys[row], ids[row] = value, encoded + tail
                     n = len(ids[row]) // 4
@@ -266,16 +298,28 @@ def pack(
                         yield from flush(False)
         if fragments:
             yield from flush(True)
+        words.forget()
         tidy()
 
     return df.select(F.col(key), F.col(text)).mapInArrow(work, schema)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, TEXTS at most and CHARACTERS, or one longer text."""
+    _, offsets = buffers(batch.column(1))
+    i = 0
+    while i < batch.num_rows:
+        j = int(np.searchsorted(offsets, offsets[i] + CHARACTERS, side="right")) - 1
+        j = min(batch.num_rows, i + TEXTS, max(i + 1, j))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 _loaded: dict[str, WordTokenizer] = {}
 
 
 def _tokenizer(path: str) -> WordTokenizer:
-    """One for each worker: its words stay known from task to task."""
+    """One for each worker; what it remembers of words ends with a task."""
     if path not in _loaded:
         _loaded[path] = WordTokenizer(path)
     return _loaded[path]
