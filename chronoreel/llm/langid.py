@@ -191,15 +191,22 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", p
     return docs.mapInArrow(work, schema)
 
 
-#: A text whose best language is less probable than this is in no learned language.
-LEAST_SCORE = 0.35
+#: A text whose best language has gone less than this share of the way from chance to certainty is in no learned
+#: language: 0.35 of 1 with four languages, 0.57 with two, 0.14 with a hundred.
+LEAST_SHARE = 2 / 15
 
 
-def keep_known(docs: DataFrame, model: LanguageModel | None, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` whose texts have letters and a language with probability ``least`` or more; without a model nothing
-    can be told and all rows stay.  Columns stay as they are."""
+def least_score(model: LanguageModel) -> float:
+    chance = 1 / len(model.languages)
+    return chance + LEAST_SHARE * (1 - chance)
+
+
+def keep_known(docs: DataFrame, model: LanguageModel | None, text: str = "text", least: float | None = None) -> DataFrame:
+    """``docs`` whose texts have letters and a language with probability ``least`` (default: ``least_score``) or more;
+    without a model nothing can be told and all rows stay.  Columns stay as they are."""
     if model is None:
         return docs
+    least = least_score(model) if least is None else least
     judged = identify(docs, model, text, "__lang_pred", "__lang_score")
     return judged.where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__lang_score") >= least)).select(*docs.columns)
 
