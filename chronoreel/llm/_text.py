@@ -123,6 +123,16 @@ def tidy() -> None:
         _trim(0)
 
 
+def tidied(work):
+    """A task's generator that gives memory back once its own variables are gone."""
+
+    def run(batches):
+        yield from work(batches)
+        tidy()
+
+    return run
+
+
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-word shingles of one text; fewer words give one shingle of all."""
     n = len(hashes)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoreel.llm._io import Scratch, read_table
-from chronoreel.llm._text import NOT_ALNUM, Words, buffers, chunks, tidy
+from chronoreel.llm._text import NOT_ALNUM, Words, buffers, chunks, tidied
 
 WINDOW = 10
 #: Item words in one automaton: about 100 MB of states on the driver and in a worker.
@@ -172,6 +172,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 def item_words(items: DataFrame, key: str, text: str) -> DataFrame:
     """Items as (key as string, lower-cased words)."""
 
+    @tidied
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(1))
@@ -220,6 +221,7 @@ def scan(
 def _pass(df: DataFrame, index, text: str, names: list[str], found: str) -> DataFrame:
     schema = T.StructType([*(df.schema[n] for n in names), T.StructField(found, FOUND)])
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(names.index(text)))
@@ -237,7 +239,6 @@ def _pass(df: DataFrame, index, text: str, names: list[str], found: str) -> Data
                     at = [(int(words.start[a + s]) - origin, int(words.start[a + e - 1] + words.length[a + e - 1]) - origin) for s, e in spans]
                     rows.append({"n_words": int(z - a), "n_hit": sum(e - s for s, e in spans), "longest_match": longest, "items": sorted(items), "spans": spans, "byte_spans": at})
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(rows, type=ARROW_FOUND)], [*names, found])
-        tidy()
 
     return df.mapInArrow(work, schema)
 

@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoreel.llm._linear import Example, Ftrl, bounded_sample, fit_temperature, logits, softmax
-from chronoreel.llm._text import chunks, tidy
+from chronoreel.llm._text import chunks, tidied
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
 #: Training documents per language that the regression sees.
 SAMPLE_PER_LANGUAGE = 1000
 EPOCHS = 3
+#: Characters whose n-grams are made together, or one longer text.
+CHARACTERS = 1 << 16
 #: Typical sums of TF-IDF values are brought near one.
 SCALE = 20.0
 UNDETERMINED = "und"
@@ -75,7 +77,7 @@ def _by_text(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
     for first in range(0, len(column), 256):
         texts = column.slice(first, 256).to_pylist()
         at = np.concatenate([[0], np.cumsum([len(t or "") for t in texts])])
-        for i, j in chunks(at):
+        for i, j in chunks(at, CHARACTERS):
             yield first + i, first + j, *ngrams(texts[i:j])
 
 
@@ -100,6 +102,7 @@ class LanguageModel:
 def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     """Documents that hold each feature, over all rows: FEATURES counts from each task, summed."""
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, rows = np.zeros(FEATURES, dtype=np.int64), np.zeros(FEATURES, dtype=bool), 0
         for batch in batches:
@@ -123,6 +126,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 def _sample_features(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, draw, features, counts) of sampled documents, counted where they are, as 32-bit numbers."""
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
@@ -175,6 +179,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", p
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
@@ -186,7 +191,6 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", p
                     for k in np.flatnonzero(np.diff(bounds)).tolist():
                         labels[i + k] = model.languages[int(p[k].argmax())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(best)], [*names, pred, score])
-        tidy()
 
     return docs.mapInArrow(work, schema)
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoreel.llm._io import Scratch
-from chronoreel.llm._text import SPACES, Words, buffers, chunks, mix64, shingles, tidy
+from chronoreel.llm._text import SPACES, Words, buffers, chunks, mix64, shingles, tidied, tidy
 
 #: 32 bands of 6 minima: a pair at similarity 0.85 shares none with probability 3e-7, at 0.8 6e-5.
 BANDS, ROWS = 32, 6
@@ -114,6 +114,7 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """(id, digest, n_shingles, bands, sig): ``digest`` names the text; ``bands`` are its buckets and ``sig`` the lower
     halves of its minima, null for the empty set."""
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, minima = np.zeros(batch.num_rows, np.int64), []
@@ -126,7 +127,6 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
             bands, low = list(band_keys(minima)), minima.astype("<u2")
             columns = [pa.array(counts), pa.array([bands[i] if i >= 0 else None for i in at], pa.list_(pa.int64())), pa.array([low[i].tobytes() if i >= 0 else None for i in at], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "digest", "n_shingles", "bands", "sig"])
-        tidy()
 
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType), *T._parse_datatype_string("digest binary, n_shingles long, bands array<long>, sig binary")])
     return docs.select(F.col(key).alias("id"), _digest(F.col(text)).alias("digest"), F.col(text)).mapInArrow(work, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoreel.llm._text import buffers, tidy
+from chronoreel.llm._text import buffers, tidied
 
 CONTEXTS = (512, 1024, 2048, 4096)
 EOS = 2
@@ -252,6 +252,7 @@ def pack(
     schema = T.StructType([T.StructField(key, kind), *columns.values()])
     tail = bytes(np.array([eos], dtype="<u4"))
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, planner = _tokenizer(tokenizer_path), _Pieces(contexts)
         base = TaskContext.get().partitionId() << 32
@@ -299,7 +300,6 @@ def pack(
         if fragments:
             yield from flush(True)
         words.forget()
-        tidy()
 
     return df.select(F.col(key), F.col(text)).mapInArrow(work, schema)
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from chronoreel.llm._io import Scratch, read_table
 from chronoreel.llm._linear import labelled_sample
-from chronoreel.llm._text import SPACES, Words, buffers, chunks
+from chronoreel.llm._text import SPACES, Words, buffers, chunks, tidied
 
 SAMPLE_PER_LABEL = 4000
 #: Bounds of a prior's strength, in documents.
@@ -104,6 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     """From about ``per_label`` documents of each 0/1 label; their shares in training are the model's prior.
     None where only one label occurs."""
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(form_features(batch.column(0))), pa.list_(pa.float64()))], ["draw", "y", "x"])
@@ -123,6 +124,7 @@ def evidence(docs: DataFrame, model: FormModel | None, text: str = "text", name:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:

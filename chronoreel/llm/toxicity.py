@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from chronoreel.llm._io import Scratch, read_table
 from chronoreel.llm._linear import Example, fit_binary, labelled_sample
-from chronoreel.llm._text import NOT_ALPHA, Words, buffers, chunks, mix64, tidy
+from chronoreel.llm._text import NOT_ALPHA, Words, buffers, chunks, mix64, tidied
 
 #: Sampled documents that must hold a feature before it gets a weight.
 LEAST_DOCUMENTS = 5
@@ -79,6 +79,7 @@ def _distinct(docs: DataFrame, text: str, found, name: str, kind: str) -> DataFr
     """``docs`` with ``found(distinct feature hashes of a text)`` in the place of the text."""
     others = [c for c in docs.columns if c != text]
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -121,6 +122,7 @@ def _fits(spark: SparkSession, words: list[np.ndarray], earlier: np.ndarray, ys:
     is broadcast, and its size is bounded by ``per_label``."""
     shared = spark.sparkContext.broadcast((words, earlier, ys, fold))
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for f in batch.column(0).to_pylist():
@@ -191,6 +193,7 @@ def score(docs: DataFrame, chain: Chain | None, categories: tuple[str, ...], tex
     extra = [T.StructField(f"{prefix}{c}", T.DoubleType()) for c in categories]
     schema = T.StructType([*docs.schema.fields, *extra, T.StructField(flag, T.BooleanType())])
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
         maybe = np.zeros(1 << 16, dtype=bool)
@@ -212,7 +215,6 @@ def score(docs: DataFrame, chain: Chain | None, categories: tuple[str, ...], tex
                     p[i : i + words.n] = chain.probabilities(base)
                 hit = p[:, -1] >= chain.thresholds[-1]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, c]) for c in range(len(categories))), pa.array(hit)], [*names, *(f"{prefix}{c}" for c in categories), flag])
-        tidy()
 
     return docs.mapInArrow(work, schema)
 
