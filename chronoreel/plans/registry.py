@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoreel.plans import extras, index, retrieval, scenes, text
+from chronoreel.plans import extras, index, overview, retrieval, scenes, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_ALL: dict[str, tuple[Query, str | None]] = {**retrieval.QUERIES, **scenes.QUERIES, **text.QUERIES, **index.QUERIES, **extras.QUERIES}
+_ALL: dict[str, tuple[Query, str | None]] = {**retrieval.QUERIES, **scenes.QUERIES, **text.QUERIES, **index.QUERIES, **extras.QUERIES, **overview.QUERIES}
 
 
 def queries() -> dict[str, Query]:
