@@ -6,10 +6,16 @@ from pyspark.sql import functions as F
 
 from chronoreel import schema
 from chronoreel.functions import text as TX
-from chronoreel.operators import overview, search
+from chronoreel.operators import align, overview, search
+from chronoreel.operators import entities as E
+from chronoreel.plans.index import REFERENCES as _CUES
 from chronoreel.sources import fixtures as X
 
 
+#: A reference to the beginning, one to the ending, one by looks.
+REFERENCES = _CUES[1:]
+
+
 def _scenes(spark, sf_dir):
     s = X.segments(spark, sf_dir)
     return s.select("video_id", F.col("seg_idx").alias("scene_id"), "start_ms", "end_ms", F.col("start_ms").alias("keyframe_ms"), F.col("text").alias("description"))
@@ -110,6 +116,51 @@ LINKS_SQL = r"""WITH c AS (SELECT conv_id, turn, '{"id": 1, "summary" : "' || te
 SELECT conv_id, turn, regexp_extract(reply, '"summary"\s*:\s*"([^"]*)"', 1) AS summary, TRY_CAST(nullif(regexp_extract(link, '^ts://(\d+)$', 1), '') AS BIGINT) AS at_ms FROM c"""
 
 
+def reference_similar(spark, sf_dir):
+    """References (the stated query vectors) to entities of their video, all other vectors there: by the beginning or the
+    ending, else the most similar one at 0.6 or more."""
+    chunks = X.chunks(spark, sf_dir)
+    rows = chunks.where("chunk_id % 20 > 0")
+    ents = rows.select("video_id", F.col("chunk_id").alias("entity_id"), F.col("start_ms").alias("first_ms"), F.col("end_ms").alias("last_ms"))
+    asked = X.query_vectors(spark, sf_dir)
+    best = E.best_entity(search.vector_topk(rows, asked, 1, E.MATCH, same_video=True).drop("rank"), key="chunk_id")
+    refs = F.array(*map(F.lit, REFERENCES))
+    known = asked.select("query_id", F.col("query_video").alias("video_id")).join(E.extremes(ents), "video_id").join(best, "query_id", "left")
+    reference = F.get(refs, (F.col("query_id") / 20 % 3).cast("int"))
+    found = E.resolve(reference, F.lit(0), F.lit(None).cast("long"), F.col("earliest"), F.col("latest"), F.col("chunk_id"))
+    return known.select("query_id", found.alias("resolved"), F.round("score", 5).alias("score"))
+
+
+REFERENCE_SQL = f"""WITH {X.CHUNKS}, {X.QUERY_VECTORS}, e AS (SELECT * FROM chunks WHERE chunk_id % 20 > 0),
+x AS (SELECT video_id, arg_min(chunk_id, (start_ms, chunk_id)) AS earliest, arg_min(chunk_id, (-end_ms, chunk_id)) AS latest FROM e GROUP BY 1),
+p AS (SELECT query_id, chunk_id, round(list_cosine_similarity(query, embedding), 6) AS score FROM query_vectors JOIN e ON e.video_id = query_video),
+b AS (SELECT query_id, chunk_id, score FROM p WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) = 1)
+SELECT q.query_id, CASE q.query_id // 20 % 3 WHEN 0 THEN earliest WHEN 1 THEN latest ELSE b.chunk_id END AS resolved, round(b.score, 5) AS score
+FROM query_vectors q JOIN x ON x.video_id = q.query_video LEFT JOIN b USING (query_id)"""
+
+
+def gate_similarity(spark, sf_dir):
+    """The gate's verdict on given signals, with and without a similarity and speech."""
+    n = F.col("l_linenumber")
+    rows = X.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", n, F.when(n % 3 > 0, F.col("l_discount").cast("double") * 10).alias("sim"), (F.col("l_tax").cast("double") * 5).alias("key"),
+        (F.col("l_quantity").cast("double") / 50).alias("cover"), (n / 7).alias("span"), F.when(n != 5, F.col("l_partkey") % 60).alias("chars"),
+    )
+    r, relation, confidence = align.gate(*(F.col(c) for c in ("sim", "key", "cover", "span", "chars")))
+    return rows.select("l_orderkey", "l_linenumber", "sim", F.round(r, 9).alias("relevance"), relation.alias("relation"), F.round(confidence, 9).alias("confidence"))
+
+
+_unit = lambda x: f"least(greatest({x}, 0.0::DOUBLE), 1.0::DOUBLE)"
+_S, _K, _C = _unit(f"(sim - {align.SIM_FLOOR}) / {align.SIM_SPAN}"), _unit(f"key / {align.KEY_FULL}"), _unit(f"cover / {align.COVER_FULL}")
+SIGNALS_SQL = f"""WITH t AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 > 0 THEN l_discount::DOUBLE * 10 END AS sim, l_tax::DOUBLE * 5 AS key, l_quantity::DOUBLE / 50 AS cover,
+  l_linenumber::DOUBLE / 7 AS span, CASE WHEN l_linenumber <> 5 THEN l_partkey % 60 END AS chars FROM lineitem),
+g AS (SELECT *, (CASE WHEN sim IS NOT NULL THEN 0.45::DOUBLE * {_S} + 0.30::DOUBLE * {_K} + 0.25::DOUBLE * {_C} ELSE 0.55::DOUBLE * {_K} + 0.45::DOUBLE * {_C} END) * (1 - 0.35::DOUBLE * {_unit(f"span / {align.SPAN_FULL}")}) AS r FROM t)
+SELECT l_orderkey, l_linenumber, sim, round(r, 9) AS relevance,
+  CASE WHEN chars IS NULL OR chars < {align.LEAST_CHARS} THEN 'unknown' WHEN r >= {align.STRONG} THEN 'strong' WHEN r >= {align.CONTEXTUAL} THEN 'contextual' WHEN r >= {align.UNSURE} THEN 'unknown' ELSE 'independent' END AS relation,
+  round(least(0.95::DOUBLE, CASE WHEN chars IS NULL THEN 0.0 WHEN chars < {align.LEAST_CHARS} THEN 0.3 WHEN r >= {align.STRONG} THEN 0.55 + 0.4 * (r - {align.STRONG}) / (1 - {align.STRONG})
+    WHEN r >= {align.CONTEXTUAL} THEN 0.45 + 0.25 * (r - {align.CONTEXTUAL}) / ({align.STRONG} - {align.CONTEXTUAL}) WHEN r >= {align.UNSURE} THEN 0.35 ELSE 0.5 + 0.3 * ({align.UNSURE} - r) / {align.UNSURE} END), 9) AS confidence FROM g"""
+
+
 QUERIES = {
     "scene_overview": (scene_overview, OVERVIEW_SQL),
     "boundary_confirmed": (boundary_confirmed, CONFIRMED_SQL),
@@ -120,4 +171,6 @@ QUERIES = {
     "entity_constraint": (entity_constraint, ENTITY_SQL),
     "validity": (validity, VALID_SQL),
     "replies_and_links": (replies_and_links, LINKS_SQL),
+    "reference_similar": (reference_similar, REFERENCE_SQL),
+    "gate_similarity": (gate_similarity, SIGNALS_SQL),
 }
