@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from chronoreel.functions.text import keywords
 
+#: Asked terms that are broadcast; more are joined.
+ASKED_TERMS = 200_000
+
 
 def merge_adjacent(rows: DataFrame, by: list[str], gap_ms: int = 3000, *order: str) -> DataFrame:
     """(by, start_ms, end_ms, n) of runs of intervals no more than ``gap_ms`` apart."""
@@ -43,17 +46,26 @@ def keyword_hits(docs: DataFrame, key: str, text: str, words: list[str], k: int)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, key, score) of documents that share a keyword with a query (query_id, query).
+    """(query_id, key, score) of documents that share a keyword with a query (query_id, query).  Keys are unique.
 
-    Term counts are joined with the queries' terms, so only postings of asked terms are shuffled.
+    A document's keywords are found once.  Asked terms (broadcast up to ASKED_TERMS) are picked before anything is
+    shuffled, so only their postings move, and one row a document that counts it and its length.
     """
-    terms = docs.select(key, F.explode(keywords(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = docs.select(key, F.size(keywords(F.col(text))).alias("length"))
-    total = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
     asked = queries.select("query_id", F.explode(F.array_distinct(keywords(F.col("query")))).alias("term"))
-    held = terms.join(asked.select("term").distinct(), "term")
+    wanted = asked.select("term").distinct()
+    words = docs.select(key, keywords(F.col(text)).alias("words")).withColumn("length", F.size("words"))
+    if wanted.limit(ASKED_TERMS + 1).count() <= ASKED_TERMS:
+        marked = words.select(key, "length", F.explode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("term"))
+        found = marked.join(F.broadcast(wanted.withColumn("__asked", F.lit(True))), "term", "left")
+        listed = found.where(F.col("term").isNull() | F.col("__asked")).drop("__asked")
+    else:
+        found = words.select(key, "length", F.explode("words").alias("term")).join(wanted, "term", "left_semi")
+        listed = found.unionByName(words.select(F.lit(None).cast("string").alias("term"), key, "length"))
+    counted = listed.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    total = counted.where("term is null").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean"))
+    held = counted.where("term is not null")
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = held.join(df, "term").join(lengths, key).crossJoin(F.broadcast(total))
+    rows = held.where(F.col(key).isNotNull()).join(df, "term").crossJoin(F.broadcast(total))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     return rows.withColumn("w", weight).join(asked, "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))

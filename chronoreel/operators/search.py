@@ -44,16 +44,20 @@ def _matrix(column: pa.ChunkedArray | pa.Array, size: int) -> tuple[np.ndarray,
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0), at
 
 
-def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0, same_video: bool = False, vector: str = "embedding", key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, score, rank): for each query the ``k`` chunks with the highest cosine, at least ``min_score``.
+def vector_topk(
+    chunks: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0, same_video: bool = False, vector: str = "embedding", key: str = "chunk_id", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """(query_id, key, *carry, score, rank): for each query the ``k`` chunks with the highest cosine, at least ``min_score``.
 
     ``queries`` has query_id and query (and query_video where ``same_video``); ``chunks`` is already filtered.  The
     stated queries go in blocks of QUERY_BLOCK: each block's matrix is broadcast, each batch of chunks is one matrix
-    product, and only a batch's best ``k`` rows a query leave it.  Vectors of another length, empty or null are no
-    hits; scores are rounded to six digits, ties go to the smaller key.  k <= 0 finds nothing.
+    product (one a video where ``same_video``), and only a batch's best ``k`` rows a query leave it.  Vectors of another
+    length, empty or null are no hits; scores are rounded to six digits, ties go to the smaller key.  k <= 0 finds nothing.
+    ``carry`` names columns of the chunks that come with their hits.
     """
     spark = chunks.sparkSession
-    kinds = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField(key, chunks.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    taken = [chunks.schema[c] for c in (key, *carry)]
+    kinds = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), *(T.StructField(f.name, f.dataType) for f in taken), T.StructField("score", T.DoubleType())])
     wanted = ["query_id", "query", *(["query_video"] if same_video else [])]
     asked = queries.select(*wanted).where(F.size("query") > 0)
     out = spark.createDataFrame([], kinds)
@@ -61,37 +65,52 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, min_score: float
     for i in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()
         if block.num_rows:
-            out = out.unionByName(_block_topk(chunks, spark.sparkContext.broadcast(block), k, min_score, same_video, vector, key, kinds))
+            out = out.unionByName(_block_topk(chunks, spark.sparkContext.broadcast(block), k, min_score, same_video, vector, [key, *carry], kinds))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _block_topk(chunks, block, k, min_score, same_video, vector, key, kinds) -> DataFrame:
+def _places(column: pa.ChunkedArray | pa.Array) -> dict:
+    """The places of each value that is not null."""
+    found: dict = {}
+    for i, value in enumerate(column.to_pylist()):
+        if value is not None:
+            found.setdefault(value, []).append(i)
+    return found
+
+
+def _block_topk(chunks, block, k, min_score, same_video, vector, names, kinds) -> DataFrame:
+    def best(queries: pa.Table, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for size in np.unique(np.asarray(queries.column("query").combine_chunks().value_lengths())).tolist():
+            q, of = _matrix(queries.column("query"), size)
+            m, at = _matrix(batch.column(len(names)), size)
+            scores = np.round(q @ m.T, 6) + 0.0
+            ids = batch.column(0).take(pa.array(at))
+            order = np.argsort(np.argsort(np.array(ids.to_pylist(), dtype=object), kind="stable"), kind="stable") if len(at) else np.zeros(0, int)
+            rows, cols = [], []
+            for r in range(len(of)):
+                c = np.flatnonzero(scores[r] >= min_score)
+                c = c[np.lexsort((order[c], -scores[r, c]))[:k]]
+                rows.append(np.full(len(c), r))
+                cols.append(c)
+            r, c = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (rows, cols))
+            hits = [batch.column(i).take(pa.array(at[c])) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([queries.column("query_id").combine_chunks().take(pa.array(of[r])), *hits, pa.array(scores[r, c] if len(r) else np.zeros(0))], ["query_id", *names, "score"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = block.value
-        sizes = np.asarray(queries.column("query").combine_chunks().value_lengths())
+        if not same_video:
+            for batch in batches:
+                yield from best(queries, batch)
+            return
+        asked = {v: queries.take(pa.array(at)) for v, at in _places(queries.column("query_video")).items()}
         for batch in batches:
-            for size in np.unique(sizes).tolist():
-                q, of = _matrix(queries.column("query"), size)
-                m, at = _matrix(batch.column(1), size)
-                scores = np.round(q @ m.T, 6) + 0.0
-                hits = scores >= min_score
-                if same_video:
-                    videos = np.array(batch.column(2).to_pylist(), dtype=object)[at]
-                    hits &= np.array(queries.column("query_video").to_pylist(), dtype=object)[of][:, None] == videos[None, :]
-                ids = batch.column(0).take(pa.array(at))
-                order = np.argsort(np.argsort(np.array(ids.to_pylist(), dtype=object), kind="stable"), kind="stable") if len(at) else np.zeros(0, int)
-                rows, cols = [], []
-                for r in range(len(of)):
-                    c = np.flatnonzero(hits[r])
-                    c = c[np.lexsort((order[c], -scores[r, c]))[:k]]
-                    rows.append(np.full(len(c), r))
-                    cols.append(c)
-                r, c = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (rows, cols))
-                yield pa.RecordBatch.from_arrays([queries.column("query_id").combine_chunks().take(pa.array(of[r])), ids.take(pa.array(c)), pa.array(scores[r, c] if len(r) else np.zeros(0))], ["query_id", key, "score"])
-
-    columns = [key, vector, *(["video_id"] if same_video else [])]
-    return chunks.select(*columns).mapInArrow(work, kinds)
+            for video, at in _places(batch.column(len(names) + 1)).items():
+                if video in asked:
+                    yield from best(asked[video], batch.take(pa.array(at)))
+
+    of_video = [F.col("video_id").alias("__video")] if same_video else []
+    return chunks.select(*names, vector, *of_video).mapInArrow(work, kinds)
 
 
 def rrf(ranked: DataFrame, *by: str) -> DataFrame:
@@ -147,14 +166,14 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5, entity_k: int
     ``chunk_type`` is a name.  Text and visual paths take 2k hits, the entity path ``entity_k`` without time limits.
     """
     inside = search_filter(chunks, start_gte=start_gte, end_lte=end_lte)
+    about = ("chunk_type", "start_ms", "end_ms")
     paths = []
     for path, number, source, limit, when in (("text", 1, inside, 2 * k, "needs_text"), ("visual", 0, inside, 2 * k, "needs_visual"), ("entity", 2, chunks, entity_k, "has_entity")):
         asked = questions.where(F.col(when))
-        hits = vector_topk(search_filter(source, collection=number), asked, limit)
+        hits = vector_topk(search_filter(source, collection=number), asked, limit, carry=about)
         hits = hits.join(asked.select("query_id", F.col(f"w_{path}").alias("weight"), "prefers_visual", "prefers_audio", "prefers_fused"), "query_id")
         if path == "text":
-            hits = prefer_evidence(hits.join(chunks.select("chunk_id", "chunk_type"), "chunk_id"))
-        paths.append(hits.select("query_id", "chunk_id", "weight", "rank", F.lit(path).alias("path"), "score"))
-    fused = rrf(paths[0].unionByName(paths[1]).unionByName(paths[2]), "query_id", "chunk_id")
-    full = fused.join(chunks.select("chunk_id", "chunk_type", "start_ms", "end_ms"), "chunk_id")
-    return remove_overlaps(full, k=k)
+            hits = prefer_evidence(hits)
+        paths.append(hits.select("query_id", "chunk_id", *about, "weight", "rank", F.lit(path).alias("path"), "score"))
+    fused = rrf(paths[0].unionByName(paths[1]).unionByName(paths[2]), "query_id", "chunk_id", *about)
+    return remove_overlaps(fused, k=k)

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 
 def session(app: str = "chronoreel", **conf: str) -> SparkSession:
-    """UTC, adaptive execution with skew-join handling; ``conf`` keys use ``__`` for dots."""
+    """UTC, adaptive execution with skew-join handling; ``conf`` keys use ``__`` for dots.  Workers get the package."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -20,7 +20,9 @@ def session(app: str = "chronoreel", **conf: str) -> SparkSession:
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:
