@@ -1,7 +1,8 @@
 """Quality by hierarchical empirical Bayes.
 
-A logistic model over form features of a text (character classes, repetition, word shape)
-gives each document's evidence.  Grouped sums of it give every host and every path a
+A logistic model gives each document's evidence: it reads the form of a text (character
+classes, repetition, word shape) and its words, as the out-of-fold score of a sparse model of
+hashed words.  Grouped sums of it give every host and every path a
 beta-binomial posterior: a host is shrunk toward the global rate, a path toward its host,
 with strengths fitted by the method of moments from all groups.  A document's posterior
 joins its own evidence with the rate of its path, from which it is left out.
@@ -19,10 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoreel.llm._io import Scratch, read_table
-from chronoreel.llm._linear import labelled_sample
+from chronoreel.llm._linear import Example, fit_binary, labelled_sample, logits
 from chronoreel.llm._text import SPACES, Words, buffers, chunks, tidied
 
 SAMPLE_PER_LABEL = 4000
+#: Words are numbered by the upper bits of their hash.
+WORD_BITS = 16
+#: Shares of a text's words are multiplied by this, so that a typical text's sum is near one.
+SCALE = 20.0
+FOLDS, EPOCHS = 3, 2
 #: Bounds of a prior's strength, in documents.
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1e4
 #: Documents whose posterior is at least this are kept.
@@ -44,12 +50,12 @@ _TABLE = _class_table()
 FEATURES = (*_CLASSES, "log words", "word length", "distinct words", "repeated words", "log line words", "one-byte words")
 
 
-def form_features(column: pa.Array) -> np.ndarray:
-    """A row of FEATURES for each text; zeros for texts without words."""
+def features(column: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """A few texts at a time: a row of FEATURES for each, zeros for texts without words, and their words' numbers."""
     data, offsets = buffers(column)
-    out = np.zeros((len(column), len(FEATURES)))
     c = len(_CLASSES)
     for i, j in chunks(offsets):
+        out = np.zeros((j - i, len(FEATURES)))
         part = data[int(offsets[i]) : int(offsets[j])]
         sizes = np.diff(offsets[i : j + 1])
         owner = np.repeat(np.arange(j - i), sizes)
@@ -59,7 +65,7 @@ def form_features(column: pa.Array) -> np.ndarray:
         same = np.append(False, words.hash[1:] == words.hash[:-1]) if len(words.hash) else np.zeros(0, bool)
         for k in np.flatnonzero(np.diff(words.first)).tolist():
             a, z = words.first[k], words.first[k + 1]
-            n, row = z - a, out[i + k]
+            n, row = z - a, out[k]
             row[:c] = counts[k] / sizes[k]
             row[c] = np.log1p(n)
             row[c + 1] = words.length[a:z].mean()
@@ -67,29 +73,52 @@ def form_features(column: pa.Array) -> np.ndarray:
             row[c + 3] = same[a + 1 : z].sum() / n
             row[c + 4] = np.log1p(n / (1 + lines[k]))
             row[c + 5] = (words.length[a:z] == 1).sum() / n
-    return out
+        numbers = (words.hash >> np.uint64(64 - WORD_BITS)).astype(np.int32)
+        yield out, [numbers[a:z] for a, z in zip(words.first[:-1], words.first[1:], strict=True)]
 
 
 @dataclass(frozen=True)
-class FormModel:
+class QualityModel:
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
+    #: by word number, and the bias as the last one
+    words: np.ndarray
     #: share of good documents in training
     prior: float
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -6, 6)
+    def probability(self, form: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+        scores = np.array([word_score(self.words, x) for x in words]).reshape(-1, 1)
+        z = np.clip((np.hstack([form, scores]) - self.mean) / self.scale, -6, 6)
         return 1 / (1 + np.exp(-np.clip(expand(z) @ self.weights, -12, 12)))
 
 
+def word_score(weights: np.ndarray, words: np.ndarray) -> float:
+    """The sparse model's log odds for a text of these words."""
+    return float(weights[-1] + (SCALE * weights[words].mean() if len(words) else 0.0))
+
+
 def expand(z: np.ndarray) -> np.ndarray:
     """Standardised features, their squares (both tails of a feature can be junk) and one."""
     return np.column_stack([z, z * z, np.ones(len(z))])
 
 
-def fit_form(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> FormModel:
-    """Ridge logistic regression by Newton steps."""
+def fit_words(examples: list[Example], y: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the sparse model (FTRL, elastic net) from all texts, and each text's score by the model of the other folds."""
+
+    def fit(inside: np.ndarray) -> np.ndarray:
+        return fit_binary([examples[i] for i in inside], y[inside].tolist(), 1 << WORD_BITS, alpha=1.0, l1=0.02, l2=0.02, epochs=EPOCHS)
+
+    unseen = np.zeros(len(y))
+    for f in np.unique(fold):
+        model = fit(np.flatnonzero(fold != f))
+        for i in np.flatnonzero(fold == f):
+            unseen[i] = logits(model, examples[i])
+    return fit(np.arange(len(y))), unseen
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean and scale of the features and weights of a ridge logistic regression, by Newton steps."""
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     d = expand(np.clip((x - mean) / scale, -6, 6))
     w = np.zeros(d.shape[1])
@@ -97,28 +126,38 @@ def fit_form(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25)
         p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
         h = (d * (p * (1 - p))[:, None]).T @ d + ridge * np.eye(len(w))
         w = w - np.linalg.solve(h, d.T @ (p - y) + ridge * w)
-    return FormModel(mean, scale, w, float(y.mean()))
+    return mean, scale, w
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", per_label: int = SAMPLE_PER_LABEL) -> FormModel | None:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", per_label: int = SAMPLE_PER_LABEL) -> QualityModel | None:
     """From about ``per_label`` documents of each 0/1 label; their shares in training are the model's prior.
-    None where only one label occurs."""
+    Folds go by the text, so copies share one.  None where only one label occurs."""
 
     @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(form_features(batch.column(0))), pa.list_(pa.float64()))], ["draw", "y", "x"])
+            form, words = [], []
+            for some, numbers in features(batch.column(0)):
+                form += list(some)
+                words += [np.unique(x, return_counts=True) for x in numbers]
+            packed = [pa.array([x[side].astype(np.int32).tobytes() for x in words], pa.binary()) for side in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(form, pa.list_(pa.float64())), *packed], ["draw", "y", "form", "words", "counts"])
 
     known = labels.select(key, F.col(label).cast("int").alias(label))
-    chosen = labelled_sample(docs, known, label, per_label, key, text).select(text, F.xxhash64(text, label), label)
-    rows = sorted(chosen.mapInArrow(work, "draw long, y int, x array<double>").collect(), key=lambda r: r.draw)
+    chosen = labelled_sample(docs, known, label, per_label, key, text).select(text, F.xxhash64(text), label)
+    rows = sorted(chosen.mapInArrow(work, "draw long, y int, form array<double>, words binary, counts binary").collect(), key=lambda r: (r.draw, r.y))
     y = np.array([r.y for r in rows], dtype=float)
     if len(set(y)) < 2:
         return None
-    return fit_form(np.array([r.x for r in rows]), y)
+    examples: list[Example] = []
+    for r in rows:
+        n = np.frombuffer(r.counts, dtype=np.int32)
+        examples.append((np.frombuffer(r.words, dtype=np.int32).astype(np.int64), SCALE * n / max(1, n.sum())))
+    weights, unseen = fit_words(examples, y, np.array([r.draw % FOLDS for r in rows]))
+    return QualityModel(*fit_logistic(np.column_stack([np.array([r.form for r in rows]), unseen]), y), weights, float(y.mean()))
 
 
-def evidence(docs: DataFrame, model: FormModel | None, text: str = "text", name: str = "p_doc") -> DataFrame:
+def evidence(docs: DataFrame, model: QualityModel | None, text: str = "text", name: str = "p_doc") -> DataFrame:
     """``docs`` with the document classifier's probability; one half where there is no text, word or model."""
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -129,9 +168,11 @@ def evidence(docs: DataFrame, model: FormModel | None, text: str = "text", name:
         model = shared.value
         for batch in batches:
             p = np.full(batch.num_rows, 0.5)
-            if model is not None and batch.num_rows:
-                x = form_features(batch.column(names.index(text)))
-                p = np.where(x.any(axis=1), model.probability(x), 0.5)
+            if model is not None:
+                at = 0
+                for form, words in features(batch.column(names.index(text))):
+                    p[at : at + len(form)] = np.where(form.any(axis=1), model.probability(form, words), 0.5)
+                    at += len(form)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*names, name])
 
     return docs.mapInArrow(work, schema)
