@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoreel.llm import decontam, fingerprint, langid, minhash, packing, quality, sharding, toxicity, urlfilter, warc
+from chronoreel.llm import decontam, fingerprint, infill, langid, minhash, packing, quality, sharding, toxicity, urlfilter, warc
 from chronoreel.llm._io import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op8_fingerprint": _on("documents", fingerprint.op8_fingerprint),
         "op9_quality": quality.op9_quality,
         "op10_near_duplicates": _on("documents", minhash.op10_near_duplicates),
+        "op13_infill": _on("documents", infill.op13_infill),
     }
 
 
@@ -61,7 +62,15 @@ ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.id)
 SELECT n.doc_id, n.n AS n_shingles, min(root) AS component_id, n.doc_id = min(root) AS kept FROM n JOIN reach ON reach.id = n.doc_id GROUP BY n.doc_id, n.n"""
 
+_INFILL_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+n AS (SELECT *, len(w) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS z,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, coalesce(array_to_string(w[1:a], ''), '') AS pre, coalesce(array_to_string(w[a + 1:z], ''), '') AS mid, coalesce(array_to_string(w[z + 1:], ''), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL over whole tables; the other queries rest on learned models, hashes or packing, and have tests instead."""
-    return {"op4_warc": _WARC_SQL, "op7_decontamination": _DECONTAM_SQL, "op10_near_duplicates": _NEAR_SQL}
+    return {"op4_warc": _WARC_SQL, "op7_decontamination": _DECONTAM_SQL, "op10_near_duplicates": _NEAR_SQL, "op13_infill": _INFILL_SQL}
