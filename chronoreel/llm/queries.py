@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoreel.llm import decontam, fingerprint, infill, langid, minhash, packing, quality, sharding, toxicity, urlfilter, warc
+from chronoreel.llm import codes, decontam, fingerprint, infill, langid, minhash, packing, quality, sharding, toxicity, urlfilter, vectors, warc
 from chronoreel.llm._io import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,8 @@ def queries() -> dict[str, Query]:
         "op8_fingerprint": _on("documents", fingerprint.op8_fingerprint),
         "op9_quality": quality.op9_quality,
         "op10_near_duplicates": _on("documents", minhash.op10_near_duplicates),
+        "op11_embeddings": _on("embeddings", vectors.op11_embeddings),
+        "op12_codes": _on("embeddings", codes.op12_codes),
         "op13_infill": _on("documents", infill.op13_infill),
     }
 
@@ -69,8 +71,35 @@ c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h
 p AS (SELECT *, coalesce(array_to_string(w[1:a], ''), '') AS pre, coalesce(array_to_string(w[a + 1:z], ''), '') AS mid, coalesce(array_to_string(w[z + 1:], ''), '') AS suf FROM c)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+_VECTORS_SQL = """WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+links AS (SELECT a.r AS a, a.vec_id AS i, b.r AS b, b.vec_id AS j FROM g a JOIN g b ON a.label = b.label AND a.r <> b.r AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.98),
+n AS (SELECT a AS r, count(*) AS n FROM links GROUP BY 1),
+reach(r, root) AS (SELECT r, vec_id FROM v UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.r),
+c AS (SELECT r, min(root) AS component_id FROM reach GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)"""
+
+
+def _codes_sql(parts: int = 16, entries: int = 64) -> str:
+    nearest = lambda books: (
+        "SELECT p.r, p.p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT x.r, x.p, b.e, list_sum(list_transform(range(1, len(x.x) + 1), lambda i: (x.x[i] - b.x[i]) * (x.x[i] - b.x[i]))) AS d"
+        f" FROM x JOIN {books} b ON b.p = x.p) p GROUP BY 1, 2"
+    )
+    mean = lambda books, assigned: (
+        f"SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM {books} b LEFT JOIN (SELECT p, e, list(m ORDER BY i) AS x FROM"
+        f" (SELECT a.p, a.e, i, CAST(floor(sum(x.x[i]) / count(*)) AS BIGINT) AS m FROM {assigned} a JOIN x ON x.r = a.r AND x.p = a.p, range(1, (SELECT max(len(x)) FROM x) + 1) t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2) m ON m.p = b.p AND m.e = b.e"
+    )
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT r, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM k, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, x FROM x WHERE r <= {entries}), a0 AS MATERIALIZED ({nearest("b0")}),
+b1 AS MATERIALIZED ({mean("b0", "a0")}), a1 AS MATERIALIZED ({nearest("b1")}),
+b2 AS MATERIALIZED ({mean("b1", "a1")}), a2 AS MATERIALIZED ({nearest("b2")}),
+c AS (SELECT r, string_agg(lower(lpad(to_hex(e), 2, '0')), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY 1),
+l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM k JOIN c USING (r) GROUP BY 1)
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256 FROM k JOIN c USING (r) JOIN l ON l.label IS NOT DISTINCT FROM k.label"""
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL over whole tables; the other queries rest on learned models, hashes or packing, and have tests instead."""
-    return {"op4_warc": _WARC_SQL, "op7_decontamination": _DECONTAM_SQL, "op10_near_duplicates": _NEAR_SQL, "op13_infill": _INFILL_SQL}
+    return {"op4_warc": _WARC_SQL, "op7_decontamination": _DECONTAM_SQL, "op10_near_duplicates": _NEAR_SQL, "op11_embeddings": _VECTORS_SQL, "op12_codes": _codes_sql(), "op13_infill": _INFILL_SQL}
