@@ -50,6 +50,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, *columns: str) -> str:
+    """``name``, with as many underscores behind it as it takes to be no column's, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc32_long(column) -> F.Column:
     """CRC-32 of the UTF-8 bytes, unsigned; null counts as the empty string."""
     return F.crc32(F.coalesce(column, F.lit("")))

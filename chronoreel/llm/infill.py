@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoreel.llm._io import free_name
 from chronoreel.llm._text import buffers, chunks, tidied
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -109,13 +110,7 @@ def transform(
     """
     fields = T._parse_datatype_string(RESULTS).fields
     results = {f.name for f in fields}
-    taken = {c.lower() for c in docs.columns}
-    private = []
-    for i in range(5):
-        name = f"draw_{i}"
-        while name in taken:
-            name += "_"
-        private.append(name)
+    private = [free_name(f"draw_{i}", *docs.columns) for i in range(5)]
     own = {c: c for c in docs.columns if c.lower() not in results}
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*own, body.alias(private[4]), *(d.alias(n) for d, n in zip(draws(F.col(key), seed), private, strict=False)))

@@ -36,7 +36,7 @@ def test_messy_stages(spark, messy, empty, sf_dir):
 
 
 def test_names():
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_last_stage_has_ids(spark, sf_dir):
