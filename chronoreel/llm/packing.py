@@ -17,7 +17,9 @@ simply run again.  In a window
 from __future__ import annotations
 
 import heapq
+import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,10 @@ EOS = 2
 #: Tokens that a task holds at once; the longest document comes on top.
 WINDOW_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 18
-#: Words and their bytes with ids that a worker remembers within a task; beyond either it forgets all and starts again.
+#: Words and their bytes with ids that a worker remembers within a task; beyond either it forgets all but KEPT_WORDS.
 CACHED_WORDS, CACHED_BYTES = 500_000, 32 << 20
+#: Words that it remembers from task to task, about 8 MB.
+KEPT_WORDS = 40_000
 #: What a remembered word costs besides its characters and ids.
 _ENTRY_BYTES = 180
 #: Longer words are not remembered.
@@ -47,6 +51,12 @@ _MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, context int, step_group long"
 
 
+def _letters(word: str) -> bool:
+    """Whether the tokenizer sees letters throughout: lower-casing may turn a letter into a letter and a mark, and normal
+    form C takes some letters apart."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class WordTokenizer:
     """Ids of whole texts, with each distinct white-space-separated word encoded once.
 
@@ -65,11 +75,13 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known = {}
         self.forget()
 
-    def forget(self) -> None:
-        self.known: dict[str, bytes] = {}
-        self.held = 0
+    def forget(self, keep: int = 0) -> None:
+        """All but the first ``keep`` words of those remembered, which are the commonest: they were met first."""
+        self.known: dict[str, bytes] = dict(islice(self.known.items(), keep))
+        self.held = sum(len(w) + len(i) + _ENTRY_BYTES for w, i in self.known.items())
 
     def _learn_each(self, words: list[str]) -> None:
         for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
@@ -94,12 +106,12 @@ class WordTokenizer:
     def _resolve(self, missing: list[str]) -> None:
         """Plain letters give one word each, whose last id is one of ``ends``: many share a call."""
         known = self.known
-        letters = {w for w in missing if w.isalpha()}
+        letters = {w for w in missing if _letters(w)}
         marked, other = [], set()
         for word in missing:
             if word not in letters:
                 stem = word.rstrip(_MARKS)
-                if stem.isalpha():
+                if _letters(stem):
                     marked.append((word, stem, word[len(stem) :]))
                 else:
                     other.add(word)
@@ -117,7 +129,7 @@ class WordTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if self.held > CACHED_BYTES or len(self.known) > CACHED_WORDS:
-            self.forget()
+            self.forget(KEPT_WORDS)
         split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") if t else [] for t in texts]
         known = self.known
         missing = [w for w in set().union(*split) if w not in known]
@@ -299,7 +311,7 @@ def pack(
                         yield from flush(False)
         if fragments:
             yield from flush(True)
-        words.forget()
+        words.forget(KEPT_WORDS)
 
     return df.select(F.col(key), F.col(text)).mapInArrow(work, schema)
 
@@ -319,7 +331,7 @@ _loaded: dict[str, WordTokenizer] = {}
 
 
 def _tokenizer(path: str) -> WordTokenizer:
-    """One for each worker; what it remembers of words ends with a task."""
+    """One for each worker; what it remembers beyond the commonest words ends with a task."""
     if path not in _loaded:
         _loaded[path] = WordTokenizer(path)
     return _loaded[path]

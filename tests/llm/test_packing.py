@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -60,6 +62,39 @@ def test_special_strings():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_every_letter_before_every_mark():
+    """Some letters are a letter and a mark once they are normalised, and take the mark behind them along."""
+    t, words = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH)
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    texts = [form for c in letters for form in (c + ",", "a" + c + ".")]
+    odd = [c for c in letters if not packing._letters(c)]
+    texts += [x + c + m for c in [*odd, "a", "İ", "क़"] for m in packing._MARKS for x in ("", "a")]
+    for i in range(0, len(texts), 20_000):
+        part = texts[i : i + 20_000]
+        for text, ids, want in zip(part, words.encode(part), t.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            assert ids == np.array(want.ids, dtype="<u4").tobytes(), repr(text)
+    assert len(odd) >= 30
+
+
+def test_random_texts():
+    """Texts of characters from all of Unicode, common ones more often."""
+    r = random.Random(11)
+    t, words = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH)
+    common = "abcXYZ  \n\t.,!'-0İΣσΑé\u0301क़日"
+    some = lambda: chr(r.choice([r.randrange(0x20, 0x3000), r.randrange(0x3000, 0xD800), r.randrange(0xE000, 0x20000)]))
+    texts = ["".join(r.choice(common) if r.random() < 0.7 else some() for _ in range(r.randrange(60))) for _ in range(6000)]
+    for text, ids in zip(texts, words.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_kept_words(monkeypatch):
+    words = packing.WordTokenizer(PATH)
+    first = words.encode(["alpha beta gamma. delta"])
+    words.forget(2)
+    assert len(words.known) == 2 and 0 < words.held < 1000
+    assert words.encode(["alpha beta gamma. delta"]) == first
+
+
 def test_cache_reset(monkeypatch):
     monkeypatch.setattr(packing, "CACHED_WORDS", 3)
     words = packing.WordTokenizer(PATH)
