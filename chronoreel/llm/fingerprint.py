@@ -69,11 +69,14 @@ def _ranges(docs: DataFrame, key: str) -> tuple[Column, int]:
         return unnamed, 0
     ranges = min(MOST_RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), r.n // RANGE_ROWS))
     within = -(-ranges // _QUANTILES)
-    edges = sorted({r.low, *r.q, r.high + 1})
+    edges = sorted({r.low, *r.q, r.high})
+    if len(edges) == 1:
+        return F.when(F.col(key).isNotNull(), F.lit(0)).otherwise(unnamed), ranges
     e = F.array(*(F.lit(x) for x in edges))
-    i = F.size(F.filter(e, lambda x: x <= F.col(key)))
-    low, high = F.get(e, i - 1), F.get(e, i)
-    inside = F.floor((F.col(key) - low).cast("double") / (high - low).cast("double") * within)
+    # the largest key counts into the last range; differences are of doubles, as those of longs may not fit
+    i = F.least(F.size(F.filter(e, lambda x: x <= F.col(key))), F.lit(len(edges) - 1))
+    place, low, high = (x.cast("double") for x in (F.col(key), F.get(e, i - 1), F.get(e, i)))
+    inside = F.floor((place - low) / F.greatest(high - low, F.lit(1.0)) * within)
     number = (i - 1) * within + F.least(inside, F.lit(within - 1)).cast("int")
     return F.coalesce(number.cast("int"), unnamed), ranges
 
@@ -88,7 +91,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "next")
     number, _ = _ranges(docs.select(key), key)
-    order = F.struct(F.coalesce(F.col(key), F.lit(-(1 << 62))).alias("k"), (-F.col("__h").cast("decimal(20,0)")).alias("h"))
+    order = F.struct(F.col(key).isNotNull().alias("named"), F.coalesce(F.col(key), F.lit(0)).alias("k"), (-F.col("__h").cast("decimal(20,0)")).alias("h"))
     rows = docs.withColumn("__h", F.xxhash64(F.col(text))).withColumn("__range", number)
     heads = rows.groupBy("__range").agg(F.max(order).alias("first"), F.count(F.lit(1)).alias("n"))
     up = Window.orderBy(F.col("__range"))
@@ -137,16 +140,21 @@ def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     buckets = scratch.save(buckets, "buckets")
     mixed = scratch.save(mixed_buckets(texts, made.select(key, "fingerprint"), buckets, key), "mixed")
     if not mixed.isEmpty():
-        return _told_apart(texts, made, mixed, key)
+        return _told_apart(texts, rows, made, mixed, key)
     out = made.join(buckets, "fingerprint", "left")
     return out.select(*made.columns, F.coalesce("group_id", key).alias("group_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
-def _told_apart(texts: DataFrame, made: DataFrame, mixed: DataFrame, key: str) -> DataFrame:
-    """The result where hashes of unequal texts met: fingerprints in those buckets are extended by SHA-256."""
+def _told_apart(texts: DataFrame, edits: DataFrame, made: DataFrame, mixed: DataFrame, key: str) -> DataFrame:
+    """The result where hashes of unequal texts met: fingerprints in those buckets, edited texts' too, are extended by
+    SHA-256."""
     full = fingerprints(texts).join(mixed, "fingerprint", "left_semi")
     full = full.select(key, "fingerprint", F.concat_ws("-", "fingerprint", F.sha2("canon", 256)).alias("longer")).distinct()
+    edited = edits.withColumnRenamed("fingerprint", "of").join(mixed, F.col("edited_fingerprint") == mixed["fingerprint"], "left_semi")
+    edited = edited.select(F.col(key).alias("k"), F.sha2("edited", 256).alias("sha"), F.concat_ws("-", "edited_fingerprint", F.sha2("edited_canon", 256)).alias("edited_longer")).distinct()
     out = made.join(full, [key, "fingerprint"], "left").withColumn("fingerprint", F.coalesce("longer", "fingerprint"))
+    out = out.join(edited, F.col(key).eqNullSafe(F.col("k")) & (F.col("edited_sha256") == F.col("sha")), "left")
+    out = out.withColumn("edited_fingerprint", F.coalesce("edited_longer", "edited_fingerprint"))
     groups = out.groupBy("fingerprint").agg(F.min(key).alias("group_id"), F.count(F.lit(1)).alias("copies"))
     return out.join(groups, "fingerprint").select(*made.columns, "group_id", "copies")
 

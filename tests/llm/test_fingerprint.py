@@ -61,6 +61,27 @@ def test_collisions_are_told_apart(spark, monkeypatch):
     assert [got[i].group_id for i in (1, 2, 3, 4)] == [1, 2, 1, 4]
 
 
+def test_edited_text_in_a_mixed_bucket(spark, monkeypatch):
+    """Where a text and its edit agree, so do their fingerprints, lengthened or not; where they don't, neither do these."""
+    monkeypatch.setattr(P, "digest", lambda canon: F.substring(canon, 1, 1))
+    rows = [(5, "aa"), (4, "aa"), (3, "ab"), (2, "ac"), (1, "ba"), (0, "bb")]
+    got = P.compare_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all((r.fingerprint == r.edited_fingerprint) == (r.near_edited == 1.0) for r in got) and {r.near_edited for r in got} == {0.0, 1.0}
+
+
+def test_extreme_keys(spark):
+    low, high = -(2**63), 2**63 - 1
+    for keys in ([high], [low, high], [high - 1, high, 0, -1, low, low + 1, 7]):
+        rows = [(k, f"text number {i} with words") for i, k in enumerate(keys)]
+        got = P.compare_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.doc_id: (r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got} == expected(rows)
+    # a null key comes after the smallest
+    rows = [(low, "smallest of all"), (None, "without a key"), (high, "largest of all")]
+    got = {r.doc_id: r.edited_sha256 for r in P.compare_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    edit = lambda a, b: hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest()
+    assert got == {high: edit("largest of all", "smallest of all"), low: edit("smallest of all", "without a key"), None: edit("without a key", "largest of all")}
+
+
 def test_empty_and_single(spark, empty):
     assert P.compare_edits(empty).collect() == []
     one = P.compare_edits(spark.createDataFrame([(5, "abcd")], "doc_id long, text string")).first()
