@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoreel.llm._io import free_name
 from chronoreel.llm._linear import Example, Ftrl, bounded_sample, fit_temperature, logits, softmax
 from chronoreel.llm._text import chunks, tidied
 
@@ -45,16 +46,10 @@ def _folded() -> np.ndarray:
     return table
 
 
-def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all n-grams that hold a letter, by text, and where each text's begin (n + 1 bounds).
-    A text counts as if a space stood before and after it."""
-    joined = "".join(f" {t or ''} " for t in texts)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    chars = _folded()[points]
-    lengths = np.array([len(t or "") + 2 for t in texts])
-    text_of = np.repeat(np.arange(len(texts)), lengths)
+def _grams(text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(order, whether an n-gram that begins there holds a letter, feature numbers) of each order."""
+    chars = _folded()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     letter = chars != 32
-    features, owners = [], []
     value = np.zeros(len(chars), dtype=np.uint64)
     has = np.zeros(len(chars), dtype=bool)
     for n in range(1, max(ORDERS) + 1):
@@ -64,21 +59,48 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         value = value[:m] * _K + chars[n - 1 :]
         has = has[:m] | letter[n - 1 :]
         if n in ORDERS:
-            at = np.flatnonzero(has & (text_of[:m] == text_of[n - 1 :]))
-            features.append(((value[at] + np.uint64(n)) * _K >> np.uint64(64 - 15)).astype(np.int64))
-            owners.append(text_of[at])
+            yield n, has, ((value + np.uint64(n)) * _K >> np.uint64(64 - 15)).astype(np.int32)
+
+
+def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of all n-grams that hold a letter, by text, and where each text's begin (n + 1 bounds).
+    A text counts as if a space stood before and after it."""
+    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t or "") + 2 for t in texts])
+    features, owners = [], []
+    for n, has, feature in _grams("".join(f" {t or ''} " for t in texts)):
+        at = np.flatnonzero(has & (text_of[: len(has)] == text_of[n - 1 :]))
+        features.append(feature[at])
+        owners.append(text_of[at])
     owner, feature = np.concatenate(owners), np.concatenate(features)
     order = np.argsort(owner, kind="stable")
     return feature[order], np.searchsorted(owner[order], np.arange(len(texts) + 1))
 
 
-def _by_text(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, features, bounds) in chunks of bounded size."""
+def long_counts(text: str) -> np.ndarray:
+    """How often each feature occurs in one text: pieces of CHARACTERS are counted one by one, each with as many
+    characters behind it as an n-gram that begins in it needs."""
+    counts, whole = np.zeros(FEATURES, dtype=np.int64), len(text) + 2
+    for a in range(0, whole, CHARACTERS):
+        end = a + CHARACTERS + max(ORDERS) - 1
+        piece = f"{' ' if a == 0 else ''}{text[max(0, a - 1) : end - 1]}{' ' if end >= whole else ''}"
+        for _, has, feature in _grams(piece):
+            counts += np.bincount(feature[:CHARACTERS][has[:CHARACTERS]], minlength=FEATURES)
+    return counts
+
+
+def _by_text(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(first row, end row, features, bounds, counts) in chunks of bounded size; a text longer than a chunk comes alone,
+    with its distinct features and their counts (None otherwise)."""
     for first in range(0, len(column), 256):
         texts = column.slice(first, 256).to_pylist()
         at = np.concatenate([[0], np.cumsum([len(t or "") for t in texts])])
         for i, j in chunks(at, CHARACTERS):
-            yield first + i, first + j, *ngrams(texts[i:j])
+            if at[j] - at[i] <= CHARACTERS:
+                yield first + i, first + j, *ngrams(texts[i:j]), None
+                continue
+            counts = long_counts(texts[i])
+            features = np.flatnonzero(counts)
+            yield first + i, first + j, features, np.array([0, len(features)]), counts[features]
 
 
 @dataclass(frozen=True)
@@ -88,11 +110,14 @@ class LanguageModel:
     weights: np.ndarray
     temperature: float
 
-    def scores(self, features: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Calibrated probabilities of each text with n-grams; zeros for those without."""
+    def scores(self, features: np.ndarray, bounds: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+        """Calibrated probabilities of each text with n-grams; zeros for those without.  With counts, of one text."""
         out = np.zeros((len(bounds) - 1, len(self.languages)))
         full = np.flatnonzero(np.diff(bounds))
-        if len(full):
+        if len(full) and counts is not None:
+            mean = SCALE * (counts @ self.weights[features].astype(np.float64)) / counts.sum() + self.weights[-1]
+            out[0] = softmax(mean[None, :] / self.temperature)[0]
+        elif len(full):
             sums = np.stack([np.add.reduceat(self.weights[features, k], bounds[full]) for k in range(len(self.languages))], axis=1)
             mean = SCALE * sums / np.diff(bounds)[full][:, None] + self.weights[-1]
             out[full] = softmax(mean.astype(np.float64) / self.temperature)
@@ -106,7 +131,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, rows = np.zeros(FEATURES, dtype=np.int64), np.zeros(FEATURES, dtype=bool), 0
         for batch in batches:
-            for i, j, features, bounds in _by_text(batch.column(0)):
+            for i, j, features, bounds, _ in _by_text(batch.column(0)):
                 rows += j - i
                 for a, z in zip(bounds[:-1], bounds[1:], strict=True):
                     seen[features[a:z]] = True
@@ -130,8 +155,8 @@ def _sample_features(docs: DataFrame, text: str, lang: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for _, _, features, bounds in _by_text(batch.column(2)):
-                found += [np.unique(features[a:z], return_counts=True) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+            for _, _, features, bounds, counts in _by_text(batch.column(2)):
+                found += [(features, counts)] if counts is not None else [np.unique(features[a:z], return_counts=True) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
             packed = [pa.array([x[side].astype(np.int32).tobytes() for x in found], pa.binary()) for side in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], ["lang", "draw", "features", "counts"])
 
@@ -185,8 +210,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", p
         for batch in batches:
             labels, best = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
             if model is not None:
-                for i, j, features, bounds in _by_text(batch.column(names.index(text))):
-                    p = model.scores(features, bounds)
+                for i, j, features, bounds, counts in _by_text(batch.column(names.index(text))):
+                    p = model.scores(features, bounds, counts)
                     best[i:j] = p.max(axis=1)
                     for k in np.flatnonzero(np.diff(bounds)).tolist():
                         labels[i + k] = model.languages[int(p[k].argmax())]
@@ -211,8 +236,9 @@ def keep_known(docs: DataFrame, model: LanguageModel | None, text: str = "text",
     if model is None:
         return docs
     least = least_score(model) if least is None else least
-    judged = identify(docs, model, text, "__lang_pred", "__lang_score")
-    return judged.where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__lang_score") >= least)).select(*docs.columns)
+    pred, score = free_name("__lang_pred", *docs.columns), free_name("__lang_score", *docs.columns)
+    judged = identify(docs, model, text, pred, score)
+    return judged.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= least)).select(*docs.columns)
 
 
 def held_out(key) -> F.Column:
