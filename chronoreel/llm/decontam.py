@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoreel.llm._io import Scratch, read_table
+from chronoreel.llm._io import Scratch, free_name, read_table
 from chronoreel.llm._text import NOT_ALNUM, Words, buffers, chunks, tidied
 
 WINDOW = 10
@@ -268,7 +268,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", max_coverage: float = MAX_COVERAGE, **options) -> DataFrame:
     """``docs`` without the hit spans; documents with over ``max_coverage`` of their words hit are dropped whole.
     Columns stay as they are, with ``n_chars``, where there is one, counted anew for changed texts."""
-    name = "__found"
+    name = free_name("__found", *docs.columns)
     hit = scan(docs, items, text=text, found=name, **options)
     hit = hit.where(F.col(f"{name}.n_hit") <= F.col(f"{name}.n_words") * F.lit(max_coverage))
     spans = F.col(f"{name}.byte_spans")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoreel.llm._io import Scratch
+from chronoreel.llm._io import Scratch, free_name
 from chronoreel.llm._text import SPACES, Words, buffers, chunks, mix64, shingles, tidied, tidy
 
 #: 32 bands of 6 minima: a pair at similarity 0.85 shares none with probability 3e-7, at 0.8 6e-5.
@@ -364,7 +364,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     if several.isEmpty():
         gone = scratch.save(near_duplicates(docs, key, text, k, threshold).where("not kept").select(key), "gone")
         return docs.join(_bounded(gone), key, "left_anti").select(*docs.columns)
-    name = "__row_name"
+    name = free_name("__row_name", *docs.columns)
     unnamed, plain = F.col(key).isNull(), F.coalesce(F.col(key).cast("string"), F.lit(""))
     rows = docs.withColumn(name, F.concat_ws(":", unnamed.cast("string"), plain, F.coalesce(F.sha2(F.col(text), 256), F.lit("null"))))
     groups = scratch.save(near_duplicates(rows, name, text, k, threshold).where("n_shingles > 0"), "groups")

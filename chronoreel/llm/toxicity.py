@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoreel.llm._io import Scratch, read_table
+from chronoreel.llm._io import Scratch, free_name, read_table
 from chronoreel.llm._linear import Example, fit_binary, labelled_sample
 from chronoreel.llm._text import NOT_ALPHA, Words, buffers, chunks, mix64, tidied
 
@@ -237,7 +237,10 @@ def classify(docs: DataFrame, labels: DataFrame, training: DataFrame | None = No
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` that the chain does not call toxic; columns stay as they are."""
     chain = train(docs, category_labels(labels), CATEGORIES)
-    return score(docs, chain, CATEGORIES, prefix="__p_", flag="__toxic").where("not __toxic").select(*docs.columns)
+    prefix, flag = "__p_", free_name("__toxic", *docs.columns)
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return score(docs, chain, CATEGORIES, prefix=prefix, flag=flag).where(~F.col(flag)).select(*docs.columns)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
