@@ -17,7 +17,7 @@ BEGINNING = "(开头的?|开始的?|一开始的?|最初的?)"
 ENDING = "(结尾的?|最后的?|结束的?)"
 
 
-def best_entity(scored: DataFrame, by: str = "query_id", key: str = "entity_id", least: float = MATCH) -> DataFrame:
+def best_entity(scored: DataFrame, least: float, by: str = "query_id", key: str = "entity_id") -> DataFrame:
     """(by, key, score) of the best scored entity of each query if it reaches ``least``; ties go to the smaller key."""
     best = Window.partitionBy(by).orderBy(F.col("score").desc(), key)
     return scored.withColumn("__n", F.row_number().over(best)).where((F.col("__n") == 1) & (F.col("score") >= least)).drop("__n")

@@ -29,18 +29,8 @@ def token_budget(spark, sf_dir):
 TOKEN_SQL = """SELECT lang, doc_id, spent FROM (SELECT lang, doc_id, CAST(sum(CAST(ceil(n_chars / 4.0) AS BIGINT)) OVER (PARTITION BY lang ORDER BY ceil(n_chars / 4.0), doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM documents) WHERE spent <= 15000"""
 
 
-def interleaved_timeline(spark, sf_dir):
-    said = X.segments(spark, sf_dir).select("video_id", "start_ms", F.col("seg_idx").alias("seq"), F.left("text", F.lit(20)).alias("text"))
-    seen = X.seg_scenes(spark, sf_dir).select("video_id", "start_ms", F.col("scene_id").alias("seq"), F.concat(F.lit("scene "), F.col("scene_id").cast("string")).alias("text"))
-    return X2.timeline(("speech", said), ("scene", seen))
-
-
-TIMELINE_SQL = f"""WITH {X.SEGMENTS}, {X.SEG_SCENES} SELECT video_id, start_ms, 'speech' AS kind, seg_idx AS seq, left(text, 20) AS text FROM segments
-UNION ALL SELECT video_id, start_ms, 'scene', scene_id, 'scene ' || scene_id FROM seg_scenes"""
-
-
 def interleaved_timeline_whole(spark, sf_dir):
-    """The timeline with whole speech texts; ``interleaved_timeline`` shows 20 characters of each."""
+    """Speech and scenes by time, with whole texts."""
     said = X.segments(spark, sf_dir).select("video_id", "start_ms", F.col("seg_idx").alias("seq"), "text")
     seen = X.seg_scenes(spark, sf_dir).select("video_id", "start_ms", F.col("scene_id").alias("seq"), F.concat(F.lit("scene "), F.col("scene_id").cast("string")).alias("text"))
     return X2.timeline(("speech", said), ("scene", seen))
@@ -112,30 +102,6 @@ p AS (SELECT video_id, piece, count(*) AS n, max(r) AS r FROM f GROUP BY ALL)
 SELECT p.video_id, f.s0 AS start_ms, f.e0 AS end_ms, p.n::INT AS n, md5(f.txt) AS text_md5 FROM p JOIN f USING (video_id, piece, r)"""
 
 
-def _deltas(spark, sf_dir):
-    rows = X.messages(spark, sf_dir)
-    s = F.col("seq")
-    return rows.select(
-        F.col("conversation_id").alias("message_id"),
-        (s % 2).cast("int").alias("slot"),
-        "seq",
-        F.when(s < 2, F.concat(F.lit("call_"), s.cast("string"))).alias("id"),
-        F.when(s < 4, F.col("role")).alias("name"),
-        F.left("content", F.lit(12)).alias("arguments"),
-        F.when(s > 2, F.lit("tool_calls")).otherwise("").alias("finish"),
-    )
-
-
-def tool_call_assembly(spark, sf_dir):
-    calls = X2.limit_calls(X2.assemble_calls(_deltas(spark, sf_dir)), 3)
-    return calls.select("message_id", "slot", "id", "name", "arguments", "finish")
-
-
-ASSEMBLY_SQL = f"""WITH {X.MESSAGES}, d AS (SELECT conversation_id AS message_id, (seq % 2)::INT AS slot, seq, CASE WHEN seq < 2 THEN 'call_' || seq END AS id, CASE WHEN seq < 4 THEN role END AS name, left(content, 12) AS a, CASE WHEN seq > 2 THEN 'tool_calls' END AS f FROM messages)
-SELECT message_id, slot, arg_max(id, seq) FILTER (id IS NOT NULL) AS id, arg_max(name, seq) FILTER (name IS NOT NULL) AS name, string_agg(a, '' ORDER BY seq) AS arguments, arg_max(f, seq) FILTER (f IS NOT NULL) AS finish FROM d GROUP BY ALL"""
-
-
-
 def _whole_deltas(spark, sf_dir):
     """Messages as deltas of five slots: whole contents, and more calls than the limit of three."""
     rows = X.messages(spark, sf_dir)
@@ -152,7 +118,7 @@ def _whole_deltas(spark, sf_dir):
 
 
 def tool_call_assembly_whole(spark, sf_dir):
-    """The first three calls of each message with whole arguments; ``tool_call_assembly`` has 12 characters of each piece and two slots."""
+    """The first three calls of each message with whole arguments."""
     calls = X2.limit_calls(X2.assemble_calls(_whole_deltas(spark, sf_dir)), 3)
     return calls.select("message_id", "slot", "id", "name", "arguments", "finish")
 
@@ -164,13 +130,11 @@ SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY slot
 QUERIES = {
     "merge_adjacent": (merge_adjacent, MERGE_SQL),
     "token_budget": (token_budget, TOKEN_SQL),
-    "interleaved_timeline": (interleaved_timeline, TIMELINE_SQL),
     "interleaved_timeline_whole": (interleaved_timeline_whole, TIMELINE_WHOLE_SQL),
     "keyword_search": (keyword_search, KEYWORD_SQL),
     "bm25_rank": (bm25_rank, BM25_SQL),
     "recall_at_k": (recall_at_k, RECALL_SQL),
     "time_expression": (time_expression, TIME_SQL),
     "speech_pieces": (speech_pieces, PIECES_SQL),
-    "tool_call_assembly": (tool_call_assembly, ASSEMBLY_SQL),
     "tool_call_assembly_whole": (tool_call_assembly_whole, ASSEMBLY_WHOLE_SQL),
 }

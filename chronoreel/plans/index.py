@@ -109,16 +109,8 @@ def cascade_delete(spark, sf_dir):
 CASCADE_SQL = f"WITH {X.MESSAGES} SELECT conversation_id, seq FROM messages m WHERE NOT EXISTS (SELECT 1 FROM messages s WHERE s.conversation_id = m.conversation_id AND s.role = 'system')"
 
 
-def history_last4(spark, sf_dir):
-    rows = X.messages(spark, sf_dir).where("role <> 'system'")
-    return I.last_per_key(rows, "conversation_id", "seq", 4).select("conversation_id", "seq", "role", F.left("content", F.lit(100)).alias("content"))
-
-
-HISTORY_SQL = f"WITH {X.MESSAGES} SELECT conversation_id, seq, role, left(content, 100) AS content FROM messages WHERE role <> 'system' QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY seq DESC) <= 4"
-
-
 def history_last4_whole(spark, sf_dir):
-    """The last four messages with their whole content; ``history_last4`` shows 100 characters of each."""
+    """The last four messages with their whole content."""
     rows = X.messages(spark, sf_dir).where("role <> 'system'")
     return I.last_per_key(rows, "conversation_id", "seq", 4).select("conversation_id", "seq", "role", "content")
 
@@ -283,7 +275,6 @@ QUERIES = {
     "stale_cleanup": (stale_cleanup, STALE_SQL),
     "invalidate_video": (invalidate_video, f"WITH {_INDEXED} SELECT chunk_id, video_id, collection FROM indexed WHERE video_id <> 3 AND NOT (video_id = 4 AND collection = 0)"),
     "cascade_delete": (cascade_delete, CASCADE_SQL),
-    "history_last4": (history_last4, HISTORY_SQL),
     "history_last4_whole": (history_last4_whole, HISTORY_WHOLE_SQL),
     "history_seed": (history_seed, SEED_SQL),
     "anti_append": (anti_append, ANTI_SQL),

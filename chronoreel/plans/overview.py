@@ -123,7 +123,7 @@ def reference_similar(spark, sf_dir):
     rows = chunks.where("chunk_id % 20 > 0")
     ents = rows.select("video_id", F.col("chunk_id").alias("entity_id"), F.col("start_ms").alias("first_ms"), F.col("end_ms").alias("last_ms"))
     asked = X.query_vectors(spark, sf_dir)
-    best = E.best_entity(search.vector_topk(rows, asked, 1, E.MATCH, same_video=True).drop("rank"), key="chunk_id")
+    best = E.best_entity(search.vector_topk(rows, asked, 1, E.RESOLVE, same_video=True).drop("rank"), E.RESOLVE, key="chunk_id")
     refs = F.array(*map(F.lit, REFERENCES))
     known = asked.select("query_id", F.col("query_video").alias("video_id")).join(E.extremes(ents), "video_id").join(best, "query_id", "left")
     reference = F.get(refs, (F.col("query_id") / 20 % 3).cast("int"))
@@ -139,6 +139,43 @@ SELECT q.query_id, CASE q.query_id // 20 % 3 WHEN 0 THEN earliest WHEN 1 THEN la
 FROM query_vectors q JOIN x ON x.video_id = q.query_video LEFT JOIN b USING (query_id)"""
 
 
+#: What a reference by looks has of its entity's vector; the first is found at 0.6 and not at 0.75, the second not at all.
+MIXED = (0.68, 0.5, 0.9)
+
+
+def reference_resolution(spark, sf_dir):
+    """References with all four cues to entities of their video.  Those by looks are mixed of their own vector and of the
+    video's first entity's, so that their scores lie below, between and above the two thresholds."""
+    chunks = X.chunks(spark, sf_dir)
+    rows = chunks.where("chunk_id % 20 > 0")
+    ents = rows.select("video_id", F.col("chunk_id").alias("entity_id"), F.col("start_ms").alias("first_ms"), F.col("end_ms").alias("last_ms"))
+    refs = F.array(*map(F.lit, _CUES))
+    asked = chunks.where("chunk_id % 20 = 0").select("video_id", F.col("chunk_id").alias("anchor_id"), F.col("start_ms").alias("anchor_ms"), "embedding")
+    asked = asked.withColumn("reference", F.get(refs, (F.col("anchor_id") / 20 % 4).cast("int")))
+    first = rows.groupBy("video_id").agg(F.min_by("embedding", "chunk_id").alias("target"))
+    share = F.get(F.array(*map(F.lit, MIXED)), (F.col("anchor_id") / 80 % 3).cast("int"))
+    mixed = F.transform(F.arrays_zip(F.col("target").alias("t"), F.col("embedding").alias("e")), lambda x: share * x["t"].cast("double") + F.sqrt(1 - share * share) * x["e"].cast("double"))
+    looks = asked.join(first, "video_id").select(F.col("anchor_id").alias("query_id"), F.col("video_id").alias("query_video"), mixed.alias("query"))
+    similar = E.best_entity(search.vector_topk(rows, looks, 1, E.RESOLVE, same_video=True).drop("rank"), E.RESOLVE, key="chunk_id").withColumnRenamed("query_id", "anchor_id")
+    recent = E.entity_asof(asked, ents).select("anchor_id", F.col("entity_id").alias("recent"))
+    known = asked.join(E.extremes(ents), "video_id").join(recent, "anchor_id", "left").join(similar, "anchor_id", "left")
+    found = E.resolve(F.col("reference"), F.col("anchor_ms"), F.col("recent"), F.col("earliest"), F.col("latest"), F.col("chunk_id"))
+    return known.select("anchor_id", "video_id", "reference", found.alias("resolved"), F.round("score", 5).alias("score"))
+
+
+RESOLUTION_SQL = f"""WITH {X.CHUNKS}, e AS (SELECT * FROM chunks WHERE chunk_id % 20 > 0), a AS (SELECT * FROM chunks WHERE chunk_id % 20 = 0),
+x AS (SELECT video_id, arg_min(chunk_id, (start_ms, chunk_id)) AS earliest, arg_min(chunk_id, (-end_ms, chunk_id)) AS latest, arg_min(embedding, chunk_id) AS target FROM e GROUP BY 1),
+w AS (SELECT a.chunk_id, a.video_id, a.start_ms, x.earliest, x.latest, x.target, a.embedding, {list(MIXED)}[a.chunk_id // 80 % 3 + 1]::DOUBLE AS w FROM a JOIN x USING (video_id)),
+m AS (SELECT *, list_transform(range(1, len(target) + 1), lambda i: w * target[i] + sqrt(1 - w * w) * embedding[i]) AS q FROM w),
+p AS (SELECT m.chunk_id AS anchor_id, e.chunk_id, round(list_cosine_similarity(m.q, e.embedding), 6) AS score FROM m JOIN e USING (video_id)),
+b AS (SELECT * FROM p WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, chunk_id) = 1),
+l AS (SELECT video_id, end_ms, min(chunk_id) AS entity_id FROM e GROUP BY ALL),
+r AS (SELECT m.*, l.entity_id AS recent FROM m ASOF LEFT JOIN l ON m.video_id = l.video_id AND m.start_ms >= l.end_ms)
+SELECT r.chunk_id AS anchor_id, r.video_id, ['{"', '".join(_CUES)}'][r.chunk_id // 20 % 4 + 1] AS reference,
+  coalesce(CASE r.chunk_id // 20 % 4 WHEN 0 THEN CASE WHEN r.start_ms > 0 THEN recent END WHEN 1 THEN earliest WHEN 2 THEN latest END, b.chunk_id) AS resolved, round(b.score, 5) AS score
+FROM r LEFT JOIN b ON b.anchor_id = r.chunk_id"""
+
+
 def gate_similarity(spark, sf_dir):
     """The gate's verdict on given signals, with and without a similarity and speech."""
     n = F.col("l_linenumber")
@@ -172,5 +209,6 @@ QUERIES = {
     "validity": (validity, VALID_SQL),
     "replies_and_links": (replies_and_links, LINKS_SQL),
     "reference_similar": (reference_similar, REFERENCE_SQL),
+    "reference_resolution": (reference_resolution, RESOLUTION_SQL),
     "gate_similarity": (gate_similarity, SIGNALS_SQL),
 }

@@ -105,28 +105,16 @@ signals AS (SELECT c.video_id, c.scene_id, c.coverage, t.spanned, greatest(0, t.
 COVERAGE_SQL = f"WITH {_SPEECH_SQL}, {_COVER_SQL} SELECT video_id, scene_id, round(coverage, 6) AS coverage, spanned, round(span, 6) AS span FROM signals"
 
 
-def _visual(spark, sf_dir):
-    """Scenes described by the text of the benchmark item of their number: words in common with some speech."""
-    items = X.table(spark, sf_dir, "benchmark")
-    grid = X.seg_scenes(spark, sf_dir)
-    n = F.pmod(F.col("video_id") * 7 + F.col("scene_id"), F.lit(40))
-    return grid.select("video_id", "scene_id", n.alias("item_id")).join(items, "item_id", "left").select("video_id", "scene_id", F.col("text").alias("description"))
-
-
 def _visual_all(spark, sf_dir):
-    """As ``_visual``, over as many numbers as the items have."""
+    """Scenes described by the text of the benchmark item of their number: words in common with some speech."""
     items = X.table(spark, sf_dir, "benchmark")
     grid = X.seg_scenes(spark, sf_dir).crossJoin(F.broadcast(items.agg((F.max("item_id") + 1).alias("numbers"))))
     n = F.pmod(F.col("video_id") * 7 + F.col("scene_id"), F.col("numbers"))
     return grid.select("video_id", "scene_id", n.alias("item_id")).join(items, "item_id", "left").select("video_id", "scene_id", F.col("text").alias("description"))
 
 
-def av_gate(spark, sf_dir):
-    return _gated(spark, sf_dir, _visual(spark, sf_dir))
-
-
 def av_gate_all(spark, sf_dir):
-    """The gate with descriptions from all items; ``av_gate`` has the first 40."""
+    """The gate with descriptions from all items."""
     return _gated(spark, sf_dir, _visual_all(spark, sf_dir))
 
 
@@ -238,7 +226,6 @@ QUERIES = {
     "histogram_distance": (histogram_distance, HISTOGRAM_SQL),
     "segment_scene_overlap": (segment_scene_overlap, f"WITH {_SPEECH_SQL} SELECT video_id, scene_id, seg_idx, start_ms, length(text) AS chars, overlap FROM speech"),
     "coverage_span": (coverage_span, COVERAGE_SQL),
-    "av_gate": (av_gate, GATE_SQL),
     "av_gate_all": (av_gate_all, GATE_ALL_SQL),
     "transcript_range": (transcript_range, f"WITH {X.SEGMENTS} SELECT video_id, seg_idx, start_ms, end_ms FROM segments WHERE end_ms >= 4000 AND start_ms <= 12000"),
     "transcript_text": (transcript_text, TRANSCRIPT_SQL),

@@ -22,21 +22,8 @@ def keywords(spark, sf_dir):
 KEYWORDS_SQL = f"WITH k AS (SELECT doc_id, {keywords_sql('text')} AS k FROM documents) SELECT doc_id, CAST(len(k) AS BIGINT) AS n, CAST(len(list_distinct(k)) AS BIGINT) AS n_distinct, list_min(k) AS first FROM k"
 
 
-def keyword_overlap(spark, sf_dir):
-    """Documents against the benchmark item of their number."""
-    docs, items = X.table(spark, sf_dir, "documents"), X.table(spark, sf_dir, "benchmark")
-    both = docs.select("doc_id", F.col("text").alias("t"), (F.col("doc_id") % 40).alias("item_id")).join(items, "item_id")
-    a, b = TX.keywords(F.col("t")), TX.keywords(F.col("text"))
-    return both.select("doc_id", F.round(TX.keyword_overlap(a, b), 6).alias("overlap"), F.array_join(TX.shared_keywords(a, b), ",").alias("shared"))
-
-
-OVERLAP_SQL = f"""WITH k AS (SELECT doc_id, list_distinct({keywords_sql("d.text")}) AS a, list_distinct({keywords_sql("b.text")}) AS b FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)
-SELECT doc_id, round(CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)) ELSE 0 END, 6) AS overlap,
-  array_to_string(list_sort(list_intersect(a, b))[1:12], ',') AS shared FROM k"""
-
-
 def keyword_overlap_all(spark, sf_dir):
-    """Every document against the benchmark item of its number, over as many numbers as the items have; ``keyword_overlap`` has the first 40."""
+    """Every document against the benchmark item of its number, over as many numbers as the items have."""
     docs, items = X.table(spark, sf_dir, "documents"), X.table(spark, sf_dir, "benchmark")
     numbers = F.broadcast(items.agg((F.max("item_id") + 1).alias("numbers")))
     both = docs.select("doc_id", F.col("text").alias("t")).crossJoin(numbers).withColumn("item_id", F.pmod("doc_id", "numbers")).join(items, "item_id", "left")
@@ -240,7 +227,6 @@ ELSE CASE WHEN seg_idx % 3 >= 2 THEN 'ready' ELSE 'build_summary' END END AS act
 
 QUERIES = {
     "keywords": (keywords, KEYWORDS_SQL),
-    "keyword_overlap": (keyword_overlap, OVERLAP_SQL),
     "keyword_overlap_all": (keyword_overlap_all, OVERLAP_ALL_SQL),
     "time_labels": (time_labels, LABELS_SQL),
     "chunk_ids": (chunk_ids, IDS_SQL),
