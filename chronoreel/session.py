@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -25,6 +26,18 @@ def session(app: str = "chronoreel", **conf: str) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.  Where that is unset, on one machine, a temporary
+    folder is set for the session; on a cluster executors would not share it, so there it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="chronoreel-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once a context, unless PYTHONPATH already leads there."""
     context = spark.sparkContext

@@ -29,7 +29,7 @@ def thirds(df, column, per=None):
 
 
 def test_tool_calls(spark, sf_dir, tmp_path):
-    deltas = extra_plans._deltas(spark, sf_dir).withColumn("seq", F.col("seq").cast("long"))
+    deltas = extra_plans._whole_deltas(spark, sf_dir).withColumn("seq", F.col("seq").cast("long"))
     out = run_stream(spark, tmp_path, thirds(deltas, "seq"), live.assemble_calls, "update", "calls")
     last = {}
     for r in out.collect():
