@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoreel.plans import evidence, extras, index, overview, retrieval, scenes, stored, text
+from chronoreel.plans import evidence, extras, index, overview, retrieval, scenes, stored, streams, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_ALL: dict[str, tuple[Query, str | None]] = {**retrieval.QUERIES, **scenes.QUERIES, **text.QUERIES, **index.QUERIES, **extras.QUERIES, **overview.QUERIES, **evidence.QUERIES, **stored.QUERIES}
+_ALL: dict[str, tuple[Query, str | None]] = {**retrieval.QUERIES, **scenes.QUERIES, **text.QUERIES, **index.QUERIES, **extras.QUERIES, **overview.QUERIES, **evidence.QUERIES, **stored.QUERIES, **streams.QUERIES}
 
 
 def queries() -> dict[str, Query]:
