@@ -6,11 +6,12 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoreel.session import shared_dir
 from chronoreel.sources import fixtures as X
+from chronoreel.sources import sse
 from chronoreel.streaming import index as LI
 
 THRESHOLD = 60.0
@@ -75,4 +76,46 @@ r AS (SELECT video_id, session_ms, scene_id, min(ts_ms) AS start_ms, max(ts_ms)
 SELECT video_id, session_ms, scene_id, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY video_id, session_ms ORDER BY scene_id), last_ms + 1000) AS end_ms, n_frames FROM r"""
 
 
-QUERIES = {"live_scenes_shuffled": (live_scenes_shuffled, LIVE_SQL)}
+#: Conversations of one log, and bytes of one piece.
+TALKS, PIECE = 50, 7919
+
+
+def event_pieces(spark, sf_dir):
+    """Conversations as logs of events, cut every PIECE bytes wherever that is: (stream_id, place, data)."""
+    c = X.table(spark, sf_dir, "conversations")
+    delta = F.to_json(F.struct("conv_id", "turn", F.col("text").alias("content")))
+    rows = c.select(F.coalesce(F.floor(F.col("conv_id") / TALKS), F.lit(-1)).alias("stream_id"), F.struct("conv_id", "turn", F.md5(F.coalesce("text", F.lit(""))).alias("m")).alias("o"), sse.event_text(delta, F.concat_ws(" ", F.lit("turn"), "turn")).alias("e"))
+    # where each event lies in its log, without a log in one row
+    order = Window.partitionBy("stream_id").orderBy("o")
+    at = F.sum(F.octet_length("e")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lying = rows.select("stream_id", F.encode("e", "UTF-8").alias("b"), (at - F.octet_length("e")).alias("a"), at.alias("z"))
+    cut = lying.withColumn("place", F.explode(F.sequence(F.floor(F.col("a") / PIECE), F.floor((F.col("z") - 1) / PIECE))))
+    low, high = F.greatest("a", F.col("place") * PIECE), F.least("z", (F.col("place") + 1) * PIECE)
+    part = F.substring("b", (low - F.col("a") + 1).cast("int"), (high - low).cast("int"))
+    parts = cut.groupBy("stream_id", "place").agg(F.array_sort(F.collect_list(F.struct(low.alias("low"), part.alias("part")))).alias("parts"))
+    return parts.select("stream_id", "place", F.aggregate("parts", F.lit(b""), lambda s, x: F.concat(s, x["part"])).alias("data"))
+
+
+def event_log_stream(spark, sf_dir):
+    """Messages from event logs of which pieces arrive in three batches; the stream stops after each and goes on from its
+    checkpoint."""
+    spark.dataSource.register(sse.EventLogs)
+    folder = f"{shared_dir(spark)}/sse-{uuid.uuid4().hex}"
+    pieces = event_pieces(spark, sf_dir)
+    pieces.write.parquet(f"{folder}/pieces")
+    pieces = spark.read.parquet(f"{folder}/pieces")
+    last = pieces.agg(F.max("place")).first()[0] or 0
+    named = pieces.withColumn("name", F.lpad(F.col("place").cast("string"), 12, "0"))
+    for third in range(3):
+        sse.write_logs(named.where(F.floor(F.col("place") * 3 / (last + 1)) == third), f"{folder}/logs")
+        query = spark.readStream.format("sse").load(f"{folder}/logs").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    rows = spark.read.schema(sse.SCHEMA).parquet(f"{folder}/out")
+    m = F.from_json("payload", "struct<conv_id:bigint,turn:bigint,content:string>")
+    return rows.select(m["conv_id"].alias("conv_id"), m["turn"].alias("turn"), F.md5(F.coalesce(m["content"], F.lit(""))).alias("content_md5"))
+
+
+EVENTS_SQL = "SELECT conv_id, turn, md5(coalesce(text, '')) AS content_md5 FROM conversations"
+
+
+QUERIES = {"live_scenes_shuffled": (live_scenes_shuffled, LIVE_SQL), "event_log_stream": (event_log_stream, EVENTS_SQL)}
