@@ -35,10 +35,10 @@ EOS = 2
 #: Tokens that a task holds at once; the longest document comes on top.
 WINDOW_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 18
-#: Words and their bytes with ids that a worker remembers within a task; beyond either it forgets all but KEPT_WORDS.
-CACHED_WORDS, CACHED_BYTES = 500_000, 32 << 20
-#: Words that it remembers from task to task, about 8 MB.
-KEPT_WORDS = 40_000
+#: Bytes of words and ids that a worker remembers; beyond, it forgets those that it met once.
+CACHED_BYTES = 112 << 20
+#: As much for a worker that many stages share, which keeps the first words, the commonest, from task to task.
+SHARED_BYTES, KEPT_WORDS = 32 << 20, 40_000
 #: What a remembered word costs besides its characters and ids.
 _ENTRY_BYTES = 180
 #: Longer words are not remembered.
@@ -51,6 +51,10 @@ _MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, context int, step_group long"
 
 
+def _size(words, ids) -> int:
+    return sum(map(len, words)) + sum(map(len, ids)) + _ENTRY_BYTES * len(words)
+
+
 def _letters(word: str) -> bool:
     """Whether the tokenizer sees letters throughout: lower-casing may turn a letter into a letter and a mark, and normal
     form C takes some letters apart."""
@@ -65,7 +69,7 @@ class WordTokenizer:
     Texts with its special tokens' opening are encoded word by word without lower-casing or stripping.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHED_BYTES):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -75,13 +79,24 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known = {}
+        self.cache_bytes, self.known = cache_bytes, {}
         self.forget()
 
     def forget(self, keep: int = 0) -> None:
         """All but the first ``keep`` words of those remembered, which are the commonest: they were met first."""
         self.known: dict[str, bytes] = dict(islice(self.known.items(), keep))
-        self.held = sum(len(w) + len(i) + _ENTRY_BYTES for w, i in self.known.items())
+        #: those met in one call only
+        self.once: set[str] = set()
+        self.held = _size(self.known, self.known.values())
+
+    def forget_some(self) -> None:
+        """Words met once go first; if they are few, so do all but the commonest."""
+        for word in self.once:
+            self.known.pop(word, None)
+        self.once = set()
+        self.held = _size(self.known, self.known.values())
+        if self.held > self.cache_bytes / 2:
+            self.forget(KEPT_WORDS)
 
     def _learn_each(self, words: list[str]) -> None:
         for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
@@ -103,7 +118,7 @@ class WordTokenizer:
                 a = z
         return unclear
 
-    def _resolve(self, missing: list[str]) -> None:
+    def _resolve(self, missing: set[str]) -> None:
         """Plain letters give one word each, whose last id is one of ``ends``: many share a call."""
         known = self.known
         letters = {w for w in missing if _letters(w)}
@@ -124,15 +139,19 @@ class WordTokenizer:
             self._learn_each(list(other))
         for word, stem, tail in marked:
             known[word] = known[stem] + known[tail]
-        self.held += sum(map(len, missing)) + sum(map(len, map(known.__getitem__, missing))) + _ENTRY_BYTES * len(missing)
+        self.once |= missing
+        self.once.update(letters, other)
+        self.held += _size(missing, map(known.__getitem__, missing))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if self.held > CACHED_BYTES or len(self.known) > CACHED_WORDS:
-            self.forget(KEPT_WORDS)
+        if self.held > self.cache_bytes:
+            self.forget_some()
         split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") if t else [] for t in texts]
         known = self.known
-        missing = [w for w in set().union(*split) if w not in known]
+        distinct = set().union(*split)
+        missing = distinct.difference(known)
+        self.once -= distinct
         if missing:
             self._resolve(missing)
         out = [b"".join(map(known.__getitem__, words)) for words in split]
@@ -249,7 +268,7 @@ def _step_groups(lengths: list[int], step_tokens: int) -> list[int]:
 
 
 def pack(
-    df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", contexts: tuple[int, ...] = CONTEXTS, eos: int = EOS, window_tokens: int = WINDOW_TOKENS, step_tokens: int = STEP_TOKENS
+    df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", contexts: tuple[int, ...] = CONTEXTS, eos: int = EOS, window_tokens: int = WINDOW_TOKENS, step_tokens: int = STEP_TOKENS, cache_bytes: int = CACHED_BYTES
 ) -> DataFrame:
     """Pieces (key, start, length, ids, doc_tokens, sequence_id, offset, context, step_group) of all rows.
 
@@ -266,7 +285,7 @@ def pack(
 
     @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, planner = _tokenizer(tokenizer_path), _Pieces(contexts)
+        words, planner = _tokenizer(tokenizer_path, cache_bytes), _Pieces(contexts)
         base = TaskContext.get().partitionId() << 32
         made = groups = held = 0
         keys: dict[int, object] = {}
@@ -311,7 +330,8 @@ def pack(
                         yield from flush(False)
         if fragments:
             yield from flush(True)
-        words.forget(KEPT_WORDS)
+        if cache_bytes <= SHARED_BYTES:
+            words.forget(KEPT_WORDS)
 
     return df.select(F.col(key), F.col(text)).mapInArrow(work, schema)
 
@@ -327,24 +347,25 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         i = j
 
 
-_loaded: dict[str, WordTokenizer] = {}
+_loaded: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def _tokenizer(path: str) -> WordTokenizer:
-    """One for each worker; what it remembers beyond the commonest words ends with a task."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+def _tokenizer(path: str, cache_bytes: int) -> WordTokenizer:
+    """One for each worker."""
+    if (path, cache_bytes) not in _loaded:
+        _loaded[path, cache_bytes] = WordTokenizer(path, cache_bytes)
+    return _loaded[path, cache_bytes]
 
 
-def public_pieces(documents: DataFrame) -> DataFrame:
-    """Pieces of ``documents`` with their ids and the ids' checksum, by the public word-level BPE."""
+def public_pieces(documents: DataFrame, cache_bytes: int = SHARED_BYTES) -> DataFrame:
+    """Pieces of ``documents`` with their ids and the ids' checksum, by the public word-level BPE.  With ``SHARED_BYTES`` or less
+    to remember words in, what a worker remembers beyond the commonest words ends with a task."""
     import public_tokenizers
 
-    pieces = pack(documents, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = pack(documents, public_tokenizers.path("word_bpe_49k.json"), cache_bytes=cache_bytes)
     return pieces.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step_group")
 
 
 def op3_packing(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """Contract columns for ``documents``, with the public word-level BPE."""
-    return public_pieces(documents).drop("ids")
+    return public_pieces(documents, CACHED_BYTES).drop("ids")
