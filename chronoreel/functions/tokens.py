@@ -53,7 +53,8 @@ class _Remembering:
 
 
 class BytePairs(_Remembering):
-    """Byte pair encoding of words: symbols are a linked list, candidates a heap by rank, then place."""
+    """Byte pair encoding of words: symbols are a linked list, candidates a heap by rank, then place.  Which characters are
+    letters or digits is told by the regex module's tables; those not assigned there are neither."""
 
     def __init__(self, vocabulary: dict[str, int], merges: Iterable[tuple[str, str]]):
         super().__init__()

@@ -17,7 +17,13 @@ COMMON = "abcdefgXYZ  \n\t.,!'-0123İΣσΑé́क़日本。語ﬁ"
 
 def some_texts(seed, n):
     r = random.Random(seed)
-    some = lambda: chr(r.choice([r.randrange(0x20, 0x3000), r.randrange(0x3000, 0xD800), r.randrange(0xE000, 0x20000)]))
+
+    def some():
+        # what a newer character is depends on each library's tables
+        while unicodedata.ucd_3_2_0.category(c := chr(r.choice([r.randrange(0x20, 0x3000), r.randrange(0x3000, 0xD800), r.randrange(0xE000, 0x20000)]))) == "Cn":
+            pass
+        return c
+
     return ["".join(r.choice(COMMON) if r.random() < 0.8 else some() for _ in range(r.randrange(80))) for _ in range(n)]
 
 
