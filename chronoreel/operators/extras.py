@@ -52,8 +52,15 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     shuffled, so only their postings move, and one row a document that counts it and its length.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(keywords(F.col("query")))).alias("term"))
+    words = docs.select(key, keywords(F.col(text)).alias("words"))
+    return bm25_terms(words, asked, key, k1, b).select("query_id", key, "score")
+
+
+def bm25_terms(words: DataFrame, asked: DataFrame, key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, key, score, n_terms) of documents (key, words: all their keywords) for asked terms (query_id, term and, if
+    given, weight): n_terms of a query's terms are in the document."""
     wanted = asked.select("term").distinct()
-    words = docs.select(key, keywords(F.col(text)).alias("words")).withColumn("length", F.size("words"))
+    words = words.withColumn("length", F.size("words"))
     if wanted.limit(ASKED_TERMS + 1).count() <= ASKED_TERMS:
         marked = words.select(key, "length", F.explode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("term"))
         found = marked.join(F.broadcast(wanted.withColumn("__asked", F.lit(True))), "term", "left")
@@ -68,7 +75,9 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     rows = held.where(F.col(key).isNotNull()).join(df, "term").crossJoin(F.broadcast(total))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return rows.withColumn("w", weight).join(asked, "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))
+    share = F.col("weight") if "weight" in asked.columns else F.lit(1.0)
+    met = rows.withColumn("w", weight).join(asked, "term").groupBy("query_id", key)
+    return met.agg(F.sum(F.col("w") * share).alias("score"), F.count(F.lit(1)).alias("n_terms"))
 
 
 def recall_at_k(hits: DataFrame, relevant: DataFrame) -> DataFrame:
