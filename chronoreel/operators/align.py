@@ -149,6 +149,32 @@ def evidence_chunks(fused: DataFrame) -> DataFrame:
     return rows.select(ident.alias("chunk_id"), "video_id", "scene_id", "start_ms", "end_ms", "k.chunk_type", "k.evidence", "k.text")
 
 
+def scene_evidence(scenes: DataFrame, gated: DataFrame, visual: DataFrame, speech: DataFrame, fused: DataFrame | None = None) -> DataFrame:
+    """A row a scene with all that is known of it: scenes' columns, keyframe_ms, description, visual_description, audio_summary,
+    fused_description, audio_relation, relation_confidence and speech_segments (start_ms, end_ms, text, by time).
+
+    ``gated`` is the gate's verdict, ``visual`` has description, ``speech`` is a scene's (bounded) speech, ``fused``, if there is
+    one, audio_summary and fused.  What is not known is null; a scene without speech has an empty list, and its relation is
+    unknown.  The description is the fused one if there is one.
+    """
+    at = ["video_id", "scene_id"]
+    said = F.array_sort(F.collect_list(F.struct("start_ms", "seg_idx", "end_ms", "text")))
+    spoken = speech.groupBy(*at).agg(F.transform(said, lambda x: F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["text"].alias("text"))).alias("speech_segments"))
+    rows = scenes.select(*at, "start_ms", "end_ms", *(["keyframe_ms"] if "keyframe_ms" in scenes.columns else []))
+    rows = rows if "keyframe_ms" in rows.columns else rows.withColumn("keyframe_ms", F.col("start_ms"))
+    rows = rows.join(visual.select(*at, F.col("description").alias("visual_description")), at, "left")
+    rows = rows.join(gated.select(*at, F.col("relation").alias("audio_relation"), F.col("confidence").alias("relation_confidence")), at, "left").join(spoken, at, "left")
+    if fused is None:
+        rows = rows.withColumn("audio_summary", F.lit(None).cast("string")).withColumn("fused_description", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(fused.select(*at, "audio_summary", F.col("fused").alias("fused_description")), at, "left")
+    none = F.array().cast(spoken.schema["speech_segments"].dataType)
+    return rows.select(
+        *at, "start_ms", "end_ms", "keyframe_ms", F.coalesce("fused_description", "visual_description").alias("description"), "visual_description", "audio_summary", "fused_description",
+        F.coalesce("audio_relation", F.lit("unknown")).alias("audio_relation"), F.coalesce("relation_confidence", F.lit(0.0)).alias("relation_confidence"), F.coalesce("speech_segments", none).alias("speech_segments"),
+    )
+
+
 def transcript(segments: DataFrame, plain: bool = False) -> DataFrame:
     """(video_id, transcript): lines of [m:ss-m:ss] text, or the texts in a row."""
     line = F.col("text") if plain else F.concat(F.lit("["), X.transcript_label(F.col("start_ms")), F.lit("-"), X.transcript_label(F.col("end_ms")), F.lit("] "), F.trim("text"), F.lit("\n"))
