@@ -44,7 +44,7 @@ _ENTRY_BYTES = 180
 #: Longer words are not remembered.
 LONGEST_CACHED = 64
 #: Texts and characters that are encoded together, one text at least.
-TEXTS, CHARACTERS = 64, 1 << 19
+TEXTS, CHARACTERS = 256, 1 << 20
 #: ASCII marks that the tokenizer keeps together after letters; an apostrophe may open a contraction, "<" a special token.
 _MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
