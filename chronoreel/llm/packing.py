@@ -35,7 +35,7 @@ EOS = 2
 #: Tokens that a task holds at once; the longest document comes on top.
 WINDOW_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 18
-#: Bytes of words and ids that a worker remembers; beyond, it forgets those that it met once.
+#: Bytes of words and ids that a worker remembers; beyond, it forgets all but KEPT_WORDS.
 CACHED_BYTES = 112 << 20
 #: As much for a worker that many stages share, which keeps the first words, the commonest, from task to task.
 SHARED_BYTES, KEPT_WORDS = 32 << 20, 40_000
@@ -44,7 +44,7 @@ _ENTRY_BYTES = 180
 #: Longer words are not remembered.
 LONGEST_CACHED = 64
 #: Texts and characters that are encoded together, one text at least.
-TEXTS, CHARACTERS = 256, 1 << 20
+TEXTS, CHARACTERS = 64, 1 << 19
 #: ASCII marks that the tokenizer keeps together after letters; an apostrophe may open a contraction, "<" a special token.
 _MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
@@ -85,19 +85,8 @@ class WordTokenizer:
     def forget(self, keep: int = 0) -> None:
         """All but the first ``keep`` words of those remembered, which are the commonest: they were met first."""
         self.known: dict[str, bytes] = dict(islice(self.known.items(), keep))
-        #: those met in one call only
-        self.once: set[str] = set()
         self.held = _size(self.known, self.known.values())
 
-    def forget_some(self) -> None:
-        """Words met once go first; if they are few, so do all but the commonest."""
-        for word in self.once:
-            self.known.pop(word, None)
-        self.once = set()
-        self.held = _size(self.known, self.known.values())
-        if self.held > self.cache_bytes / 2:
-            self.forget(KEPT_WORDS)
-
     def _learn_each(self, words: list[str]) -> None:
         for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
@@ -118,7 +107,7 @@ class WordTokenizer:
                 a = z
         return unclear
 
-    def _resolve(self, missing: set[str]) -> None:
+    def _resolve(self, missing: list[str]) -> None:
         """Plain letters give one word each, whose last id is one of ``ends``: many share a call."""
         known = self.known
         letters = {w for w in missing if _letters(w)}
@@ -139,22 +128,21 @@ class WordTokenizer:
             self._learn_each(list(other))
         for word, stem, tail in marked:
             known[word] = known[stem] + known[tail]
-        self.once |= missing
-        self.once.update(letters, other)
         self.held += _size(missing, map(known.__getitem__, missing))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if self.held > self.cache_bytes:
-            self.forget_some()
+            self.forget(KEPT_WORDS)
         split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") if t else [] for t in texts]
-        known = self.known
-        distinct = set().union(*split)
-        missing = distinct.difference(known)
-        self.once -= distinct
+        # each distinct word is looked for once among all; words are then found among the few of this call
+        distinct, known = list(set().union(*split)), self.known
+        here = dict(zip(distinct, map(known.get, distinct), strict=True))
+        missing = [w for w, ids in here.items() if ids is None]
         if missing:
             self._resolve(missing)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+            here.update(zip(missing, map(known.__getitem__, missing), strict=True))
+        out = [b"".join(map(here.__getitem__, words)) for words in split]
         for word in missing:
             if len(word) > LONGEST_CACHED:
                 del known[word]
