@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoreel.functions import sampling as S
 from chronoreel.functions.questions import is_player_command
+from chronoreel.functions.text import time_label
 from chronoreel.functions.vectors import cosine
 from chronoreel.operators.align import CELL_MS
 from chronoreel.operators.index import cacheable, qa_chunk
@@ -131,6 +132,46 @@ def merge_evidence(hits: DataFrame, by: str = "query_id") -> DataFrame:
     ).drop("__run")
 
 
+# The text that evidence is handed to a model in, and the names of paths in it.
+PATH_LABELS = {"visual": "视觉检索", "text": "文本/语音", "entity": "实体", "qa_cache": "历史问答"}
+EVIDENCE_LINES = {
+    "number": "## 证据 {}\n",
+    "times": "时间范围：{} - {}\n",
+    "source": "来源：{}（相似度 {}）\n",
+    "scene": "场景 ID：{}\n",
+    "kind": "证据类型：{}\n",
+    "relation": "音画关系：{}（置信度 {}）\n",
+    "text": "相关内容：{}\n\n",
+}
+EVIDENCE_CHARS = 200
+
+
+def _line(name: str, *values: Column) -> Column:
+    parts = EVIDENCE_LINES[name].split("{}")
+    return F.concat(*(x for pair in zip(map(F.lit, parts), [*values, F.lit("")], strict=True) for x in pair))
+
+
+def evidence_text(hits: DataFrame, by: str = "query_id") -> DataFrame:
+    """(by, n, evidence): a query's hits in rank order as numbered text.  ``hits`` has rank, hit_path, score, start_ms, end_ms and,
+    each null or empty where there is none, scene_id, evidence_type, audio_relation, relation_confidence and text, of which the
+    first EVIDENCE_CHARS are shown.  Hits are a query's few best."""
+    two = lambda x: F.format_string("%.2f", x.cast("double"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("rank"))
+    path = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in PATH_LABELS.items() for x in pair)), F.col("hit_path")), F.col("hit_path"))
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    line = F.concat(
+        _line("number", place.cast("string")),
+        _line("times", time_label(F.col("start_ms")), time_label(F.col("end_ms"))),
+        _line("source", path, two(F.col("score"))),
+        F.when(F.col("scene_id").isNotNull(), _line("scene", F.col("scene_id").cast("string"))).otherwise(""),
+        F.when(given("evidence_type"), _line("kind", F.col("evidence_type"))).otherwise(""),
+        F.when(given("audio_relation"), _line("relation", F.col("audio_relation"), two(F.coalesce("relation_confidence", F.lit(0.0))))).otherwise(""),
+        F.when(given("text"), _line("text", F.left("text", F.lit(EVIDENCE_CHARS)))).otherwise(""),
+    )
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"])
+    return hits.withColumn("line", line).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.array_join(lines, "").alias("evidence"))
+
+
 def alike_runs(frames: DataFrame, least: float = ALIKE) -> DataFrame:
     """(video_id, run, first_id, last_id, n): frames of a video (video_id, frame_id, embedding) in order, where each is as
     near to the one before as ``least`` demands (above it); runs count from 1, and the first frame of one stands for it."""

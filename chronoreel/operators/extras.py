@@ -80,6 +80,16 @@ def bm25_terms(words: DataFrame, asked: DataFrame, key: str = "doc_id", k1: floa
     return met.agg(F.sum(F.col("w") * share).alias("score"), F.count(F.lit(1)).alias("n_terms"))
 
 
+def flushes(deltas: DataFrame, every_ms: int = 40) -> DataFrame:
+    """(message_id, flush_ms, text, so_far): pieces of messages (message_id, seq, at_ms, delta) as they are shown: what came in
+    each ``every_ms`` is appended at once, in the order of seq, and ``so_far`` is the message's length then."""
+    due = (F.floor(F.col("at_ms") / every_ms) + 1) * every_ms
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))), lambda x: x["delta"])
+    shown = deltas.where(F.coalesce("delta", F.lit("")) != "").groupBy("message_id", due.alias("flush_ms")).agg(F.array_join(pieces, "").alias("text"))
+    order = Window.partitionBy("message_id").orderBy("flush_ms").rowsBetween(Window.unboundedPreceding, 0)
+    return shown.withColumn("so_far", F.sum(F.length("text")).over(order))
+
+
 def recall_at_k(hits: DataFrame, relevant: DataFrame) -> DataFrame:
     """(query_id, recall): the share of each query's relevant chunks among its hits.  Both have query_id, chunk_id."""
     found = relevant.join(hits.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")

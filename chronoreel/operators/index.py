@@ -14,6 +14,16 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], version: s
     return rows.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
 
 
+def update_fields(rows: DataFrame, changes: DataFrame, key: str, at: str, *fields: str) -> DataFrame:
+    """``rows`` with the newest given value of each field: ``changes`` has the key, ``at`` and fields, of which null ones stay as
+    they are; ``at`` becomes the time of the last change that is not older.  Changes of unknown keys are dropped."""
+    last = changes.groupBy(key).agg(F.max(at).alias("__at"), *(F.max(F.when(F.col(f).isNotNull(), F.struct(at, f))).alias(f"__{f}") for f in fields))
+    met = rows.join(last, key, "left")
+    values = [F.when(F.coalesce(F.col(f"__{f}")[at] >= F.col(at), F.lit(False)), F.col(f"__{f}")[f]).otherwise(F.col(f)).alias(f) for f in fields]
+    kept = {f: v for f, v in zip(fields, values, strict=True)} | {at: F.greatest(at, "__at").alias(at)}
+    return met.select(*(kept.get(c, F.col(c)) for c in rows.columns))
+
+
 def merge_recent(opened: DataFrame) -> DataFrame:
     """(path, last_opened, duration_ms): the last opening, and the latest positive duration, 0 if there is none.
     ``opened`` has path, opened_at and duration_ms."""

@@ -113,6 +113,21 @@ def _block_topk(chunks, block, k, min_score, same_video, vector, names, kinds) -
     return chunks.select(*names, vector, *of_video).mapInArrow(work, kinds)
 
 
+def vector_of(collection: Column, frame: Column, text: Column) -> Column:
+    """The vector that a chunk is found by: its picture's in the collection of frames (0), its text's in all others."""
+    return F.when(collection == 0, frame).otherwise(text)
+
+
+def lookup(chunks: DataFrame, wanted: DataFrame, keys: tuple[str, ...] = ("collection", "chunk_id"), **default) -> DataFrame:
+    """A row for each of ``wanted`` (with ``keys``): the chunk of that key, or the defaults given and nulls where there is none.
+    ``found`` tells which."""
+    held = chunks.withColumn("found", F.lit(True))
+    met = wanted.join(held, list(keys), "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    for name, value in default.items():
+        met = met.withColumn(name, F.when(F.col("found"), F.col(name)).otherwise(F.lit(value)))
+    return met
+
+
 def rrf(ranked: DataFrame, *by: str) -> DataFrame:
     """(*by, score): the sum over paths of weight / (60 + rank), rank from 1.  ``ranked`` has weight and rank."""
     return ranked.groupBy(*by).agg(F.round(F.sum(F.col("weight").cast("double") / (RRF_K + F.col("rank"))), 9).alias("score"))
@@ -159,11 +174,17 @@ def prefer_evidence(hits: DataFrame, by: str = "query_id", key: str = "chunk_id"
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.col("score").desc(), key)))
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5, entity_k: int = 5, start_gte: int | None = None, end_lte: int | None = None) -> DataFrame:
+#: Weight of the path that ranks by words.
+SPARSE_WEIGHT = 0.3
+
+
+def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5, entity_k: int = 5, start_gte: int | None = None, end_lte: int | None = None, sparse: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, chunk_type, score, rank): text, visual and entity paths, weighted fusion, overlap removal.
 
     ``questions`` has query_id, query and the columns of an intent; collections are numbered as in COLLECTIONS and
     ``chunk_type`` is a name.  Text and visual paths take 2k hits, the entity path ``entity_k`` without time limits.
+    ``sparse`` is a fourth path: (query_id, chunk_id, score) ranked by words, of which 2k count.  A question without a vector, as
+    where no encoder runs, finds nothing on the paths that need one.
     """
     inside = search_filter(chunks, start_gte=start_gte, end_lte=end_lte)
     about = ("chunk_type", "start_ms", "end_ms")
@@ -175,5 +196,13 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5, entity_k: int
         if path == "text":
             hits = prefer_evidence(hits)
         paths.append(hits.select("query_id", "chunk_id", *about, "weight", "rank", F.lit(path).alias("path"), "score"))
-    fused = rrf(paths[0].unionByName(paths[1]).unionByName(paths[2]), "query_id", "chunk_id", *about)
+    if sparse is not None:
+        best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
+        ranked = sparse.join(questions.select("query_id"), "query_id", "left_semi").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= 2 * k)
+        hits = ranked.join(inside.select("chunk_id", *about), "chunk_id")
+        paths.append(hits.select("query_id", "chunk_id", *about, F.lit(SPARSE_WEIGHT).alias("weight"), "rank", F.lit("sparse").alias("path"), "score"))
+    every = paths[0]
+    for path in paths[1:]:
+        every = every.unionByName(path)
+    fused = rrf(every, "query_id", "chunk_id", *about)
     return remove_overlaps(fused, k=k)

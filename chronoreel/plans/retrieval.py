@@ -220,29 +220,29 @@ kept AS (SELECT query_id, kept[i].k AS chunk_id, CAST(i AS INTEGER) AS rank FROM
 SELECT k.query_id, k.chunk_id, c.chunk_type, c.score, k.rank FROM kept k JOIN cand c USING (query_id, chunk_id)"""
 
 
-def _asked(spark, sf_dir):
+def _asked_messages(spark, sf_dir):
     """Every message as a question; all but each sixteenth end in one of the stated ones, as no cue occurs in the texts."""
     rows = X.messages(spark, sf_dir)
     n = (F.col("conversation_id") * 7 + F.col("seq")) % (len(QUESTIONS) + 1)
     return rows.select("conversation_id", "seq", F.concat_ws(" ", "content", F.get(F.array(*map(F.lit, QUESTIONS)), n.cast("int"))).alias("question"))
 
 
-_ASKED_SQL = f"""{X.MESSAGES}, stated AS (SELECT [{", ".join("'" + q.replace("'", "''") + "'" for q in QUESTIONS)}] AS q),
+_ASKED_MESSAGES_SQL = f"""{X.MESSAGES}, stated AS (SELECT [{", ".join("'" + q.replace("'", "''") + "'" for q in QUESTIONS)}] AS q),
 asked AS (SELECT conversation_id, seq, concat_ws(' ', content, q[(conversation_id * 7 + seq) % {len(QUESTIONS) + 1} + 1]) AS question FROM messages, stated)"""
 
 
 def message_class(spark, sf_dir):
-    return _asked(spark, sf_dir).select("conversation_id", "seq", Q.question_class(F.col("question")).alias("question_class"))
+    return _asked_messages(spark, sf_dir).select("conversation_id", "seq", Q.question_class(F.col("question")).alias("question_class"))
 
 
-MESSAGE_CLASS_SQL = f"WITH {_ASKED_SQL} SELECT conversation_id, seq, CASE " + " ".join(f"WHEN regexp_matches(question, '{p}') THEN '{n}'" for n, p in Q.QUESTION_RULES) + " ELSE 'Unknown' END AS question_class FROM asked"
+MESSAGE_CLASS_SQL = f"WITH {_ASKED_MESSAGES_SQL} SELECT conversation_id, seq, CASE " + " ".join(f"WHEN regexp_matches(question, '{p}') THEN '{n}'" for n, p in Q.QUESTION_RULES) + " ELSE 'Unknown' END AS question_class FROM asked"
 
 
 def message_intent(spark, sf_dir):
-    return _asked(spark, sf_dir).select("conversation_id", "seq", *(c.alias(n) for n, c in Q.intent(F.col("question")).items()))
+    return _asked_messages(spark, sf_dir).select("conversation_id", "seq", *(c.alias(n) for n, c in Q.intent(F.col("question")).items()))
 
 
-MESSAGE_INTENT_SQL = f"""WITH {_ASKED_SQL}, questions AS (SELECT conversation_id * 1000 + seq AS qno, question FROM asked),
+MESSAGE_INTENT_SQL = f"""WITH {_ASKED_MESSAGES_SQL}, questions AS (SELECT conversation_id * 1000 + seq AS qno, question FROM asked),
 {_intent_sql().removeprefix(_questions_sql()).lstrip(", ")}
 SELECT qno // 1000 AS conversation_id, qno % 1000 AS seq, needs_text, needs_visual, has_entity, w_text, w_visual, w_entity, prefers_visual, prefers_audio, prefers_fused FROM intents"""
 

@@ -31,6 +31,12 @@ def chunk_type_ordinal(name: Column) -> Column:
     return F.coalesce(F.greatest(position - 1, F.lit(0)), F.lit(0)).cast("int")
 
 
+def from_label(label: Column, names: tuple[str, ...], unknown: str = "unknown") -> Column:
+    """The name that a label means, whatever its case and the space around it; ``unknown`` for any other, null too."""
+    plain = F.lower(F.trim(F.regexp_replace(F.coalesce(label, F.lit("")), r"^\s+|\s+$", "")))
+    return F.coalesce(F.get(F.filter(F.array(*map(F.lit, names)), lambda n: F.lower(n) == plain), 0), F.lit(unknown))
+
+
 def valid_chunk(chunk_id: Column, start: Column, end: Column) -> Column:
     return F.coalesce((chunk_id != "") & (end >= start), F.lit(False))
 
