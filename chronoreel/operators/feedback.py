@@ -20,12 +20,24 @@ COVERAGE = 0.2
 WITHIN_MS = 3000
 
 
+#: Rows that may be broadcast; beyond, a shuffle joins them.
+BROADCAST_ROWS = 500_000
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """Written in the shared folder and read back, so that later steps don't make it again."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def document_words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, words), written once, as every ranking needs all documents' keywords."""
-    path = f"{shared_dir(docs.sparkSession)}/words-{uuid.uuid4().hex}"
-    made = docs.select(key, keywords(F.col(text)).alias("words"))
-    made.write.parquet(path)
-    return docs.sparkSession.read.schema(made.schema).parquet(path)
+    return _kept(docs.select(key, keywords(F.col(text)).alias("words")), "words")
 
 
 def own_terms(queries: DataFrame) -> DataFrame:
@@ -47,12 +59,12 @@ def rewrite(words: DataFrame, asked: DataFrame, key: str = "doc_id", hits: int =
     term.  A question that finds nothing keeps its terms.
     """
     first = bm25_terms(words, asked, key).select("query_id", key, F.round("score", 9).alias("score"))
-    top = _best(first, hits, F.col("score").desc(), key)
+    top = _kept(_best(first, hits, F.col("score").desc(), key), "first-hits")
     total = top.groupBy("query_id").agg(F.sum("score").alias("total"))
-    told = top.join(total, "query_id").join(words, key).select("query_id", key, (F.col("score") / F.col("total")).alias("s"), F.size("words").alias("length"), F.explode("words").alias("term"))
-    told = told.groupBy("query_id", key, "s", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    told = words.join(_few(top.join(total, "query_id")), key).select("query_id", key, (F.col("score") / F.col("total")).alias("s"), F.size("words").alias("length"), F.explode("words").alias("term"))
+    told = _kept(told.groupBy("query_id", key, "s", "length", "term").agg(F.count(F.lit(1)).alias("tf")), "told")
     candidates = told.select("term").distinct()
-    df = words.select(F.explode(F.array_distinct("words")).alias("term")).join(candidates, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = words.select(F.explode(F.array_distinct("words")).alias("term")).join(_few(candidates), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = words.agg(F.count(F.lit(1)).alias("n"))
     rare = df.crossJoin(F.broadcast(n)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     worth = told.join(rare, "term").groupBy("query_id", "term").agg(F.round(F.sum(F.col("s") * F.col("tf") / F.col("length") * F.col("idf")), 9).alias("worth"))

@@ -15,7 +15,7 @@ from chronoreel.sources import sse
 from chronoreel.streaming import index as LI
 
 THRESHOLD = 60.0
-ARRIVALS = 5
+ARRIVALS = 3
 #: Videos are users by their last digits, so that each has scenes enough; gaps and rings are of days, as the events are.
 VIDEOS, KEEP_MS, IDLE_MS = 50, 6 * 3_600_000, 3 * 3_600_000
 
@@ -37,32 +37,35 @@ def live_frames(spark, sf_dir):
     return rows.select("video_id", F.timestamp_millis("ts_ms").alias("ts"), "ts_ms", "event_id", "signal")
 
 
-def arrivals(rows, folder):
-    """Writes frames as the batches in which they arrive: slots of event time, of which a third of the frames come a batch
-    late, in the order of a hash.  One last frame of no video lets the watermark pass all others."""
+def arrivals(rows):
+    """(frames with their arrival, the arrivals, the delay in ms): slots of event time, of which a third of the frames come one
+    later.  One last frame of no video lets the watermark pass all others."""
     span = rows.agg(F.min("ts_ms").alias("a"), F.max("ts_ms").alias("z")).first()
     if span["a"] is None:
-        return 1
+        return rows.withColumn("arrival", F.lit(0)), [], 1
     width = (span["z"] - span["a"]) // ARRIVALS + 1
     slot = F.floor((F.col("ts_ms") - span["a"]) / width)
     late = F.pmod(F.xxhash64("event_id"), F.lit(3)) == 0
     clock = rows.sparkSession.createDataFrame([(-1, span["z"] + 10 * width + 10 * IDLE_MS, -1, 0.0)], "video_id long, ts_ms long, event_id long, signal double")
-    clock = clock.select("video_id", F.timestamp_millis("ts_ms").alias("ts"), "ts_ms", "event_id", "signal")
-    dealt = rows.withColumn("slot", (slot + late.cast("int")).cast("int")).unionByName(clock.withColumn("slot", F.lit(ARRIVALS + 2)))
-    for i in [*range(ARRIVALS + 1), ARRIVALS + 2]:
-        dealt.where(F.col("slot") == i).drop("slot").repartition(2, F.xxhash64("event_id")).sortWithinPartitions(F.xxhash64("event_id")).write.mode("append").parquet(f"{folder}/in")
-    return 2 * width
+    clock = clock.select("video_id", F.timestamp_millis("ts_ms").alias("ts"), "ts_ms", "event_id", "signal").withColumn("arrival", F.lit(ARRIVALS + 1))
+    return rows.withColumn("arrival", (slot + late.cast("int")).cast("int")).unionByName(clock), list(range(ARRIVALS + 2)), 2 * width
 
 
 def live_scenes_shuffled(spark, sf_dir):
-    """Scenes of frames that arrive out of order, as the live index closes them."""
+    """Scenes of frames that arrive out of order, as the live index closes them; the stream stops after each arrival and goes on
+    from its checkpoint."""
     folder, rows = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}", live_frames(spark, sf_dir)
-    delay = arrivals(rows, folder)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    dealt, order, delay = arrivals(rows)
     with keyed_state(spark):
-        found = LI.live_index(stream, THRESHOLD, f"{delay} milliseconds", KEEP_MS, IDLE_MS)
-        query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
+        for i in order:
+            mixed = dealt.where(F.col("arrival") == i).drop("arrival").sortWithinPartitions(F.xxhash64("event_id"))
+            mixed.write.mode("append").parquet(f"{folder}/in")
+            stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+            found = LI.live_index(stream, THRESHOLD, f"{delay} milliseconds", KEEP_MS, IDLE_MS)
+            query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
+    if not order:
+        return spark.createDataFrame([], LI.SCENES)
     return spark.read.schema(LI.SCENES).parquet(f"{folder}/out").where("video_id >= 0")
 
 

@@ -59,27 +59,40 @@ def live_scenes(frames: DataFrame, threshold: float, idle_ms: int | None = None)
     )
 
 
-def assemble_calls(deltas: DataFrame) -> DataFrame:
+def assemble_calls(deltas: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """(message_id, slot, id, name, arguments, finish) so far, given out anew whenever a piece arrives (update mode).
-    Pieces of a call come in order of seq across batches."""
+    Pieces of a call come in order of seq across batches.  With ``idle_ms``, a call that nothing came for
+    in that time is forgotten; such a stream looks for silent calls all the time, so it has to be stopped."""
+    columns = ["message_id", "slot", "id", "name", "arguments", "finish"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
         ident, name, arguments, finish = state.get if state.exists else (None, None, "", None)
         for r in pd.concat(list(batches)).sort_values("seq").itertuples():
             ident, name, finish = r.id or ident, r.name or name, r.finish or finish
             arguments += r.arguments or ""
         state.update((ident, name, arguments, finish))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"message_id": [key[0]], "slot": [key[1]], "id": [ident], "name": [name], "arguments": [arguments], "finish": [finish]})
 
     shape = "id string, name string, arguments string, finish string"
-    return deltas.groupBy("message_id", "slot").applyInPandasWithState(step, f"message_id long, slot int, {shape}", shape, "update", GroupStateTimeout.NoTimeout)
+    return deltas.groupBy("message_id", "slot").applyInPandasWithState(step, f"message_id long, slot int, {shape}", shape, "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
-def frame_events(raw: DataFrame) -> DataFrame:
-    """(stream_id, n, payload) of server-sent events as their pieces arrive; state is the unfinished rest of a stream.
-    ``raw`` has stream_id, seq and data."""
+def frame_events(raw: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """(stream_id, n, payload) of server-sent events as their pieces arrive; state is the unfinished rest of a stream, of a finished
+    one only that it is.  ``raw`` has stream_id, seq and data.  With
+    ``idle_ms``, a stream that nothing came for in that time is forgotten, as in ``assemble_calls``."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=["stream_id", "n", "payload"])
+            return
         rest, n, done = state.get if state.exists else ("", 0, False)
         out = []
         for piece in pd.concat(list(batches)).sort_values("seq")["data"]:
@@ -93,7 +106,9 @@ def frame_events(raw: DataFrame) -> DataFrame:
                 else:
                     out.append((key[0], n, payload))
                     n += 1
-        state.update((rest, n, done))
+        state.update(("" if done else rest, n, done))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["stream_id", "n", "payload"])
 
-    return raw.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, n long, payload string", "rest string, n long, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return raw.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, n long, payload string", "rest string, n long, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)

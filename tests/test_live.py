@@ -64,5 +64,4 @@ def test_ring_is_bounded(run):
 def test_no_frames(spark, tmp_path):
     empty = spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
     empty.write.parquet(str(tmp_path / "events.parquet"))
-    rows = streams.live_frames(spark, str(tmp_path))
-    assert streams.arrivals(rows, str(tmp_path)) == 1 and rows.count() == 0
+    assert streams.live_scenes_shuffled(spark, str(tmp_path)).collect() == []

@@ -1,5 +1,7 @@
 """Batch and streaming forms give the same rows; sources and tools."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,25 @@ def test_points_on_boundaries(spark):
     points = spark.createDataFrame([(1, 0, 0), (1, 1, 99), (1, 2, 100), (1, 3, 160), (1, 4, 89_999_999), (1, 5, 90_000_000), (2, 6, 5)], "video_id int, point_id int, ts_ms long")
     got = {r.point_id: r.scene_id for r in segment.scene_at(points, scenes).collect()}
     assert got == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2, 5: -1, 6: -1}
+
+
+def test_silent_streams_leave_nothing(spark, tmp_path):
+    """With a time limit, state of calls and of event streams goes once they have been silent for long."""
+    pieces, raw = "message_id long, slot int, seq long, id string, name string, arguments string, finish string", "stream_id long, seq long, data string"
+    for operator, rows, schema, mode in (
+        (live.assemble_calls, [(i, 0, 0, "c", "n", "{}", None) for i in range(3)], pieces, "update"),
+        (live.frame_events, [(i, 0, f"data: {i}\n\nda") for i in range(3)], raw, "append"),
+    ):
+        source = str(tmp_path / operator.__name__)
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
+        stream = operator(spark.readStream.schema(schema).parquet(source), idle_ms=1)
+        query = stream.writeStream.format("noop").outputMode(mode).option("checkpointLocation", f"{source}-cp").trigger(processingTime="0 seconds").start()
+        try:
+            until, left = time.time() + 60, None
+            while time.time() < until and left != 0:
+                time.sleep(0.5)
+                seen = [p.stateOperators[0] for p in query.recentProgress if p.stateOperators]
+                left = seen[-1].numRowsTotal if any(p.numRowsUpdated for p in seen) else None
+        finally:
+            query.stop()
+        assert left == 0
