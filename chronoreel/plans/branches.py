@@ -231,7 +231,34 @@ fused AS (SELECT query_id, chunk_id, round(sum(w / (60 + r2)), 9) AS score FROM
 FOUR_PATHS_SQL = R.RETRIEVE_SQL.replace(_FUSED, _MORE).replace("FROM asked, chunks WHERE (collection", "FROM asked, chunks WHERE query_id // 20 % 3 > 0 AND ((collection").replace("(collection = 2 AND has_entity))", "(collection = 2 AND has_entity)))")
 
 
+def _profile_chunks(spark, sf_dir):
+    """Chunks of frames and texts, and one of the profile of each entity: what the third collection has of one type in a
+    video.  A profile's vector is that of its first description."""
+    chunks = X.chunks(spark, sf_dir).withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    name = F.concat(F.lit("thing_"), F.col("chunk_type"))
+    seen = F.array_sort(F.collect_list(F.struct(F.col("start_ms").alias("timestamp_ms"), "chunk_id")))
+    first = F.min_by("embedding", F.col("chunk_id").cast("long"))
+    profiles = chunks.where("collection = 2").groupBy("video_id", name.alias("entity_id")).agg(seen.alias("appearances"), first.alias("embedding"))
+    profiles = profiles.withColumn("description", F.concat(F.lit("a "), "entity_id")).withColumn("aliases", F.array().cast("array<string>"))
+    made = V.entity_chunks(profiles).drop("collection", "text").join(profiles.select("video_id", "entity_id", "embedding"), ["video_id", "entity_id"])
+    made = made.select("chunk_id", "video_id", F.lit(2).alias("collection"), "start_ms", "end_ms", F.lit(2).alias("chunk_type"), "embedding")
+    return chunks.where("collection < 2").unionByName(made)
+
+
+def entity_path_retrieve(spark, sf_dir):
+    """The three paths, of which the one by entities finds profiles by their descriptions."""
+    chunks = _profile_chunks(spark, sf_dir).withColumn("chunk_type", chunk_type_name(F.col("chunk_type")))
+    return search.retrieve(chunks, R._asked(spark, sf_dir), 5)
+
+
+_PROFILED = f"""{X.CHUNKS.replace("chunks AS (", "plain AS (", 1)},
+chunks AS (SELECT CAST(chunk_id AS VARCHAR) AS chunk_id, video_id, collection, start_ms, end_ms, chunk_type, embedding FROM plain WHERE collection < 2
+  UNION ALL SELECT md5('entity_profiles|' || video_id || '|thing_' || chunk_type), video_id, 2, min(start_ms), max(start_ms), 2, arg_min(embedding, chunk_id) FROM plain WHERE collection = 2 GROUP BY video_id, chunk_type)"""
+ENTITY_PATH_SQL = R.RETRIEVE_SQL.replace(X.CHUNKS, _PROFILED)
+
+
 QUERIES = {
+    "entity_path_retrieve": (entity_path_retrieve, ENTITY_PATH_SQL),
     "qa_cache_hits": (qa_cache_hits, QA_HITS_SQL),
     "alike_near": (alike_near, ALIKE_NEAR_SQL),
     "keywords_mixed": (keywords_mixed, KEYWORDS_MIXED_SQL),

@@ -57,3 +57,9 @@ def test_words_alone_find_something(spark, near_dir):
 
 def test_fused_sql_has_the_path():
     assert "UNION ALL SELECT query_id, chunk_id, 0.3" in branches.FOUR_PATHS_SQL and "% 3 > 0 AND ((collection" in branches.FOUR_PATHS_SQL
+
+
+def test_profiles_are_found(spark, near_dir):
+    """The path by entities brings chunks of profiles, whose ids are hashes."""
+    rows = QUERIES["entity_path_retrieve"](spark, near_dir).collect()
+    assert any(len(r.chunk_id) == 32 for r in rows) and any(len(r.chunk_id) < 32 for r in rows)
