@@ -231,6 +231,9 @@ fused AS (SELECT query_id, chunk_id, round(sum(w / (60 + r2)), 9) AS score FROM
 FOUR_PATHS_SQL = R.RETRIEVE_SQL.replace(_FUSED, _MORE).replace("FROM asked, chunks WHERE (collection", "FROM asked, chunks WHERE query_id // 20 % 3 > 0 AND ((collection").replace("(collection = 2 AND has_entity))", "(collection = 2 AND has_entity)))")
 
 
+MANY = 60
+
+
 def _profile_chunks(spark, sf_dir):
     """Chunks of frames and texts, and one of the profile of each entity: what the third collection has of one type in a
     video.  A profile's vector is that of its first description."""
@@ -246,15 +249,16 @@ def _profile_chunks(spark, sf_dir):
 
 
 def entity_path_retrieve(spark, sf_dir):
-    """The three paths, of which the one by entities finds profiles by their descriptions."""
+    """The three paths, of which the one by entities finds profiles by their descriptions.  That path weighs least, so its hits
+    come behind many others."""
     chunks = _profile_chunks(spark, sf_dir).withColumn("chunk_type", chunk_type_name(F.col("chunk_type")))
-    return search.retrieve(chunks, R._asked(spark, sf_dir), 5)
+    return search.retrieve(chunks, R._asked(spark, sf_dir), MANY)
 
 
 _PROFILED = f"""{X.CHUNKS.replace("chunks AS (", "plain AS (", 1)},
 chunks AS (SELECT CAST(chunk_id AS VARCHAR) AS chunk_id, video_id, collection, start_ms, end_ms, chunk_type, embedding FROM plain WHERE collection < 2
   UNION ALL SELECT md5('entity_profiles|' || video_id || '|thing_' || chunk_type), video_id, 2, min(start_ms), max(start_ms), 2, arg_min(embedding, chunk_id) FROM plain WHERE collection = 2 GROUP BY video_id, chunk_type)"""
-ENTITY_PATH_SQL = R.RETRIEVE_SQL.replace(X.CHUNKS, _PROFILED)
+ENTITY_PATH_SQL = R.RETRIEVE_SQL.replace(X.CHUNKS, _PROFILED).replace("WHEN 2 THEN 5 ELSE 10 END", f"WHEN 2 THEN 5 ELSE {2 * MANY} END").replace("least(5, len(kept))", f"least({MANY}, len(kept))")
 
 
 QUERIES = {
