@@ -135,14 +135,11 @@ class WordTokenizer:
         if self.held > self.cache_bytes:
             self.forget(KEPT_WORDS)
         split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") if t else [] for t in texts]
-        # each distinct word is looked for once among all; words are then found among the few of this call
-        distinct, known = list(set().union(*split)), self.known
-        here = dict(zip(distinct, map(known.get, distinct), strict=True))
-        missing = [w for w, ids in here.items() if ids is None]
+        known = self.known
+        missing = [w for w in set().union(*split) if w not in known]
         if missing:
             self._resolve(missing)
-            here.update(zip(missing, map(known.__getitem__, missing), strict=True))
-        out = [b"".join(map(here.__getitem__, words)) for words in split]
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
         for word in missing:
             if len(word) > LONGEST_CACHED:
                 del known[word]

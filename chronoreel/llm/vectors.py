@@ -53,9 +53,9 @@ def units(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v, np.sqrt(np.einsum("ij,ij->i", v, v))
 
 
-def rows_of(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(id, label, length, digest, v): ``digest`` names the vector and is null where nothing can be linked."""
-    wide = isinstance(df.schema[vector].dataType.elementType, T.FloatType) is False
+def rows_of(df: DataFrame, key: str, vector: str, label: str) -> tuple[DataFrame, type]:
+    """(id, label, length, digest, v) and v's kind of number: ``digest`` names the vector and is null where nothing can be linked."""
+    wide = not isinstance(df.schema[vector].dataType.elementType, T.FloatType)
     zero = F.forall(vector, lambda x: x == 0)
     good = usable(F.col(vector)) & F.col(label).isNotNull() & ~F.coalesce(zero, F.lit(True))
     cast = F.col(vector).cast("array<double>" if wide else "array<float>")
