@@ -105,13 +105,19 @@ def simplified(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """The number with so many decimals, rounded by its exact value and halves to even, as C's printf does; Java's rounds the
+    shortest decimal form, halves up."""
+    return F.call_function("format_number", value.cast("double"), F.lit(f"{0:.{digits}f}"))
+
+
 def human_size(size: Column) -> Column:
     """1024-based units up to TB, whole bytes, one decimal beyond."""
     v = size.cast("double")
-    out = F.format_string("%.1f TB", v / 1024**4)
+    out = F.concat(fixed(v / 1024**4, 1), F.lit(" TB"))
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(v < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", v / 1024**power)).otherwise(out)
-    return F.when(v < 1024, F.format_string("%.0f B", v)).otherwise(out)
+        out = F.when(v < 1024 ** (power + 1), F.concat(fixed(v / 1024**power, 1), F.lit(f" {unit}"))).otherwise(out)
+    return F.when(v < 1024, F.concat(fixed(v, 0), F.lit(" B"))).otherwise(out)
 
 
 def level_label(level: Column) -> Column:
