@@ -189,7 +189,7 @@ def transcript_range(segments: DataFrame, start_ms: int, end_ms: int) -> DataFra
 
 def display_text(relation: Column, visual: Column, audio: Column, fused: Column, confidence: Column, has_audio: Column) -> Column:
     """At most 240 characters for a timeline card; unrelated sound is shown apart from the picture."""
-    tag = F.concat(F.lit("\n["), relation, F.lit(" · "), F.format_string("%.2f", confidence), F.lit("]"))
+    tag = F.concat(F.lit("\n["), relation, F.lit(" · "), F.coalesce(X.fixed(confidence, 2), F.lit("null")), F.lit("]"))
     apart = F.concat(F.lit("visual: "), visual, F.lit("\naudio: "), audio, tag)
     joined = F.concat(fused, F.when(has_audio, tag).otherwise(""))
     return F.left(F.when((relation == "independent") & (audio != ""), apart).otherwise(joined), F.lit(240))

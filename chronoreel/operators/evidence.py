@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoreel.functions import sampling as S
 from chronoreel.functions.questions import is_player_command
-from chronoreel.functions.text import time_label
+from chronoreel.functions.text import fixed, time_label
 from chronoreel.functions.vectors import cosine
 from chronoreel.operators.align import CELL_MS
 from chronoreel.operators.index import cacheable, qa_chunk
@@ -155,7 +155,7 @@ def evidence_text(hits: DataFrame, by: str = "query_id") -> DataFrame:
     """(by, n, evidence): a query's hits in rank order as numbered text.  ``hits`` has rank, hit_path, score, start_ms, end_ms and,
     each null or empty where there is none, scene_id, evidence_type, audio_relation, relation_confidence and text, of which the
     first EVIDENCE_CHARS are shown.  Hits are a query's few best."""
-    two = lambda x: F.format_string("%.2f", x.cast("double"))
+    two = lambda x: fixed(x, 2)
     place = F.row_number().over(Window.partitionBy(by).orderBy("rank"))
     path = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in PATH_LABELS.items() for x in pair)), F.col("hit_path")), F.col("hit_path"))
     given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
