@@ -13,10 +13,23 @@ STOP_WORDS = (
 RUNS = r"([\x{4E00}-\x{9FFF}]+|[[\p{L}\p{N}]&&[^\x{4E00}-\x{9FFF}]]+)"
 
 
+#: Ideographs; letters whose lower case has another length or hangs on what stands around; beyond the basic plane.
+MIXED = r"[\x{4E00}-\x{9FFF}\x{130}\x{3A3}\x{10000}-\x{10FFFF}]"
+#: A word of two or more letters and digits of a text without those, in lower case, that is no stop word.
+PLAIN = r"[\p{L}\p{N}]{2,}+(?<!(?<![\p{L}\p{N}])(?:" + "|".join(w for w in STOP_WORDS if w.isascii()) + "))"
+
+
 def keywords(text: Column) -> Column:
     """Character pairs of CJK runs (a single character stands alone) and other words of two or more letters,
-    lower-cased, without stop words; in text order, repeats kept."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RUNS), F.lit(1))
+    lower-cased, without stop words; in text order, repeats kept.  A text without ideographs is one pass of a pattern, without
+    a function a word."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.when(whole.rlike(MIXED), mixed_keywords(whole)).otherwise(F.regexp_extract_all(F.lower(whole), F.lit(PLAIN), F.lit(0)))
+
+
+def mixed_keywords(text: Column) -> Column:
+    """Keywords of any text, run by run."""
+    runs = F.regexp_extract_all(text, F.lit(RUNS), F.lit(1))
 
     def grams(run: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2)))

@@ -26,8 +26,10 @@ def keyword_overlap_all(spark, sf_dir):
     """Every document against the benchmark item of its number, over as many numbers as the items have."""
     docs, items = X.table(spark, sf_dir, "documents"), X.table(spark, sf_dir, "benchmark")
     numbers = F.broadcast(items.agg((F.max("item_id") + 1).alias("numbers")))
-    both = docs.select("doc_id", F.col("text").alias("t")).crossJoin(numbers).withColumn("item_id", F.pmod("doc_id", "numbers")).join(items, "item_id", "left")
-    a, b = TX.keywords(F.col("t")), TX.keywords(F.col("text"))
+    held = items.select("item_id", F.array_distinct(TX.keywords(F.col("text"))).alias("b"))
+    both = docs.select("doc_id", F.array_distinct(TX.keywords(F.col("text"))).alias("a")).crossJoin(numbers).withColumn("item_id", F.pmod("doc_id", "numbers")).join(held, "item_id", "left")
+    # a document without an item has no words in common
+    a, b = F.col("a"), F.coalesce("b", F.array().cast("array<string>"))
     return both.select("doc_id", F.round(TX.keyword_overlap(a, b), 6).alias("overlap"), F.array_join(TX.shared_keywords(a, b), ",").alias("shared"))
 
 
