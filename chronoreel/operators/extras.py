@@ -9,9 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoreel.functions.text import keywords
+from chronoreel.session import kept
 
 #: Asked terms that are broadcast; more are joined.
 ASKED_TERMS = 200_000
+#: Rows that may be broadcast; beyond, a shuffle joins them.
+BROADCAST_ROWS = 500_000
+#: Matches of a term of a document with one of a query that a task adds up.
+TASK_MATCHES = 4_000_000
 
 
 def merge_adjacent(rows: DataFrame, by: list[str], gap_ms: int = 3000, *order: str) -> DataFrame:
@@ -49,16 +54,32 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     """(query_id, key, score) of documents that share a keyword with a query (query_id, query).  Keys are unique.
 
     A document's keywords are found once.  Asked terms (broadcast up to ASKED_TERMS) are picked before anything is
-    shuffled, so only their postings move, and one row a document that counts it and its length.
+    shuffled, so only their postings move, and one row a document that counts it and its length.  Scores of a document are
+    added up where its postings meet.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(keywords(F.col("query")))).alias("term"))
     words = docs.select(key, keywords(F.col(text)).alias("words"))
     return bm25_terms(words, asked, key, k1, b).select("query_id", key, "score")
 
 
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, key, score): the ``k`` best documents of each query, by scores of nine digits, then key.  Queries with one text are
+    asked once."""
+    known = queries.where("query is not null")
+    first = known.groupBy("query").agg(F.min("query_id").alias("__first"))
+    scored = bm25(docs, first.select(F.col("__first").alias("query_id"), "query"), key, text).withColumn("score", F.round("score", 9))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
+    hits = scored.withColumn("__rank", F.row_number().over(best)).where(F.col("__rank") <= k).select(F.col("query_id").alias("__first"), key, "score")
+    return known.join(first, "query").select("query_id", "__first").join(hits, "__first").select("query_id", key, "score")
+
+
 def bm25_terms(words: DataFrame, asked: DataFrame, key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, key, score, n_terms) of documents (key, words: all their keywords) for asked terms (query_id, term and, if
-    given, weight): n_terms of a query's terms are in the document."""
+    given, weight and own): n_terms of a query's terms (of its own ones) are in the document.
+
+    Postings of asked terms are written once, with a row a document.  Then a document's postings meet in one task with the
+    broadcast terms, so its scores are added up where they arise and don't move.
+    """
     wanted = asked.select("term").distinct()
     words = words.withColumn("length", F.size("words"))
     if wanted.limit(ASKED_TERMS + 1).count() <= ASKED_TERMS:
@@ -68,16 +89,21 @@ def bm25_terms(words: DataFrame, asked: DataFrame, key: str = "doc_id", k1: floa
     else:
         found = words.select(key, "length", F.explode("words").alias("term")).join(wanted, "term", "left_semi")
         listed = found.unionByName(words.select(F.lit(None).cast("string").alias("term"), key, "length"))
-    counted = listed.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    total = counted.where("term is null").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean"))
-    held = counted.where("term is not null")
-    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = held.where(F.col(key).isNotNull()).join(df, "term").crossJoin(F.broadcast(total))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    counted = kept(listed.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    total = counted.where("term is null").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean")).first()
+    df = counted.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = kept(asked.join(df, "term"), "terms")
+    size = terms.agg(F.count(F.lit(1)).alias("rows"), F.sum("df").alias("matches")).first()
+    held = counted.where(F.col("term").isNotNull() & F.col(key).isNotNull())
+    if size["rows"] <= BROADCAST_ROWS:
+        held, terms = held.repartition(1 + (size["matches"] or 0) // TASK_MATCHES, key), F.broadcast(terms)
+    n, mean = F.lit(total["n"] or 0), F.lit(total["mean"] or 1.0)
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
     share = F.col("weight") if "weight" in asked.columns else F.lit(1.0)
-    met = rows.withColumn("w", weight).join(asked, "term").groupBy("query_id", key)
-    return met.agg(F.sum(F.col("w") * share).alias("score"), F.count(F.lit(1)).alias("n_terms"))
+    own = F.count(F.when(F.col("own"), 1)) if "own" in asked.columns else F.count(F.lit(1))
+    met = held.join(terms, "term").withColumn("w", weight).groupBy("query_id", key)
+    return met.agg(F.sum(F.col("w") * share).alias("score"), own.alias("n_terms"))
 
 
 def flushes(deltas: DataFrame, every_ms: int = 40) -> DataFrame:

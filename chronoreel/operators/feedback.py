@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoreel.functions.text import keywords
-from chronoreel.operators.extras import bm25_terms
-from chronoreel.session import shared_dir
+from chronoreel.operators.extras import BROADCAST_ROWS, bm25_terms
+from chronoreel.session import kept
 
 #: Documents that a question is rewritten from, terms that it gets, and the weight of the best of them; its own weigh 1.
 HITS, TERMS, SHARE = 10, 10, 0.5
@@ -20,24 +19,13 @@ COVERAGE = 0.2
 WITHIN_MS = 3000
 
 
-#: Rows that may be broadcast; beyond, a shuffle joins them.
-BROADCAST_ROWS = 500_000
-
-
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Written in the shared folder and read back, so that later steps don't make it again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def document_words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, words), written once, as every ranking needs all documents' keywords."""
-    return _kept(docs.select(key, keywords(F.col(text)).alias("words")), "words")
+    return kept(docs.select(key, keywords(F.col(text)).alias("words")), "words")
 
 
 def own_terms(queries: DataFrame) -> DataFrame:
@@ -59,10 +47,10 @@ def rewrite(words: DataFrame, asked: DataFrame, key: str = "doc_id", hits: int =
     term.  A question that finds nothing keeps its terms.
     """
     first = bm25_terms(words, asked, key).select("query_id", key, F.round("score", 9).alias("score"))
-    top = _kept(_best(first, hits, F.col("score").desc(), key), "first-hits")
+    top = kept(_best(first, hits, F.col("score").desc(), key), "first-hits")
     total = top.groupBy("query_id").agg(F.sum("score").alias("total"))
     told = words.join(_few(top.join(total, "query_id")), key).select("query_id", key, (F.col("score") / F.col("total")).alias("s"), F.size("words").alias("length"), F.explode("words").alias("term"))
-    told = _kept(told.groupBy("query_id", key, "s", "length", "term").agg(F.count(F.lit(1)).alias("tf")), "told")
+    told = kept(told.groupBy("query_id", key, "s", "length", "term").agg(F.count(F.lit(1)).alias("tf")), "told")
     candidates = told.select("term").distinct()
     df = words.select(F.explode(F.array_distinct("words")).alias("term")).join(_few(candidates), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = words.agg(F.count(F.lit(1)).alias("n"))
@@ -77,13 +65,13 @@ def rewrite(words: DataFrame, asked: DataFrame, key: str = "doc_id", hits: int =
 def rerank(words: DataFrame, asked: DataFrame, k: int, key: str = "doc_id", coverage: float = COVERAGE) -> DataFrame:
     """(query_id, key, score, rank): the ``k`` best documents for rewritten questions (``asked`` as from ``rewrite``): their score
     over the question's best one, and the share of the question's own terms that they hold."""
-    found = bm25_terms(words, asked, key).select("query_id", key, F.round("score", 9).alias("raw"))
-    own = bm25_terms(words, asked.where("own").select("query_id", "term"), key).select("query_id", key, "n_terms")
+    asked = kept(asked, "asked")
+    found = bm25_terms(words, asked, key).select("query_id", key, F.round("score", 9).alias("raw"), "n_terms")
     n = asked.where("own").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_own"))
-    most = F.max("raw").over(Window.partitionBy("query_id"))
-    met = found.join(own, ["query_id", key], "left").join(n, "query_id")
-    score = (1 - coverage) * F.col("raw") / most + coverage * F.coalesce("n_terms", F.lit(0)) / F.col("n_own")
-    return _best(met.select("query_id", key, F.round(score, 9).alias("score")), k, F.col("score").desc(), key)
+    # a sum a question, so that only its best rows move, not all that it meets
+    most = kept(found.groupBy("query_id").agg(F.max("raw").alias("most")).join(n, "query_id"), "most")
+    score = (1 - coverage) * F.col("raw") / F.col("most") + coverage * F.col("n_terms") / F.col("n_own")
+    return _best(found.join(_few(most), "query_id").select("query_id", key, F.round(score, 9).alias("score")), k, F.col("score").desc(), key)
 
 
 def assignment(costs: list[list[int]]) -> list[int]:
