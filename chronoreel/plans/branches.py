@@ -198,6 +198,10 @@ FLUSH_SQL = f"""WITH {X.MESSAGES}, f AS (SELECT conversation_id AS message_id, (
 SELECT message_id, flush_ms, md5(t) AS text_md5, CAST(sum(length(t)) OVER (PARTITION BY message_id ORDER BY flush_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS so_far FROM f"""
 
 
+#: Hits that four_path_retrieve returns; a path counts twice as many.
+PATHS_K = 5
+
+
 def _word_path(spark, sf_dir):
     """Benchmark items asked of the texts of the text collection's chunks (the documents of their numbers)."""
     chunks = X.chunks(spark, sf_dir).where("collection = 1").select("chunk_id")
@@ -205,7 +209,7 @@ def _word_path(spark, sf_dir):
     items = X.table(spark, sf_dir, "benchmark")
     asked = X.query_vectors(spark, sf_dir).select("query_id").crossJoin(F.broadcast(items.agg((F.max("item_id") + 1).alias("numbers"))))
     asked = asked.join(items, F.col("item_id") == F.floor(F.col("query_id") / 20) % F.col("numbers")).select("query_id", F.col("text").alias("query"))
-    return X2.bm25(docs, asked, "chunk_id").withColumn("score", F.round("score", 9))
+    return X2.bm25_topk(docs, asked, 2 * PATHS_K, "chunk_id")
 
 
 def four_path_retrieve(spark, sf_dir):
@@ -215,7 +219,7 @@ def four_path_retrieve(spark, sf_dir):
     asked = X.query_vectors(spark, sf_dir).withColumn("question", F.get(F.array(*map(F.lit, R.QUESTIONS)), number))
     asked = asked.withColumn("query", F.when(F.floor(F.col("query_id") / 20) % 3 > 0, F.col("query")))
     asked = asked.select("query_id", "query", *(c.alias(n) for n, c in Q.intent(F.col("question")).items()))
-    return search.retrieve(chunks, asked, 5, sparse=_word_path(spark, sf_dir))
+    return search.retrieve(chunks, asked, PATHS_K, sparse=_word_path(spark, sf_dir))
 
 
 _FUSED = "fused AS (SELECT query_id, chunk_id, round(sum(CASE collection WHEN 1 THEN w_text WHEN 0 THEN w_visual ELSE w_entity END / (60 + r2)), 9) AS score FROM again GROUP BY ALL)"
