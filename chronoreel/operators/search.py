@@ -16,6 +16,8 @@ RRF_K = 60
 OVERLAP = 0.7
 #: Queries of one block on average: what the driver holds and a pass over the chunks broadcasts.
 QUERY_BLOCK = 2048
+#: Scores that a task holds at once.
+TILE = 1 << 20
 
 
 def search_filter(chunks: DataFrame, collection=None, video_id=None, start_gte: int | None = None, end_lte: int | None = None, chunk_type=None, entity_ids: list | None = None) -> DataFrame:
@@ -79,23 +81,44 @@ def _places(column: pa.ChunkedArray | pa.Array) -> dict:
     return found
 
 
+def _order(ids: pa.Array) -> np.ndarray:
+    """The place of each key in their order."""
+    keys = ids.to_numpy() if pa.types.is_integer(ids.type) and not ids.null_count else np.array(ids.to_pylist(), dtype=object)
+    out = np.empty(len(keys), np.int64)
+    out[np.argsort(keys, kind="stable")] = np.arange(len(keys))
+    return out
+
+
+def _best_pairs(q: np.ndarray, m: np.ndarray, order: np.ndarray, k: int, min_score: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, columns, scores) of each query's ``k`` best chunks, for as many queries at once as TILE scores allow."""
+    step = max(1, TILE // max(1, len(m)))
+    for at in range(0, len(q) if len(m) else 0, step):
+        scores = q[at : at + step] @ m.T
+        np.round(scores, 6, out=scores)
+        scores += 0.0
+        least = np.full(len(scores), min_score)
+        if len(m) > k:
+            least = np.maximum(least, np.partition(scores, len(m) - k, axis=1)[:, len(m) - k])
+        r, c = np.nonzero(scores >= least[:, None])
+        by = np.lexsort((order[c], -scores[r, c], r))
+        r, c = r[by], c[by]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        r, c = r[first], c[first]
+        yield r + at, c, scores[r, c]
+
+
 def _block_topk(chunks, block, k, min_score, same_video, vector, names, kinds) -> DataFrame:
     def best(queries: pa.Table, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        asked = queries.column("query_id").combine_chunks()
         for size in np.unique(np.asarray(queries.column("query").combine_chunks().value_lengths())).tolist():
             q, of = _matrix(queries.column("query"), size)
             m, at = _matrix(batch.column(len(names)), size)
-            scores = np.round(q @ m.T, 6) + 0.0
-            ids = batch.column(0).take(pa.array(at))
-            order = np.argsort(np.argsort(np.array(ids.to_pylist(), dtype=object), kind="stable"), kind="stable") if len(at) else np.zeros(0, int)
-            rows, cols = [], []
-            for r in range(len(of)):
-                c = np.flatnonzero(scores[r] >= min_score)
-                c = c[np.lexsort((order[c], -scores[r, c]))[:k]]
-                rows.append(np.full(len(c), r))
-                cols.append(c)
-            r, c = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (rows, cols))
-            hits = [batch.column(i).take(pa.array(at[c])) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([queries.column("query_id").combine_chunks().take(pa.array(of[r])), *hits, pa.array(scores[r, c] if len(r) else np.zeros(0))], ["query_id", *names, "score"])
+            order = _order(batch.column(0).take(pa.array(at)))
+            parts = list(_best_pairs(q, m, order, k, min_score))
+            if parts:
+                r, c, scores = (np.concatenate(x) for x in zip(*parts, strict=True))
+                hits = [batch.column(i).take(pa.array(at[c])) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(of[r])), *hits, pa.array(scores)], ["query_id", *names, "score"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = block.value
