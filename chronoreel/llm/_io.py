@@ -22,6 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of a few short columns that one task may well write.
+ROWS_A_TASK = 100_000
+
+
 class Scratch:
     """Written intermediate tables of one operator run."""
 
@@ -30,8 +34,11 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write df as Parquet and read it back with the written schema."""
+    def save(self, df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
+        """Write df as Parquet and read it back with the written schema.  ``rows`` is a bound of df's rows, which must be dealt
+        evenly: then a shuffle's partitions are written by as few tasks as that takes, though one a core, as a file costs more than its rows."""
+        if rows is not None:
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
         self.made += 1
         path = f"{self.root}/{self.made:03d}-{name}"
         df.write.parquet(path)

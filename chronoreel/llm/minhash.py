@@ -132,12 +132,12 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return docs.select(F.col(key).alias("id"), _digest(F.col(text)).alias("digest"), F.col(text)).mapInArrow(work, schema)
 
 
-def _buckets(classes: DataFrame, scratch: Scratch) -> DataFrame:
+def _buckets(classes: DataFrame, scratch: Scratch, n: int) -> DataFrame:
     """(bucket, id, members) of buckets of two or more, each set of members once."""
     in_bands = classes.select("id", F.explode("bands").alias("bucket"))
     same = F.sum(F.xxhash64("id").cast("decimal(20,0)"))
     sizes = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), same.alias("who")).where("members > 1")
-    once = scratch.save(sizes.groupBy("members", "who").agg(F.min("bucket").alias("bucket")), "buckets")
+    once = scratch.save(sizes.groupBy("members", "who").agg(F.min("bucket").alias("bucket")), "buckets", n * BANDS // 2)
     placed = scratch.save(in_bands.join(once, "bucket").select("bucket", "id", "members"), "members")
     scratch.drop(once)
     return placed
@@ -213,19 +213,19 @@ def _totals(rows: DataFrame, by: str, members: str, weight: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias(members), F.sum("n").alias(weight))
 
 
-def _clusters(placed: DataFrame, weights: DataFrame, scratch: Scratch) -> DataFrame:
+def _clusters(placed: DataFrame, weights: DataFrame, scratch: Scratch, n: int) -> DataFrame:
     """(id, n, cluster, within, weight): members that buckets join, directly or through others, how many a cluster has
     and their shingles.  A member names its buckets' leaders (BANDS at most) at once, so that edges between leaders,
     of which there are few, take the place of one edge a bucket and member."""
-    leaders = scratch.save(placed.groupBy("bucket").agg(F.min("id").alias("leader")), "bucket-leaders")
+    leaders = scratch.save(placed.groupBy("bucket").agg(F.min("id").alias("leader")), "bucket-leaders", n * BANDS // 2)
     known = placed.join(leaders, "bucket").groupBy("id").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
-    known = scratch.save(known, "leaders-of")
+    known = scratch.save(known, "leaders-of", n)
     least = F.col("leaders")[0]
     edges = known.select(F.col("id").alias("a"), least.alias("b")).unionByName(known.select(F.explode(F.slice("leaders", 2, BANDS)).alias("a"), least.alias("b")).distinct())
-    met = components(scratch, edges)
+    met = components(scratch, edges, n * BANDS)
     met = met.unionByName(met.select(F.col("component").alias("id"), "component").distinct()).join(weights, "id")
     met = scratch.save(met, "met")
-    sizes = scratch.save(_totals(met, "component", "within", "weight"), "cluster-sizes")
+    sizes = scratch.save(_totals(met, "component", "within", "weight"), "cluster-sizes", n)
     scratch.drop(leaders, known)
     return met.join(sizes, "component").select("id", "n", F.col("component").alias("cluster"), "within", "weight")
 
@@ -272,30 +272,33 @@ def _full(docs: DataFrame, key: str, text: str, signed: DataFrame, classes: Data
     return texts.join(sigs, (texts["id"] == sigs["id"]) & F.array_contains(F.array("own"), F.col("digest"))).select(texts["id"], "text", "sig")
 
 
-def components(scratch: Scratch, links: DataFrame) -> DataFrame:
+def components(scratch: Scratch, links: DataFrame, rows: int | None = None) -> DataFrame:
     """(id, component) of all linked ids: the smallest id reachable.  Alternating large-star and small-star
-    on written tables; each star is a grouped minimum and a join, so no neighbourhood is ever collected."""
-    edges = scratch.save(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct(), "edges")
-    before = _summary(edges)
-    while True:
+    on written tables; each star is a grouped minimum and a join, so no neighbourhood is ever collected.  ``rows`` bounds the links, if known."""
+    edges = scratch.save(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct(), "edges", rows)
+    while not (state := _shape(edges))["stars"]:
+        # no table of a round has more rows than twice its edges
+        rows = 2 * state["n"]
         # large-star: every larger neighbour of a node joins the smallest one
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.save(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
+        least = scratch.save(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least", rows)
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
-        large = scratch.save(large, "large")
+        large = scratch.save(large, "large", rows)
         # small-star: a node and its smaller neighbours join the smallest of them
-        low = scratch.save(large.groupBy("v").agg(F.min("u").alias("m")), "low")
+        low = scratch.save(large.groupBy("v").agg(F.min("u").alias("m")), "low", rows)
         small = large.join(low, "v").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b"))
-        after = scratch.save(small.where("a < b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges")
-        summary = _summary(after)
+        after = scratch.save(small.where("a < b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges", rows)
         scratch.drop(least, large, low, edges)
-        edges, done, before = after, summary == before, summary
-        if done:
-            return edges.select(F.col("v").alias("id"), F.col("u").alias("component"))
+        edges = after
+    return edges.select(F.col("v").alias("id"), F.col("u").alias("component"))
 
 
-def _summary(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+def _shape(edges: DataFrame):
+    """n, the number of edges, and whether they are stars: every node has one smaller neighbour, which has none itself, or has
+    none.  Stars are what the rounds end with: a node's smaller neighbour is the smallest it reaches."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(0).alias("over")).unionByName(edges.select(F.col("v").alias("id"), F.lit(1).alias("over")))
+    nodes = ends.groupBy("id").agg(F.sum("over").alias("over"), F.count(F.lit(1)).alias("ends"))
+    return nodes.agg(F.coalesce(F.sum("over"), F.lit(0)).alias("n"), F.coalesce(F.bool_and(F.expr("over = 0 or ends = 1")), F.lit(True)).alias("stars")).first()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -310,33 +313,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     signed = scratch.save(signatures(docs, key, text, k), "signatures")
+    n = signed.count()
     first = F.min(F.struct("id", "n_shingles", "bands")).alias("m")
     banded = signed.where("n_shingles > 0 and id is not null").groupBy("digest").agg(first)
-    banded = scratch.save(banded.select("digest", "m.*"), "banded")
+    banded = scratch.save(banded.select("digest", "m.*"), "banded", n)
     classes = scratch.save(banded.select("digest", "id", F.col("n_shingles").alias("n")), "classes")
     weights = classes.groupBy("id").agg(F.sum("n").alias("n"))
 
-    placed = _buckets(banded, scratch)
+    placed = _buckets(banded, scratch, n)
     scratch.drop(banded)
-    clusters = scratch.save(_clusters(placed, weights, scratch), "clusters")
+    clusters = scratch.save(_clusters(placed, weights, scratch, n), "clusters")
     alone = [F.lit(0).alias("step"), F.lit(0).alias("x"), F.lit(0).alias("y"), "id", F.lit(0).alias("side"), F.lit(False).alias("crossing"), F.col("id").alias("part")]
     rows = clusters.where(_fits("within", "weight")).select(F.xxhash64("cluster").alias("bucket"), *alone)
     wide = scratch.save(placed.join(clusters.where(~_fits("within", "weight")).select("id", "n"), "id"), "wide")
     stars, found_in = None, [placed, wide, clusters]
     if not wide.isEmpty():
-        sums = scratch.save(wide.groupBy("bucket").agg(F.sum("n").alias("weight")), "weights")
+        sums = scratch.save(wide.groupBy("bucket").agg(F.sum("n").alias("weight")), "weights", n * BANDS // 2)
         wide = wide.join(sums, "bucket")
         rows = rows.unionByName(wide.where(_fits("members", "weight")).select("bucket", *alone))
         large = scratch.save(wide.where(~_fits("members", "weight")), "large")
         found_in += [sums, large]
         if not large.isEmpty():
-            inside = scratch.save(large.select("id").distinct(), "inside")
+            inside = scratch.save(large.select("id").distinct(), "inside", n)
             stars = scratch.save(_compare(_star_rows(large, scratch), _full(docs, key, text, signed, classes, inside), k, threshold), "star-links")
-            joined = components(scratch, stars)
+            joined = components(scratch, stars, n * BANDS)
             parts = large.join(joined, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("part"))
             rows = rows.unionByName(_rest_rows(parts, scratch))
     links = _compare(rows, _full(docs, key, text, signed, classes, clusters.select("id")), k, threshold)
-    found = components(scratch, links if stars is None else links.unionByName(stars))
+    found = components(scratch, links if stars is None else links.unionByName(stars), n * BANDS)
     scratch.drop(*found_in)
 
     named = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))

@@ -182,3 +182,29 @@ def test_blocks_are_bounded_in_shingles(spark, monkeypatch):
     monkeypatch.setattr(minhash, "_compare", watched)
     got = {x.doc_id: x.component_id for x in minhash.near_duplicates(docs, k=3, threshold=0.85).collect()}
     assert got == components_of(rows, 3, 85) and 1 < max(most) < 40
+
+
+def test_components_write_few_files_and_no_round_for_stars(spark, tmp_path):
+    """Where partitions aren't coalesced, a small table of links is written by a task a core, not by one a partition; links that
+    are stars already need no round."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    chain = [(i, i + 1) for i in range(200)] + [(i, 300 + i) for i in range(0, 200, 7)] + [(1000, 1001)]
+    star = [(1, i) for i in range(2, 400)] + [(500, 501)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        scratch = minhash.Scratch(spark, "few")
+        found = minhash.components(scratch, spark.createDataFrame(chain, "a long, b long"), len(chain))
+        assert {tuple(r) for r in found.collect()} == {(i, 0) for _, i in chain[:-1]} | {(1001, 1000)}
+        assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism
+        assert scratch.made > 1
+        scratch = minhash.Scratch(spark, "stars")
+        found = minhash.components(scratch, spark.createDataFrame(star, "a long, b long"))
+        assert {tuple(r) for r in found.collect()} == {(b, a) for a, b in star}
+        assert scratch.made == 1
+        none = minhash.components(minhash.Scratch(spark, "none"), spark.createDataFrame([], "a long, b long"))
+        assert none.collect() == []
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
