@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from chronoreel.operators.segment import TAIL_MS
@@ -23,6 +24,19 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 SCENES = "video_id long, session_ms long, scene_id long, start_ms long, end_ms long, n_frames long"
 _FRAME = "ts_ms long, event_id long, signal double"
+_FRAMES = "ts_ms array<long>, event_id array<long>, signal array<double>"
+#: Frames of one list element: state goes to and from Python element by element, which costs more than a frame.
+BLOCK = 1024
+
+
+def blocks(frames: list[tuple]) -> list[tuple]:
+    """Frames as list elements: a list a column, of BLOCK frames at the most."""
+    return [tuple(map(list, zip(*frames[i : i + BLOCK], strict=True))) for i in range(0, len(frames), BLOCK)]
+
+
+def unblocked(state: Any) -> list[tuple]:
+    """The frames of a list state."""
+    return [f for block in state.get() for f in zip(*block, strict=True)] if state.exists() else []
 
 
 class LiveIndex(StatefulProcessor):
@@ -33,8 +47,8 @@ class LiveIndex(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _FRAME)
-        self.ring = handle.getListState("ring", f"{_FRAME}, scene_id long")
+        self.waiting = handle.getListState("waiting", _FRAMES)
+        self.ring = handle.getListState("ring", f"{_FRAMES}, scene_id array<long>")
         self.open = handle.getValueState("open", f"session_ms long, scene_id long, start_ms long, n_frames long, {_FRAME}")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
@@ -43,7 +57,7 @@ class LiveIndex(StatefulProcessor):
         # a frame behind the watermark is late: its scene may have been closed
         fresh = [f for f in fresh if f[0] > passed]
         if fresh:
-            self.waiting.appendList(fresh)
+            self.waiting.appendList(blocks(fresh))
             self._wake(min(f[0] for f in fresh), passed)
         return iter(())
 
@@ -59,7 +73,7 @@ class LiveIndex(StatefulProcessor):
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
         video = key[0]
-        waiting = sorted(tuple(f) for f in self.waiting.get()) if self.waiting.exists() else []
+        waiting = sorted(unblocked(self.waiting))
         ready = [f for f in waiting if f[0] <= passed]
         later = waiting[len(ready) :]
         held = tuple(self.open.get()) if self.open.exists() else None
@@ -83,16 +97,15 @@ class LiveIndex(StatefulProcessor):
             for state in (self.open, self.ring, self.waiting):
                 state.clear()
             if later:
-                self.waiting.appendList(later)
+                self.waiting.appendList(blocks(later))
                 self._wake(later[0][0], passed)
             return iter(out)
         if ready:
-            ring = [tuple(f) for f in self.ring.get()] if self.ring.exists() else []
             edge = ready[-1][0] - self.keep_ms
-            self.ring.put([f for f in ring + entered if f[0] >= edge])
+            self.ring.put(blocks([f for f in unblocked(self.ring) + entered if f[0] >= edge]))
             self.open.update(held)
             if later:
-                self.waiting.put(later)
+                self.waiting.put(blocks(later))
             else:
                 self.waiting.clear()
         self._wake(later[0][0] if later else held[4] + self.idle_ms, passed)
@@ -109,4 +122,4 @@ def live_index(frames: DataFrame, threshold: float, late: str, keep_ms: int = KE
 def ring(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(video_id, ts_ms, event_id, signal, scene_id): the ring as of the last finished batch, while the stream runs."""
     held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "ring").load()
-    return held.select("key.*", "list_element.*")
+    return held.select("key.*", F.inline(F.arrays_zip(*(f"list_element.{c}" for c in ("ts_ms", "event_id", "signal", "scene_id")))))

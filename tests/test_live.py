@@ -65,3 +65,16 @@ def test_no_frames(spark, tmp_path):
     empty = spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
     empty.write.parquet(str(tmp_path / "events.parquet"))
     assert streams.live_scenes_shuffled(spark, str(tmp_path)).collect() == []
+
+
+def test_state_goes_in_blocks(run, spark, tmp_path):
+    """What waits for the watermark is some list elements a video, not one a frame, and comes back in order, across blocks too."""
+    n = 2 * LI.BLOCK + 7
+    rows = [(1, 1_000 + i, i, float(i // 1000 * 10)) for i in range(n)]
+    run(rows[::-1])
+    with streams.keyed_state(spark):
+        held = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "waiting").load()
+        assert held.count() == 3
+    out, ring, _ = run([(2, 20_000, 9_999, 0.0), (1, 9_000, 9_998, 20.0)])
+    assert out == {(1, 1000, 0, 1000, 2000, 1000), (1, 1000, 1, 2000, 3000, 1000)}
+    assert ring == [(1, ts, (ts - 1000) // 1000) for _, ts, *_ in rows] + [(1, 9000, 2)]
