@@ -1,12 +1,14 @@
 """What grows with the tables: scores held at once, questions asked again, matches that move, passes over texts."""
 
+import random
 import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from chronoreel.functions import text as TX
-from chronoreel.operators import extras, feedback, search
+from chronoreel.functions import tokens as K
+from chronoreel.operators import encoders, extras, feedback, search
 
 
 def test_scores_are_held_in_tiles():
@@ -77,3 +79,79 @@ def test_reranked_in_one_pass(spark, monkeypatch):
     raw = {r.doc_id: (round(r.score, 9), r.n_terms) for r in plain(words, asked).collect()}
     assert [raw[i][1] for i in (1, 2, 3)] == [2, 1, 0]
     assert [r.score for r in found] == [round(0.8 * raw[r.doc_id][0] / raw[1][0] + 0.2 * raw[r.doc_id][1] / 2, 9) for r in found]
+
+
+def long_texts(n):
+    r = random.Random(3)
+    ends = [" ", "\n", "  ", " \u0301", "\u3000", "\t", ", ", "'s ", "\0", "\ufffd ", " <|startoftext|> "]
+    words = ["tower", "Inter-national", "东京", "İΣ", "e\u0301", "3.14", "x" * 700, "语" * 600, "\U0001f600", "<|endoftext|>", ""]
+    return [None, "", " ", "\n\n", "a", "y" * 3000, " " * 1500, *("".join(r.choice(words) + r.choice(ends) for _ in range(r.randrange(400))) for _ in range(n))]
+
+
+def test_texts_go_to_tasks_in_pieces(spark):
+    """Pieces are all of a text, and an encoder of the text's pieces finds what one of the text finds."""
+    texts = long_texts(40)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    pieces = [r.p for r in df.orderBy("doc_id").select(encoders.text_pieces(F.col("text"), 100).alias("p")).collect()]
+    assert [None if p is None else "".join(p) for p in pieces] == texts
+    assert all(len(x) <= 101 or not {" ", "\n"} & set(x[1:-1]) for p in pieces for x in p or ())
+    assert max(len(p) for p in pieces if p) > 50
+    vocabulary = {t: i for i, t in enumerate([K.PAD, K.UNKNOWN, K.CLS, K.SEP, "tow", "##er", "inter", "-", "x", "##xx", "i", "##σ", "e", "##\u0301", "3", ".", "'", "s", "语"])}
+    letters = K.byte_letters()
+    coders = [K.WordPieces(vocabulary), K.BytePairs({t: i for i, t in enumerate([K.START, K.END, *letters, *(c + K.WORD_END for c in letters), "to"])}, [("t", "o")])]
+    for coder in coders:
+        for text, cut in zip(texts, pieces, strict=True):
+            assert coder.encode(text or "") == [i for p in cut or () for i in coder.encode(p)]
+
+
+def test_no_task_holds_a_long_text(spark):
+    class Lengths:
+        """Stands for an encoder: how much it is given at once."""
+
+        def encode(self, text):
+            return [len(text)]
+
+    rows = [(i % 7, t, None if i % 3 else i) for i, t in enumerate(["word " * 20_000, None, "", "word " * 700, "short"] * 130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `other` int").coalesce(1)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for batch in (before, "7"):
+            spark.conf.set(size, batch)
+            got = encoders._encoded(docs, "text", lambda _: Lengths(), None, 300, -1, -2, -3, None).collect()
+            assert [(r.doc_id, r.text, r.other) for r in got] == rows
+            given = [[i for i in r.ids if i >= 0] for r in got]
+            assert max(map(max, given)) <= encoders.MOST_CHARS + 1
+            assert all(r.n_tokens == len(g) == r.n_used - 2 and sum(g) == len(r.text or "") for r, g in zip(got, given, strict=True))
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_texts_are_not_sent_twice(spark):
+    docs = spark.createDataFrame([(1, "a b", "c1")], "c1 long, text string, piece string")
+    coded = encoders.word_piece_input(docs, encoders._table(spark, token=[K.PAD, K.UNKNOWN, K.CLS, K.SEP, "a"], id=range(5)), size=4, keep=["piece", "c1"])
+    assert coded.columns == ["piece", "c1", "n_tokens", "ids", "n_used"]
+    assert [tuple(r) for r in coded.collect()] == [("c1", 1, 2, [2, 4, 1, 3], 4)]
+    assert coded.dtypes[2:] == [("n_tokens", "bigint"), ("ids", "array<int>"), ("n_used", "int")]
+
+
+def test_an_encoder_stays_small():
+    r = random.Random(1)
+    coder = K.WordPieces({t: i for i, t in enumerate([K.PAD, K.UNKNOWN, K.CLS, K.SEP])})
+    words = ["".join(r.choices("абвгдежзиклмнопр", k=60)) for _ in range(30_000)]
+    short = [w[:32] for w in words]
+    tracemalloc.start()
+    for w in (*words, *short, *(w[::-1] for w in short)):
+        assert len(coder.encode(w)) == 2 * len(w)
+    assert tracemalloc.get_traced_memory()[0] < 48 << 20
+    tracemalloc.stop()
+    assert len(coder.known) <= K.REMEMBERED
+
+
+def test_vocabularies_need_no_python_tasks(spark):
+    """Rows by Python tasks come as an RDD; those of Arrow columns don't, whatever their number."""
+    table = encoders._table(spark, left=["a", None], right=["b", ""], rank=range(2))
+    assert table.dtypes == [("left", "string"), ("right", "string"), ("rank", "int")]
+    assert [tuple(r) for r in table.orderBy("rank").collect()] == [("a", "b", 0), (None, "", 1)]
+    assert encoders._table(spark, token=[], id=[]).collect() == []
+    assert "PythonRDD" not in table._jdf.queryExecution().toRdd().toDebugString()
